@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference works on finite uploads only: no unbounded input, watermark, window or
+state. Nothing is built here. A caller who receives sources as a stream can run the batch
+flows per micro-batch with ``writeStream.foreachBatch``; the operators are DataFrame
+functions and accept a micro-batch DataFrame unchanged.
+"""

@@ -1,0 +1,99 @@
+"""Run every registered query against its DuckDB oracle and compare (used by tests and by hand).
+
+    python tests/oracle_check.py [sf_dir] [name ...]
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import sys
+import time
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+
+def duck(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"create view {t} as select * from read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return (0, "")
+    if isinstance(v, bool):
+        return (1, str(int(v)))
+    if isinstance(v, (int, float)):
+        f = float(v)
+        if math.isnan(f):
+            return (0, "")
+        return (1, f"{round(f, 6):.6f}")
+    if hasattr(v, "isoformat"):
+        return (2, v.isoformat(sep=" "))
+    return (2, str(v))
+
+
+def rows_of(columns, records):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(_norm(r[i]) for i in order) for r in records)
+
+
+def compare(spark, sf_dir, name, fn, sql, con):
+    t0 = time.time()
+    sdf = fn(spark, sf_dir)
+    scols = sdf.columns
+    srows = [tuple(r) for r in sdf.collect()]
+    dt = time.time() - t0
+    res = con.execute(sql)
+    dcols = [d[0] for d in res.description]
+    drows = res.fetchall()
+    problems = []
+    if sorted(scols) != sorted(dcols):
+        problems.append(f"columns spark={sorted(scols)} oracle={sorted(dcols)}")
+    if len(srows) != len(drows):
+        problems.append(f"rows spark={len(srows)} oracle={len(drows)}")
+    if not problems:
+        a, b = rows_of(scols, srows), rows_of(dcols, drows)
+        if a != b:
+            diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
+            problems.append(f"values differ, e.g. {diff}")
+    return problems, len(srows), dt
+
+
+def main(argv):
+    from __spark_entry__ import oracle_sql, queries
+    from scorekit.session import local_session
+
+    sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    only = set(argv[2:])
+    spark = local_session()
+    con = duck(sf_dir)
+    oracles = oracle_sql()
+    bad = 0
+    for name, fn in queries().items():
+        if only and name not in only:
+            continue
+        if name not in oracles:
+            n = fn(spark, sf_dir).count()
+            print(f"{name:24s} rows-only {n}")
+            continue
+        try:
+            problems, n, dt = compare(spark, sf_dir, name, fn, oracles[name], con)
+        except Exception as e:  # noqa: BLE001
+            problems, n, dt = [f"ERROR {type(e).__name__}: {str(e)[:400]}"], -1, 0
+        bad += bool(problems)
+        print(f"{name:24s} {'OK ' if not problems else 'BAD'} rows={n} {dt:.2f}s {'; '.join(problems)}")
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(sys.argv) else 0)
