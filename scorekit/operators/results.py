@@ -88,7 +88,8 @@ def reconcile_ids(base: DataFrame, scores: DataFrame, id_col: str = ID_COLUMN,
                   score_id: str = ID_COLUMN) -> DataFrame:
     """One row: ``matched, base_only, scores_only`` over the distinct ids (text semantics).
     ``matched = 0`` is the reference's "no matching ids" warning condition."""
-    bkey, skey = _keys(base, id_col, scores, score_id)
+    bkey = key_text(q(id_col), base.schema[id_col].dataType)
+    skey = key_text(q(score_id), scores.schema[score_id].dataType)
     a = base.select(bkey.alias(_BK)).where(F.col(_BK).isNotNull()).distinct()
     b = scores.select(skey.alias(_SK)).where(F.col(_SK).isNotNull()).distinct()
     j = a.join(b, a[_BK] == b[_SK], "full_outer")
