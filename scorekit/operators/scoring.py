@@ -12,9 +12,11 @@ ok branch and the failed branch share one set of responses and the scorer is not
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ SCORED_SCHEMA = ("batch_id bigint, batch_size bigint, unique_identifier_column s
                  "payload string, response string, outcome string, error string")
 DEAD_LETTER_COLUMNS = (*BATCH_COLUMNS, "payload", "outcome", "error")
 
+# The scoring closure (and scorers defined in this package) travel to Python workers by
+# value, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules["scorekit"])
+
 
 def _caller(scorer):
     def call(frames):
