@@ -33,12 +33,12 @@ from scorekit.operators.reports import (
     selection_summary,
 )
 from scorekit.operators.responses import batch_results, parse_responses
-from scorekit.operators.results import merge_results, reconcile_ids
+from scorekit.operators.results import merge_results, reconcile_ids, sort_results
 from scorekit.operators.scoring import failed_batches, final_outcomes, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
 from scorekit.plans.scorers import field_scorer
-from scorekit.plans.workflows import analyze, consolidate, retry
+from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
 from scorekit.sources.readers import read_sources
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -277,13 +277,37 @@ def q_consolidated_base(spark, d):
                        status_key="person_id").base
 
 
-def q_ranked_candidates(spark, d):
+def _ranked_final(spark, d):
     base = _candidates(spark, d)
     view = base.select("unique_id", "c_custkey", "c_mktsegment")
-    final = analyze(base, view, _scorer(), ROLE).final
+    return analyze(base, view, _scorer(), ROLE).final
+
+
+def q_ranked_candidates(spark, d):
+    final = _ranked_final(spark, d)
     return final.select("unique_id", "c_custkey", "c_name", "score", "rank", "remarks")
 
 
+def q_sorted_results(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("unique_id"), "n_chars")
+    ranked = dense_rank_scores(docs.withColumnRenamed("n_chars", "score"))
+    return sort_results(ranked).select("rank", "score", "unique_id")
+
+
+def q_interview_selection(spark, d):
+    chosen, _ = select_and_report(_ranked_final(spark, d), lo=100, hi=400)
+    return chosen
+
+
+def q_interview_summary(spark, d):
+    _, summary = select_and_report(_ranked_final(spark, d), lo=100, hi=400)
+    return summary
+
+
+def q_export_widths(spark, d):
+    return column_widths(_ranked_final(spark, d))
+
+
 def q_retried_ranking(spark, d):
     base = _candidates(spark, d)
     view = base.select("unique_id", "c_custkey", "c_mktsegment")
@@ -321,6 +345,10 @@ _QUERIES = {
     "consolidated_base": q_consolidated_base,
     "ranked_candidates": q_ranked_candidates,
     "retried_ranking": q_retried_ranking,
+    "sorted_results": q_sorted_results,
+    "interview_selection": q_interview_selection,
+    "interview_summary": q_interview_summary,
+    "export_widths": q_export_widths,
 }
 
 # Customers left after the status table, numbered in source (= key) order.
@@ -330,6 +358,14 @@ c as (select c_custkey, c_name, c_mktsegment from customer
                         and o_orderstatus = 'P' and o_orderpriority = '1-URGENT')),
 n as (select *, row_number() over (order by c_custkey) as u from c)"""
 
+_RANKED_FINAL_SQL = f"""with {_CANDIDATES_SQL},
+s as (select u, cast(c_custkey * 37 % 501 as double) as score from n where ((u - 1) // 50 + 1) % 7 <> 0),
+r as (select u, score, dense_rank() over (order by score desc) as rank from s),
+f as (select n.u as unique_id, cast(n.c_custkey as varchar) as c_custkey, n.c_name, n.c_mktsegment,
+             coalesce(r.score, 0) as score, coalesce(r.rank, (select count(*) from n) + 1) as rank,
+             case when r.u is null then 'Not analyzed by AI' else 'scored' end as remarks
+      from n left join r on n.u = r.u)"""
+
 _NUMBERED_SQL = "n as (select c_custkey, row_number() over (order by c_custkey) as u from customer)"
 
 _MERGE_INPUT_SQL = """x as (select case when o_orderstatus <> 'P' then o_custkey end as k, o_orderkey,
@@ -441,6 +477,24 @@ select n.u as unique_id, cast(n.c_custkey as varchar) as c_custkey,
        coalesce(r.score, 0) as score, coalesce(r.rank, (select count(*) from n) + 1) as rank,
        case when r.u is null then 'Not analyzed by AI' else 'scored' end as remarks
 from n left join r on n.u = r.u""",
+    "sorted_results": """
+select dense_rank() over (order by n_chars desc) as rank, n_chars as score, doc_id as unique_id
+from documents""",
+    "interview_selection": f"""{_RANKED_FINAL_SQL}
+select rank, score, unique_id, remarks, c_custkey, c_name, c_mktsegment from f
+where score >= 100 and score <= 400""",
+    "interview_summary": f"""{_RANKED_FINAL_SQL}
+select count(*) as n, min(score) as min_score, max(score) as max_score from f
+where score >= 100 and score <= 400""",
+    "export_widths": f"""{_RANKED_FINAL_SQL}
+select column_name, least(greatest(w, length(column_name)) + 2, 50) as width from (
+  select 'unique_id' as column_name, max(length(cast(unique_id as varchar))) as w from f
+  union all select 'c_custkey', max(length(c_custkey)) from f
+  union all select 'c_name', max(length(c_name)) from f
+  union all select 'c_mktsegment', max(length(c_mktsegment)) from f
+  union all select 'score', max(length(cast(score as varchar))) from f
+  union all select 'remarks', max(length(remarks)) from f
+  union all select 'rank', max(length(cast(rank as varchar))) from f)""",
 }
 
 
