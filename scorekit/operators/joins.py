@@ -1,0 +1,52 @@
+"""Left outer join that spreads hot keys of its right side over many tasks.
+
+AQE splits skewed partitions of the *preserved* side of an outer join only. When one key of
+the right side holds a large share of its rows (a scorer answering the same id again and
+again), a plain left join builds that key's whole fan-out in one task. Here:
+
+* hot keys are those with more than ``max(min_hot_rows, hot_share * rows)`` right rows, so
+  there are at most ``1 / hot_share`` of them: a proven bound, broadcast;
+* right rows of hot keys get a salt ``pmod(hash(row columns), buckets)``; the left rows of
+  those keys are replicated once per salt and joined *inner* (every hot key has matches, so
+  no left row is lost or doubled);
+* all other rows take an ordinary left join.
+
+With no hot key the broadcast set is empty and AQE drops the salted branch at run time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_HOT = "_hot_key"
+_SALT = "_salt"
+
+
+def left_join_spreading_hot_keys(left: DataFrame, right: DataFrame, left_key: str,
+                                 right_key: str, salt_columns=None, buckets: int = 32,
+                                 hot_share: float = 0.001, min_hot_rows: int = 10_000) -> DataFrame:
+    """``left.join(right, left[left_key] == right[right_key], "left")``, skew-safe.
+
+    ``salt_columns`` (default: every right column) spread a hot key's rows over buckets;
+    include something that differs between repeated rows (e.g. batch id and position).
+    """
+    lk, rk = F.col(left_key), F.col(right_key)
+    counts = right.where(rk.isNotNull()).groupBy(rk.alias(_HOT)).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()   # rows with a key; reuses the counting shuffle
+    limit = F.greatest(F.lit(min_hot_rows), total * F.lit(hot_share))
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(_HOT))
+
+    left_cold = left.join(hot, lk == F.col(_HOT), "left_anti")
+    right_cold = right.join(hot, rk == F.col(_HOT), "left_anti")
+    cold = left_cold.join(right_cold, left_cold[left_key] == right_cold[right_key], "left")
+
+    salt_by = [F.col(f"`{c}`") for c in (salt_columns or right.columns)]
+    left_hot = (left.join(hot, lk == F.col(_HOT), "left_semi")
+                    .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
+    right_hot = (right.join(hot, rk == F.col(_HOT), "left_semi")
+                      .withColumn(_SALT, F.pmod(F.xxhash64(*salt_by), F.lit(buckets)).cast("int")))
+    spread = left_hot.join(right_hot, (left_hot[left_key] == right_hot[right_key])
+                           & (left_hot[_SALT] == right_hot[_SALT]), "inner")
+    columns = [*left.columns, *right.columns]
+    return cold.select(*columns).unionByName(spread.select(*columns))

@@ -78,8 +78,8 @@ def batch_results(parsed: DataFrame, id_field: str | None = None) -> DataFrame:
 
     An element is kept when it is an object holding the id key, ``score`` and ``remarks``
     (null values allowed) and its score converts to a number; others are dropped silently
-    and the batch stays ``ok``. Output: ``batch_id, unique_id (text), score (double),
-    remarks (text)``; integral numeric ids print without a fraction.
+    and the batch stays ``ok``. Output: ``batch_id, item_pos, unique_id (text), score
+    (double), remarks (text)``; integral numeric ids print without a fraction.
     """
     id_key = F.lit(id_field) if id_field else F.col("unique_identifier_column")
     # _parsed is null unless the batch is ok, so exploding it needs no outcome filter. The
@@ -87,14 +87,15 @@ def batch_results(parsed: DataFrame, id_field: str | None = None) -> DataFrame:
     # Generate instead of being pushed down and re-casting the element once per use.
     as_maps = F.transform(F.col(PARSED).try_cast("array<variant>"),
                           lambda x: x.try_cast("map<string,variant>"))
-    objects = parsed.select("batch_id", id_key.alias("_id_key"), F.explode(as_maps).alias("_m"))
+    objects = parsed.select("batch_id", id_key.alias("_id_key"),
+                            F.posexplode(as_maps).alias("item_pos", "_m"))
     m = F.col("_m")
     keys = F.map_keys(m)
     has_all = F.coalesce(F.array_contains(keys, F.col("_id_key"))
                          & F.array_contains(keys, F.lit("score"))
                          & F.array_contains(keys, F.lit("remarks")), F.lit(False))
     fields = objects.where(has_all).select(
-        "batch_id",
+        "batch_id", "item_pos",
         F.try_variant_get(F.try_element_at(m, F.col("_id_key")), "$", "string").alias("unique_id"),
         F.try_element_at(m, F.lit("score")).alias("_score"),
         F.try_variant_get(F.try_element_at(m, F.lit("remarks")), "$", "string").alias("remarks"))
@@ -102,5 +103,5 @@ def batch_results(parsed: DataFrame, id_field: str | None = None) -> DataFrame:
     # Keep the row only when the score converts: explode a zero-or-one element array, so the
     # conversion runs once per element (a filter would be pushed down and run it twice).
     score = score_value(F.col("_score"), F.col("_type"))
-    return typed.select("batch_id", "unique_id",
+    return typed.select("batch_id", "item_pos", "unique_id",
                         F.explode(F.array_compact(F.array(score))).alias("score"), "remarks")

@@ -14,10 +14,12 @@ from scorekit.functions.constants import (
 )
 from scorekit.functions.text import key_text
 from scorekit.operators._cols import q
+from scorekit.operators.joins import left_join_spreading_hot_keys
 from scorekit.operators.numbering import dense_rank_scores
 from scorekit.operators.projection import drop_result_columns
 
 _BK = "_base_key"
+_SPREAD = ("_row_tag",)
 _SK = "_score_key"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -42,11 +44,16 @@ def _keys(base: DataFrame, id_col: str, scores: DataFrame, score_id: str) -> tup
 
 
 def _score_rows(scores: DataFrame, score_id: str) -> DataFrame:
+    """id, score (double), remarks (text), and a per-row tag that tells repeated answers for
+    one id apart (batch and position when present, else a hash of the row)."""
     s = q("score")
     if isinstance(scores.schema["score"].dataType, T.StringType):
         s = s.try_cast("double")
+    tag = [q(c) for c in ("batch_id", "item_pos") if c in scores.columns]
+    tag = tag or [q(c) for c in scores.columns]
     return scores.select(q(score_id), s.cast("double").alias("score"),
-                         q("remarks").cast("string").alias("remarks"))
+                         q("remarks").cast("string").alias("remarks"),
+                         F.xxhash64(*tag).alias(_SPREAD[0]))
 
 
 def unscored(base: DataFrame) -> DataFrame:
@@ -74,8 +81,8 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     b = drop_result_columns(base)
     bkey, skey = _keys(b, id_col, ranked, score_id)
     left = b.withColumn(_BK, bkey)
-    right = ranked.select(skey.alias(_SK), "score", "remarks", "rank")
-    merged = left.join(right, left[_BK] == right[_SK], "left")
+    right = ranked.select(skey.alias(_SK), "score", "remarks", "rank", *_SPREAD)
+    merged = left_join_spreading_hot_keys(left, right, _BK, _SK).drop(*_SPREAD)
     n = merged.agg(F.count(F.lit(1))).scalar()
     return merged.select(
         *[q(c) for c in b.columns],

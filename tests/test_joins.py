@@ -1,0 +1,44 @@
+from pyspark.sql import functions as F
+
+from scorekit.operators.joins import left_join_spreading_hot_keys
+
+from conftest import rows
+
+
+def _frames(spark):
+    left = spark.range(0, 200).select(F.col("id").alias("k"), (F.col("id") * 10).alias("lv"))
+    left = left.unionByName(spark.createDataFrame([(None, -1)], "k long, lv long"))
+    hot = spark.range(0, 3000).select(F.lit(7).cast("long").alias("rk"), F.col("id").alias("rv"))
+    cold = spark.range(0, 400).select((F.col("id") % 150).alias("rk"), (F.col("id") + 10_000).alias("rv"))
+    dup = spark.createDataFrame([(9, 1), (9, 1), (9, 1)], "rk long, rv long")  # identical rows
+    right = hot.unionByName(cold).unionByName(dup)
+    return left, right
+
+
+def test_matches_plain_left_join(spark):
+    left, right = _frames(spark)
+    plain = left.join(right, left.k == right.rk, "left")
+    spread = left_join_spreading_hot_keys(left, right, "k", "rk", buckets=8,
+                                          hot_share=0.001, min_hot_rows=100)
+    assert spread.columns == plain.columns
+    assert rows(spread) == rows(plain)
+
+
+def test_hot_key_is_spread(spark):
+    left, right = _frames(spark)
+    spread = left_join_spreading_hot_keys(left, right, "k", "rk", buckets=8, min_hot_rows=100)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")   # keep join partitions as planned, to observe the spread
+    try:
+        tasks = (spread.where("k = 7").select(F.spark_partition_id().alias("p"))
+                       .distinct().count())
+    finally:
+        spark.conf.set(key, "true")
+    assert tasks > 1
+
+
+def test_without_hot_keys_is_plain(spark):
+    left, right = _frames(spark)
+    spread = left_join_spreading_hot_keys(left, right, "k", "rk")   # default threshold: none hot
+    plain = left.join(right, left.k == right.rk, "left")
+    assert rows(spread) == rows(plain)
