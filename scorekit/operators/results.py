@@ -17,6 +17,7 @@ from scorekit.operators._cols import q
 from scorekit.operators.joins import left_join_spreading_hot_keys
 from scorekit.operators.numbering import dense_rank_scores
 from scorekit.operators.projection import drop_result_columns
+from scorekit.session import materialize
 
 _BK = "_base_key"
 _SPREAD = ("_row_tag",)
@@ -72,6 +73,7 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     score 0, remarks ``'Not analyzed by AI'`` (also when a scored row's remarks are null)
     and rank = rows of the merged table + 1, a one-value count subquery. The id keeps its
     type. No scores -> the base unchanged; scores lacking a needed column -> ``unscored``.
+    Materialises the merged rows (one write under the checkpoint folder).
     """
     if scores is None:
         return base
@@ -82,7 +84,10 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     bkey, skey = _keys(b, id_col, ranked, score_id)
     left = b.withColumn(_BK, bkey)
     right = ranked.select(skey.alias(_SK), "score", "remarks", "rank", *_SPREAD)
-    merged = left_join_spreading_hot_keys(left, right, _BK, _SK).drop(*_SPREAD)
+    merged = left_join_spreading_hot_keys(left, right, _BK, _SK).drop(*_SPREAD, _BK, _SK)
+    # Written once: the default rank needs the merged row count, and the final table is read
+    # again by selection, export and reports; all of them now scan this table.
+    merged = materialize(merged, "merged")
     n = merged.agg(F.count(F.lit(1))).scalar()
     return merged.select(
         *[q(c) for c in b.columns],

@@ -51,6 +51,9 @@ def consolidate(sources: list[DataFrame], dedupe: str | None = "key", key: str |
     """
     union = union_sources(sources)
     order = order_by if order_by is not None else ORDER_COL
+    if order_by is None and ORDER_COL not in union.columns:
+        raise ValueError("sources carry no _row_order (read them with read_sources) "
+                         "and no order_by was given")
     merged = None
     if dedupe == "key" and key and key in union.columns:
         merged = merge_by_key(union, key, order).withColumn(ORDER_COL, q(key))

@@ -52,3 +52,19 @@ def test_rows_dedupe_and_no_status(spark):
     assert rows(c.base.select("a", "unique_id")) == [("x", 2), ("y", 1)]
     assert c.report.select("merged").first()[0] == 1
     assert F is not None
+
+
+def test_consolidate_needs_an_order(spark):
+    import pytest
+    df = spark.createDataFrame([("x",)], "a string")
+    with pytest.raises(ValueError):
+        consolidate([df], dedupe=None)
+
+
+def test_consolidate_without_dedupe_keeps_duplicates(spark):
+    df = spark.createDataFrame([("x", 2), ("x", 1)], "a string, o long")
+    st = spark.createDataFrame([("y",)], "a string")
+    c = consolidate([df], dedupe=None, status=st, status_key="a", order_by="o")
+    assert rows(c.base.select("a", "o", "unique_id")) == [("x", 1, 1), ("x", 2, 2)]
+    r = c.report.first()
+    assert (r.rows_in, r.merged, r.removed, r.rows_out) == (2, 0, 0, 2)
