@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorekit.functions.constants import ORDER_COL
-from scorekit.operators.batches import pack_batches, render_prompts, stringify_records
+from scorekit.operators.batches import PROMPT_TEMPLATE, pack_batches, render_prompts, stringify_records
 from scorekit.operators.dedupe import drop_duplicate_rows, merge_by_key
 from scorekit.operators.numbering import assign_ids, dense_rank_scores
 from scorekit.operators.projection import (
@@ -498,6 +498,34 @@ select column_name, least(greatest(w, length(column_name)) + 2, 50) as width fro
 }
 
 
+def _prompt_sql() -> str:
+    """The prompt built in SQL: template pieces as literals around the batch values."""
+    import re
+
+    slots = {"role": f"'{ROLE}'", "batch_id": "cast(batch_id as varchar)",
+             "total": "cast(total as varchar)", "payload": "payload", "id_col": "'unique_id'"}
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(role|batch_id|total|payload|id_col)\}", PROMPT_TEMPLATE):
+        parts.append("'" + PROMPT_TEMPLATE[pos:m.start()].replace("'", "''") + "'")
+        parts.append(slots[m.group(1)])
+        pos = m.end()
+    parts.append("'" + PROMPT_TEMPLATE[pos:].replace("'", "''") + "'")
+    return f"""with n as (select c_custkey, c_name, c_mktsegment,
+                         row_number() over (order by c_custkey) as u from customer),
+b as (select (u - 1) // 50 + 1 as batch_id, count(*) as batch_size,
+             list({{'c_custkey': cast(c_custkey as varchar), 'c_name': c_name,
+                    'c_mktsegment': c_mktsegment, 'unique_id': cast(u as varchar)}} order by u) as candidates
+      from n group by 1),
+p as (select batch_id, batch_size, (select count(*) from b) as total,
+             cast(to_json({{'batch_id': batch_id, 'batch_size': batch_size,
+                           'unique_identifier_column': 'unique_id', 'candidates': candidates}}) as varchar) as payload
+      from b)
+select batch_id, batch_size, {" || ".join(parts)} as prompt from p"""
+
+
+_ORACLES["render_prompts"] = _prompt_sql()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: consolidate customers, score them in batches, rank, merge (sf0.001)."""
     return q_ranked_candidates(spark, SMOKE_DIR)
