@@ -68,7 +68,8 @@ def column_widths(df: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         longest = F.greatest(F.coalesce(F.col(f"_w{i}"), F.lit(0)), F.lit(len(c)))
         longest = F.when(F.col("_rows") > 0, longest).otherwise(F.lit(0))
-        widths.append(F.least(longest + F.lit(WIDTH_PADDING), F.lit(WIDTH_CAP)).alias(c))
+        width = F.least(longest + F.lit(WIDTH_PADDING), F.lit(WIDTH_CAP))
+        widths.append(width.cast("bigint").alias(c))
     wide = one.select(*widths)
     return wide.unpivot([], [q(c) for c in cols], "column_name", "width")
 

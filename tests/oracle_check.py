@@ -75,7 +75,14 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     only = set(argv[2:])
-    spark = local_session()
+    if os.environ.get("ORACLE_PLAIN_SESSION"):
+        # the session a caller may hand us: defaults only
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session()
     con = duck(sf_dir)
     oracles = oracle_sql()
     bad = 0
