@@ -13,8 +13,8 @@ from scorekit.functions.constants import ORDER_COL
 from scorekit.functions.text import normalize_header
 
 _FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "orc": "orc"}
-# Formats whose scan exposes ``_metadata.row_index``.
-_ROW_INDEX_FORMATS = {"parquet", "orc"}
+# Formats whose scan exposes ``_metadata.row_index`` (ORC, CSV and JSON do not).
+_ROW_INDEX_FORMATS = {"parquet"}
 
 
 def _format_of(path: str) -> str:

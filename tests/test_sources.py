@@ -42,16 +42,18 @@ def test_read_sources_mixed_formats(spark):
     with open(f"{d}/three.json", "w") as f:
         f.write(json.dumps({"id": 5, "City": "Oslo"}) + "\n")
     spark.createDataFrame([], "id long").write.parquet(f"{d}/empty.parquet")
+    spark.createDataFrame([(6, "x")], "id long, `Note?` string").write.orc(f"{d}/four.orc")
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
         frames = read_sources(spark, [f"{d}/one.parquet", f"{d}/two.csv", f"{d}/missing.parquet",
-                                      f"{d}/three.json", f"{d}/empty.parquet"])
+                                      f"{d}/three.json", f"{d}/empty.parquet", f"{d}/four.orc"])
     assert any("read error" in str(w.message) for w in caught)
-    assert len(frames) == 3
+    assert len(frames) == 4
+    assert frames[3].columns == ["id", "Note", ORDER_COL]
     assert frames[0].columns == ["id", "Full Name", ORDER_COL]
     assert frames[1].columns == ["id", "SkillSet", ORDER_COL]
     srcs = [f.select(f"{ORDER_COL}.source").first()[0] for f in frames]
-    assert srcs == [0, 1, 3]
+    assert srcs == [0, 1, 3, 5]
     rows = frames[0].orderBy(f"{ORDER_COL}.row").select("id").collect()
     assert [r.id for r in rows] == [1, 2]
 
