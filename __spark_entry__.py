@@ -3,8 +3,8 @@
 Inputs are the driver tables; where an operator needs missing values, duplicate keys or
 failing calls, they are derived from data attributes (segment, status, priority, event
 type), so every query processes its whole tables. The local scorer simulates an outage for
-batch ids that are multiples of 7 (14 on retry); those batches are kept, reported as failed
-and retried, never dropped from the input.
+batches whose first candidate is in segment BUILDING (on retry: first and last candidate);
+those batches are kept, reported as failed and retried, never dropped from the input.
 """
 
 from __future__ import annotations
@@ -49,8 +49,17 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _scorer(fail_every=7):
-    return field_scorer("c_custkey", fail_every=fail_every)
+def _first_is_building(batch):
+    return batch["candidates"][0]["c_mktsegment"] == "BUILDING"
+
+
+def _first_and_last_are_building(batch):
+    return _first_is_building(batch) and batch["candidates"][-1]["c_mktsegment"] == "BUILDING"
+
+
+def _scorer(retry=False):
+    return field_scorer("c_custkey",
+                        fail_when=_first_and_last_are_building if retry else _first_is_building)
 
 
 # ---------------------------------------------------------------- inputs shared by queries
@@ -190,7 +199,7 @@ def q_failed_batches(spark, d):
 
 def q_retry_failed(spark, d):
     first = _scored(spark, d)
-    second = retry_failed(failed_batches(first), _scorer(14), ROLE)
+    second = retry_failed(failed_batches(first), _scorer(retry=True), ROLE)
     out = final_outcomes([first, second])
     return out.select("batch_id", F.when(F.col("outcome") == "ok", "ok").otherwise("failed")
                       .alias("outcome"))
@@ -312,7 +321,7 @@ def q_retried_ranking(spark, d):
     base = _candidates(spark, d)
     view = base.select("unique_id", "c_custkey", "c_mktsegment")
     first = analyze(base, view, _scorer(), ROLE)
-    final = retry(first, base, _scorer(14), ROLE).final
+    final = retry(first, base, _scorer(retry=True), ROLE).final
     return final.select("unique_id", "c_custkey", "score", "rank", "remarks")
 
 
@@ -356,17 +365,24 @@ _CANDIDATES_SQL = """
 c as (select c_custkey, c_name, c_mktsegment from customer
       where not exists (select 1 from orders where o_custkey = c_custkey
                         and o_orderstatus = 'P' and o_orderpriority = '1-URGENT')),
-n as (select *, row_number() over (order by c_custkey) as u from c)"""
+n as (select *, row_number() over (order by c_custkey) as u,
+             (row_number() over (order by c_custkey) - 1) // 50 + 1 as batch_id from c)"""
+
+# Batches the local scorer rejects: first candidate in BUILDING (retry: first and last).
+_OUTAGE_SQL = """b as (select batch_id, arg_min(c_mktsegment, u) = 'BUILDING' as down,
+             arg_min(c_mktsegment, u) = 'BUILDING' and arg_max(c_mktsegment, u) = 'BUILDING' as down_again
+      from n group by batch_id)"""
 
-_RANKED_FINAL_SQL = f"""with {_CANDIDATES_SQL},
-s as (select u, cast(c_custkey * 37 % 501 as double) as score from n where ((u - 1) // 50 + 1) % 7 <> 0),
+_RANKED_FINAL_SQL = f"""with {_CANDIDATES_SQL}, {_OUTAGE_SQL},
+s as (select u, cast(c_custkey * 37 % 501 as double) as score from n join b using (batch_id) where not b.down),
 r as (select u, score, dense_rank() over (order by score desc) as rank from s),
 f as (select n.u as unique_id, cast(n.c_custkey as varchar) as c_custkey, n.c_name, n.c_mktsegment,
              coalesce(r.score, 0) as score, coalesce(r.rank, (select count(*) from n) + 1) as rank,
              case when r.u is null then 'Not analyzed by AI' else 'scored' end as remarks
       from n left join r on n.u = r.u)"""
 
-_NUMBERED_SQL = "n as (select c_custkey, row_number() over (order by c_custkey) as u from customer)"
+_NUMBERED_SQL = """n as (select c_custkey, c_mktsegment, row_number() over (order by c_custkey) as u,
+             (row_number() over (order by c_custkey) - 1) // 50 + 1 as batch_id from customer)"""
 
 _MERGE_INPUT_SQL = """x as (select case when o_orderstatus <> 'P' then o_custkey end as k, o_orderkey,
   case when o_orderstatus <> 'F' then o_orderpriority end as pr,
@@ -407,13 +423,13 @@ from customer""",
     "pack_batches": f"""with {_NUMBERED_SQL}
 select (u - 1) // 50 + 1 as batch_id, count(*) as batch_size, min(u) as first_id, max(u) as last_id
 from n group by 1""",
-    "score_batches": f"""with {_NUMBERED_SQL}
-select u as unique_id, cast(c_custkey * 37 % 501 as double) as score from n
-where ((u - 1) // 50 + 1) % 7 <> 0""",
-    "failed_batches": f"""with {_NUMBERED_SQL}
-select distinct (u - 1) // 50 + 1 as batch_id from n where ((u - 1) // 50 + 1) % 7 = 0""",
-    "retry_failed": f"""with {_NUMBERED_SQL}, b as (select distinct (u - 1) // 50 + 1 as batch_id from n)
-select batch_id, case when batch_id % 14 = 0 then 'failed' else 'ok' end as outcome from b""",
+    "score_batches": f"""with {_NUMBERED_SQL}, {_OUTAGE_SQL}
+select u as unique_id, cast(c_custkey * 37 % 501 as double) as score from n join b using (batch_id)
+where not b.down""",
+    "failed_batches": f"""with {_NUMBERED_SQL}, {_OUTAGE_SQL}
+select batch_id from b where down""",
+    "retry_failed": f"""with {_NUMBERED_SQL}, {_OUTAGE_SQL}
+select batch_id, case when down_again then 'failed' else 'ok' end as outcome from b""",
     "parse_responses": f"""
 select event_id, {_EVENT_SCORE} as score from events where event_type <> 'view'""",
     "outcome_report": """
@@ -463,15 +479,16 @@ k as (select * from m where person_id not in (select o_custkey from orders
       where o_orderstatus = 'P' and o_orderpriority = '1-URGENT'))
 select cast(person_id as varchar) as person_id, name, segment, priority, last_total,
        row_number() over (order by person_id) as unique_id from k""",
-    "ranked_candidates": f"""with {_CANDIDATES_SQL},
-s as (select u, cast(c_custkey * 37 % 501 as double) as score from n where ((u - 1) // 50 + 1) % 7 <> 0),
+    "ranked_candidates": f"""with {_CANDIDATES_SQL}, {_OUTAGE_SQL},
+s as (select u, cast(c_custkey * 37 % 501 as double) as score from n join b using (batch_id) where not b.down),
 r as (select u, score, dense_rank() over (order by score desc) as rank from s)
 select n.u as unique_id, cast(n.c_custkey as varchar) as c_custkey, n.c_name,
        coalesce(r.score, 0) as score, coalesce(r.rank, (select count(*) from n) + 1) as rank,
        case when r.u is null then 'Not analyzed by AI' else 'scored' end as remarks
 from n left join r on n.u = r.u""",
-    "retried_ranking": f"""with {_CANDIDATES_SQL},
-s as (select u, cast(c_custkey * 37 % 501 as double) as score from n where ((u - 1) // 50 + 1) % 14 <> 0),
+    "retried_ranking": f"""with {_CANDIDATES_SQL}, {_OUTAGE_SQL},
+s as (select u, cast(c_custkey * 37 % 501 as double) as score from n join b using (batch_id)
+      where not b.down_again),
 r as (select u, score, dense_rank() over (order by score desc) as rank from s)
 select n.u as unique_id, cast(n.c_custkey as varchar) as c_custkey,
        coalesce(r.score, 0) as score, coalesce(r.rank, (select count(*) from n) + 1) as rank,

@@ -2,9 +2,10 @@
 
 ``field_scorer`` answers every candidate of a batch with
 ``score = int(candidate[field]) * factor % modulus`` in the requested JSON shape, wrapped in a
-code fence like a chat model would. Batches whose id is a multiple of ``fail_every`` raise
-``ScorerUnavailableError`` (a simulated outage; the batch itself is kept and retried, never
-skipped). It parses only its own payload: one batch of at most ``batch_size`` records.
+code fence like a chat model would. A simulated outage raises ``ScorerUnavailableError`` for
+batches matching ``fail_when(batch)`` (a predicate on the parsed batch) or whose id is a
+multiple of ``fail_every``; such a batch is kept, reported and retried, never skipped. The
+scorer parses only its own payload: one batch of at most ``batch_size`` records.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from scorekit.errors import ScorerUnavailableError
 
 
 def field_scorer(field: str, factor: int = 37, modulus: int = 501, fail_every: int | None = None,
-                 remarks: str = "scored", fence: bool = True):
+                 fail_when=None, remarks: str = "scored", fence: bool = True):
     def scorer(batch_id: int, payload: str, prompt: str) -> str:
-        if fail_every and batch_id % fail_every == 0:
-            raise ScorerUnavailableError(f"batch {batch_id}: service unavailable")
         batch = json.loads(payload)
+        if (fail_every and batch_id % fail_every == 0) or (fail_when and fail_when(batch)):
+            raise ScorerUnavailableError(f"batch {batch_id}: service unavailable")
         id_col = batch["unique_identifier_column"]
         answer = [{id_col: c[id_col], "score": int(c[field]) * factor % modulus,
                    "remarks": remarks} for c in batch["candidates"]]
