@@ -4,8 +4,9 @@ AQE splits skewed partitions of the *preserved* side of an outer join only. When
 the right side holds a large share of its rows (a scorer answering the same id again and
 again), a plain left join builds that key's whole fan-out in one task. Here:
 
-* hot keys are those with more than ``max(min_hot_rows, hot_share * rows)`` right rows, so
-  there are at most ``1 / hot_share`` of them: a proven bound, broadcast;
+* hot keys are the ``max_hot_keys`` most frequent right keys that have more than
+  ``min_hot_rows`` rows: at most ``max_hot_keys`` by construction (a top-k), so broadcast;
+  any key left out holds no more rows than the smallest hot key;
 * right rows of hot keys get a salt ``pmod(hash(row columns), buckets)``; the left rows of
   those keys are replicated once per salt and joined *inner* (every hot key has matches, so
   no left row is lost or doubled);
@@ -25,7 +26,7 @@ _SALT = "_salt"
 
 def left_join_spreading_hot_keys(left: DataFrame, right: DataFrame, left_key: str,
                                  right_key: str, salt_columns=None, buckets: int = 32,
-                                 hot_share: float = 0.001, min_hot_rows: int = 10_000) -> DataFrame:
+                                 max_hot_keys: int = 1000, min_hot_rows: int = 10_000) -> DataFrame:
     """``left.join(right, left[left_key] == right[right_key], "left")``, skew-safe.
 
     ``salt_columns`` (default: every right column) spread a hot key's rows over buckets;
@@ -33,9 +34,8 @@ def left_join_spreading_hot_keys(left: DataFrame, right: DataFrame, left_key: st
     """
     lk, rk = F.col(left_key), F.col(right_key)
     counts = right.where(rk.isNotNull()).groupBy(rk.alias(_HOT)).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()   # rows with a key; reuses the counting shuffle
-    limit = F.greatest(F.lit(min_hot_rows), total * F.lit(hot_share))
-    hot = F.broadcast(counts.where(F.col("_n") > limit).select(_HOT))
+    top = counts.where(F.col("_n") > F.lit(min_hot_rows)).orderBy(F.desc("_n")).limit(max_hot_keys)
+    hot = F.broadcast(top.select(_HOT))
 
     left_cold = left.join(hot, lk == F.col(_HOT), "left_anti")
     right_cold = right.join(hot, rk == F.col(_HOT), "left_anti")

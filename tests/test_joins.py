@@ -19,7 +19,7 @@ def test_matches_plain_left_join(spark):
     left, right = _frames(spark)
     plain = left.join(right, left.k == right.rk, "left")
     spread = left_join_spreading_hot_keys(left, right, "k", "rk", buckets=8,
-                                          hot_share=0.001, min_hot_rows=100)
+                                          max_hot_keys=2, min_hot_rows=100)
     assert spread.columns == plain.columns
     assert rows(spread) == rows(plain)
 
