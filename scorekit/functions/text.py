@@ -51,13 +51,14 @@ def key_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+# One pass: leading blanks + one ```json or ``` fence + blanks, and blanks + one ``` fence +
+# blanks at the end (the alternatives are anchored, so nothing in the middle is touched).
+_FENCES = r"(?U)^\s*(?:```(?:json)?)?\s*|\s*(?:```)?\s*$"
+
+
 def clean_response(c: Column) -> Column:
     """Strip blanks, then one leading ```json or ``` fence, then one trailing ``` fence."""
-    strip = r"(?U)^\s+|\s+$"
-    t = F.regexp_replace(c, strip, "")
-    t = F.regexp_replace(t, r"(?U)^```(?:json)?\s*", "")
-    t = F.regexp_replace(t, r"(?U)\s*```$", "")
-    return t
+    return F.regexp_replace(c, _FENCES, "")
 
 
 def python_float_text(c: Column) -> Column:

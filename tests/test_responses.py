@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from scorekit.operators.responses import batch_results, parse_responses
@@ -65,3 +67,14 @@ def test_failed_call_outcome_is_kept(spark):
     df = spark.createDataFrame([(1, "unique_id", None, "api_error")],
                                "batch_id long, unique_identifier_column string, response string, outcome string")
     assert parse_responses(df).first().outcome == "api_error"
+
+
+@pytest.mark.parametrize("raw,expected", [
+    ("```", ""), ("``````", ""), ("x``````", "x```"), ("```json```", ""), ("  ```json  ", ""),
+    ("``` ```", ""), ("```JSON\n[1]```", "JSON\n[1]"), ("\n```json\n[1]\n```\n", "[1]"),
+    ("a ``` b", "a ``` b"), ("[1]\n```", "[1]"), ("　[1]　", "[1]"),
+])
+def test_clean_response_like_strip_and_fences(spark, raw, expected):
+    from scorekit.functions.text import clean_response
+    df = spark.createDataFrame([(raw,)], "t string")
+    assert df.select(clean_response(F.col("t"))).first()[0] == expected
