@@ -33,13 +33,15 @@ from scorekit.operators.reports import (
     selection_summary,
 )
 from scorekit.operators.responses import batch_results, parse_responses
-from scorekit.operators.results import merge_results, reconcile_ids, sort_results
+from scorekit.operators.results import merge_results, reconcile_ids, sort_final, sort_results
 from scorekit.operators.scoring import failed_batches, final_outcomes, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
 from scorekit.plans.scorers import field_scorer
 from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
-from scorekit.sources.readers import read_sources
+from scorekit.session import checkpoint_root
+from scorekit.sources.readers import normalize_headers, read_sources, read_status
+from scorekit.sources.writers import write_results
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 ROLE = "Account manager"
@@ -317,6 +319,36 @@ def q_export_widths(spark, d):
     return column_widths(_ranked_final(spark, d))
 
 
+def q_normalized_headers(spark, d):
+    messy = _t(spark, d, "customer").select(
+        F.col("c_custkey").alias(" Cust-Key "), F.col("c_name").alias("Customer Name!"),
+        F.col("c_mktsegment").alias("segment (market)"), F.col("c_acctbal").alias("acct.bal"))
+    return normalize_headers(messy)
+
+
+def q_status_preview(spark, d):
+    status = read_status(spark, [f"{d}/orders.parquet"])
+    return preview(status.select("o_orderkey", "o_custkey", "o_orderstatus"), 3, "o_orderkey")
+
+
+def _label_final(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("unique_id"), "lang")
+    return merge_results(docs, _label_scores(spark, d))
+
+
+def q_top_ranked(spark, d):
+    return sort_final(_label_final(spark, d)).limit(10)
+
+
+def q_export_roundtrip(spark, d):
+    import os
+    import uuid
+
+    folder = os.path.join(checkpoint_root(spark), f"exports-{uuid.uuid4().hex}")
+    path = write_results(_label_final(spark, d), folder)
+    return spark.read.parquet(path)
+
+
 def q_retried_ranking(spark, d):
     base = _candidates(spark, d)
     view = base.select("unique_id", "c_custkey", "c_mktsegment")
@@ -358,6 +390,10 @@ _QUERIES = {
     "interview_selection": q_interview_selection,
     "interview_summary": q_interview_summary,
     "export_widths": q_export_widths,
+    "normalized_headers": q_normalized_headers,
+    "status_preview": q_status_preview,
+    "top_ranked": q_top_ranked,
+    "export_roundtrip": q_export_roundtrip,
 }
 
 # Customers left after the status table, numbered in source (= key) order.
@@ -540,7 +576,21 @@ p as (select batch_id, batch_size, (select count(*) from b) as total,
 select batch_id, batch_size, {" || ".join(parts)} as prompt from p"""
 
 
+_LABEL_FINAL_SQL = f"""with {_LABEL_RANKS},
+m as (select d.doc_id as unique_id, d.lang, r.score, r.rank, r.doc_id as hit
+      from documents d left join r using (doc_id)),
+f as (select unique_id, lang, coalesce(score, 0) as score,
+             case when hit is null then 'Not analyzed by AI' else 'scored' end as remarks,
+             coalesce(rank, (select count(*) from m) + 1) as rank from m)"""
+
 _ORACLES["render_prompts"] = _prompt_sql()
+_ORACLES["normalized_headers"] = """
+select c_custkey as CustKey, c_name as "Customer Name", c_mktsegment as "segment market",
+       c_acctbal as acctbal from customer"""
+_ORACLES["status_preview"] = """
+select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey limit 3"""
+_ORACLES["top_ranked"] = f"{_LABEL_FINAL_SQL} select * from f order by rank, unique_id limit 10"
+_ORACLES["export_roundtrip"] = f"{_LABEL_FINAL_SQL} select * from f"
 
 
 def entry(spark: SparkSession) -> DataFrame:
