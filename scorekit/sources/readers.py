@@ -45,14 +45,17 @@ def _renamed(columns: list[str]) -> list:
 
 
 def _order_struct(source_no: int, fmt: str):
+    """(source number, file, row): three fixed-width numbers, cheap to carry through the
+    aggregation buffers of a merge. Files of one source follow a fixed order (a 64-bit hash
+    of the path); rows inside a file keep file order."""
     if fmt in _ROW_INDEX_FORMATS:
         row = F.col("_metadata.row_index")
     else:
-        # Text formats have no row index; a plain file scan numbers rows the same way on
-        # every read (partition = file split, position inside it).
+        # No row index in these scans; a plain file scan numbers rows the same way on every
+        # read (partition = file split, position inside it).
         row = F.monotonically_increasing_id()
     return F.struct(F.lit(source_no).alias("source"),
-                    F.col("_metadata.file_path").alias("file"),
+                    F.xxhash64(F.col("_metadata.file_path")).alias("file"),
                     row.alias("row")).alias(ORDER_COL)
 
 
