@@ -48,8 +48,9 @@ def pack_batches(df: DataFrame, id_col: str = ID_COLUMN, batch_size: int = BATCH
     """Batches of ``batch_size`` records in id order: ``batch_id = (id - 1) div size + 1``.
 
     Output: ``batch_id, batch_size, unique_identifier_column, candidates`` where candidates
-    is an array of text-only records in column order. Every group holds at most
-    ``batch_size`` rows, so no task ever gathers an unbounded group.
+    is an array of text-only records in column order. ``id_col`` must hold the contiguous ids
+    ``1..n`` that ``assign_ids`` produces; then every group holds at most ``batch_size`` rows
+    and no task ever gathers an unbounded group.
     """
     cols = list(columns) if columns else [c for c in df.columns if c != ORDER_COL]
     types = {f.name: f.dataType for f in df.schema.fields}
