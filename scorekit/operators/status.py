@@ -24,8 +24,9 @@ def exclude_by_status(df: DataFrame, status: DataFrame | None, key: str | None,
     Plan: the status keys are de-duplicated first (partial aggregate before the shuffle),
     so the build side holds one row per key however often a key repeats. The anti-join is
     an equi-join on text; AQE broadcasts the status keys when their measured size allows,
-    otherwise sort-merges and splits a skewed probe partition. Missing keys never enter
-    the join: a one-value EXISTS subquery decides for all of them at once.
+    otherwise sort-merges and splits a skewed probe partition (missing keys included: they
+    cross the join unmatched). Whether a missing key is excluded is decided once, by a
+    one-value EXISTS subquery.
     """
     if status is None or key is None:
         return df
