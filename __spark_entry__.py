@@ -37,7 +37,7 @@ from scorekit.operators.results import merge_results, reconcile_ids, sort_final,
 from scorekit.operators.scoring import failed_batches, final_outcomes, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
-from scorekit.plans.scorers import field_scorer
+from scorekit.plans.scorers import field_scorer, first_candidate_is
 from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
 from scorekit.session import checkpoint_root
 from scorekit.sources.readers import normalize_headers, read_sources, read_status
@@ -51,17 +51,9 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _first_is_building(batch):
-    return batch["candidates"][0]["c_mktsegment"] == "BUILDING"
-
-
-def _first_and_last_are_building(batch):
-    return _first_is_building(batch) and batch["candidates"][-1]["c_mktsegment"] == "BUILDING"
-
-
 def _scorer(retry=False):
     return field_scorer("c_custkey",
-                        fail_when=_first_and_last_are_building if retry else _first_is_building)
+                        fail_when=first_candidate_is("c_mktsegment", "BUILDING", also_last=retry))
 
 
 # ---------------------------------------------------------------- inputs shared by queries

@@ -27,3 +27,13 @@ def field_scorer(field: str, factor: int = 37, modulus: int = 501, fail_every: i
         text = json.dumps(answer)
         return f"```json\n{text}\n```" if fence else text
     return scorer
+
+
+def first_candidate_is(field: str, value: str, also_last: bool = False):
+    """Outage rule for ``fail_when``: the batch's first candidate (and, with ``also_last``, its
+    last one too) has ``field == value``. Defined here so it travels to workers by value."""
+    def rule(batch) -> bool:
+        c = batch["candidates"]
+        hit = c[0].get(field) == value
+        return hit and (not also_last or c[-1].get(field) == value)
+    return rule
