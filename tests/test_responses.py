@@ -45,7 +45,7 @@ def test_response_fixture(spark, label, text, outcome, expected):
 
 @pytest.mark.parametrize("value,expected", [
     ("85", 85.0), ('" 85 "', 85.0), ("true", 1.0), ("false", 0.0), ('"inf"', math.inf),
-    ('"1e3"', 1000.0), ("12.5", 12.5),
+    ('"1e3"', 1000.0), ("12.5", 12.5), ("900", 900.0), ("-5", -5.0),  # 0-500 is not enforced
 ])
 def test_scores_accepted(spark, value, expected):
     text = f'[{{"unique_id": 1, "score": {value}, "remarks": "r"}}]'

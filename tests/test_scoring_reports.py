@@ -105,3 +105,10 @@ def test_summary_and_preview(spark):
 
 def test_unavailable_error_is_api_error():
     assert issubclass(ScorerUnavailableError, RuntimeError)
+
+
+def test_payload_is_utf8_json_in_record_order(spark):
+    df = spark.createDataFrame([("Né", 1), ("Zoë", 2)], "name string, unique_id long")
+    p = render_prompts(pack_batches(df), "r").first()
+    assert "Né" in p.payload and "\\u" not in p.payload
+    assert [c["name"] for c in json.loads(p.payload)["candidates"]] == ["Né", "Zoë"]
