@@ -13,6 +13,7 @@ ok branch and the failed branch share one set of responses and the scorer is not
 from __future__ import annotations
 
 import sys
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -69,19 +70,37 @@ def _caller(scorer):
     return call
 
 
+@contextmanager
+def _session_conf(spark, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def score_batches(batches: DataFrame, scorer, role: str = "",
                   parallelism: int = DEFAULT_PARALLELISM, template: str | None = None,
-                  total=None) -> DataFrame:
+                  total=None, prompts_per_arrow_batch: int = 64) -> DataFrame:
     """Call ``scorer`` once per batch and classify each answer.
 
     Output columns: ``batch_id, batch_size, unique_identifier_column, payload, response,
     outcome, error, _parsed``; outcome is ``ok``, ``not_list``, ``invalid_json``,
-    ``api_error`` or ``error``. Materialises the responses (see module doc).
+    ``api_error`` or ``error``. Materialises the responses (see module doc). Python workers
+    receive ``prompts_per_arrow_batch`` prompts at a time, so their memory stays bounded
+    however large the prompts are.
     """
     prompts = render_prompts(batches, role, template, total)
     work = (prompts.select(*BATCH_COLUMNS, "payload", "prompt")
                    .repartition(int(parallelism), "batch_id"))
-    raw = materialize(work.mapInPandas(_caller(scorer), SCORED_SCHEMA), "scored")
+    spark = batches.sparkSession
+    with _session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch",
+                       str(int(prompts_per_arrow_batch))):
+        raw = materialize(work.mapInPandas(_caller(scorer), SCORED_SCHEMA), "scored")
     return parse_responses(raw)
 
 

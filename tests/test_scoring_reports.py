@@ -112,3 +112,24 @@ def test_payload_is_utf8_json_in_record_order(spark):
     p = render_prompts(pack_batches(df), "r").first()
     assert "Né" in p.payload and "\\u" not in p.payload
     assert [c["name"] for c in json.loads(p.payload)["candidates"]] == ["Né", "Zoë"]
+
+
+def test_scorer_sees_small_arrow_batches(spark):
+    from scorekit.operators.scoring import _session_conf
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(frames):
+        for pdf in frames:
+            yield pdf.assign(n=len(pdf))[["n"]]
+
+    with _session_conf(spark, key, "7"):
+        seen = spark.range(0, 100, numPartitions=1).mapInPandas(sizes, "n long").collect()
+    assert max(r.n for r in seen) <= 7
+    assert spark.conf.get(key) == before
+
+    b = pack_batches(_numbered(spark, 500), batch_size=5)   # 100 batches
+    scored = score_batches(b, field_scorer("k"), "r", parallelism=1, prompts_per_arrow_batch=7)
+    assert scored.where("outcome = 'ok'").count() == 100
+    assert spark.conf.get(key) == before
