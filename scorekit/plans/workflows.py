@@ -23,6 +23,7 @@ from scorekit.operators.results import merge_results
 from scorekit.operators.scoring import failed_batches, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
+from scorekit.session import materialize
 
 
 @dataclass
@@ -76,10 +77,11 @@ def analyze(base: DataFrame, scoring_view: DataFrame, scorer, role: str,
             id_col: str = ID_COLUMN, batch_size: int = BATCH_SIZE,
             parallelism: int = DEFAULT_PARALLELISM, template: str | None = None) -> Analysis:
     """Pack -> score -> parse -> rank -> merge. Without any valid score the final table is
-    the base unchanged."""
+    the base unchanged. Writes the scored batches, the parsed results and the merged rows."""
     batches = pack_batches(scoring_view, id_col, batch_size)
     scored = score_batches(batches, scorer, role, parallelism, template)
-    results = batch_results(scored)
+    # Parsed once and written: ranking, the merge and its skew check all read this table.
+    results = materialize(batch_results(scored), "results")
     final = base if results.isEmpty() else merge_results(base, results, id_col)
     return Analysis(final, results, failed_batches(scored), [scored])
 
@@ -88,7 +90,7 @@ def retry(analysis: Analysis, base: DataFrame, scorer, role: str, id_col: str =
           parallelism: int = DEFAULT_PARALLELISM, template: str | None = None) -> Analysis:
     """Re-score only the failed batches, append their results, rank and merge again."""
     rescored = retry_failed(analysis.failed, scorer, role, parallelism, template)
-    new = batch_results(rescored)
+    new = materialize(batch_results(rescored), "results")
     results = analysis.results.unionByName(new)
     final = base if results.isEmpty() else merge_results(base, results, id_col)
     return Analysis(final, results, failed_batches(rescored), [*analysis.runs, rescored])
