@@ -6,11 +6,13 @@ import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorekit.functions.text import key_text
 from scorekit.operators._cols import q
 
 _SK = "_status_key"
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def exclude_by_status(df: DataFrame, status: DataFrame | None, key: str | None,
@@ -34,10 +36,14 @@ def exclude_by_status(df: DataFrame, status: DataFrame | None, key: str | None,
     if key not in df.columns or status_key not in status.columns:
         warnings.warn(f"Status identifier '{key}' not found in DataFrames.", stacklevel=2)
         return df
-    kt = key_text(q(key), df.schema[key].dataType)
-    base = df.withColumn(key, kt)
-    st = status.select(key_text(q(status_key), status.schema[status_key].dataType).alias(_SK))
+    btype, stype = df.schema[key].dataType, status.schema[status_key].dataType
+    if isinstance(btype, _INTEGRAL) and isinstance(stype, _INTEGRAL):
+        # Integer texts are equal exactly when the integers are: join on 8-byte longs.
+        base, st_key = df.withColumn(key, q(key).cast("bigint")), q(status_key).cast("bigint")
+    else:
+        base, st_key = df.withColumn(key, key_text(q(key), btype)), key_text(q(status_key), stype)
+    st = status.select(st_key.alias(_SK))
     keys = st.where(F.col(_SK).isNotNull()).distinct()
     null_in_status = st.where(F.col(_SK).isNull()).exists()
     kept = base.join(keys, base[key] == keys[_SK], "left_anti")
-    return kept.where(q(key).isNotNull() | ~null_in_status)
+    return kept.where(q(key).isNotNull() | ~null_in_status).withColumn(key, q(key).cast("string"))

@@ -110,3 +110,13 @@ def test_status_missing_column_unchanged(spark):
         warnings.simplefilter("always")
         assert exclude_by_status(df, st, "id") is df
     assert exclude_by_status(df, None, "id") is df
+
+
+def test_status_integer_keys_join_as_longs(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (3,)], "id int")
+    st = spark.createDataFrame([(2,), (None,)], "id long")
+    out = exclude_by_status(df, st, "id")
+    assert dict(out.dtypes)["id"] == "string"
+    assert rows(out) == [("1",), ("3",)]
+    st2 = spark.createDataFrame([(2,)], "id long")
+    assert rows(exclude_by_status(df, st2, "id")) == [(None,), ("1",), ("3",)]
