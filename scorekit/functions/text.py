@@ -51,14 +51,19 @@ def key_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-# One pass: leading blanks + one ```json or ``` fence + blanks, and blanks + one ``` fence +
-# blanks at the end (the alternatives are anchored, so nothing in the middle is touched).
-_FENCES = r"(?U)^\s*(?:```(?:json)?)?\s*|\s*(?:```)?\s*$"
+# Leading blanks + one ```json or ``` fence + blanks; and (read from the end) blanks + one
+# ``` fence + blanks. Both patterns are anchored at the start of the text they scan, so the
+# regex engine stops after the prefix instead of trying every position of a long answer.
+_LEAD = r"(?U)^\s*(?:```(?:json)?)?\s*"
+_TAIL_REVERSED = r"(?U)^\s*(?:```)?\s*"
 
 
 def clean_response(c: Column) -> Column:
-    """Strip blanks, then one leading ```json or ``` fence, then one trailing ``` fence."""
-    return F.regexp_replace(c, _FENCES, "")
+    """Strip blanks, then one leading ```json or ``` fence, then one trailing ``` fence.
+    The tail is stripped on the reversed text (``reverse`` works on characters, so reversing
+    twice gives the text back)."""
+    head_done = F.regexp_replace(c, _LEAD, "")
+    return F.reverse(F.regexp_replace(F.reverse(head_done), _TAIL_REVERSED, ""))
 
 
 def python_float_text(c: Column) -> Column:
