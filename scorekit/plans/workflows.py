@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scorekit.functions.constants import BATCH_SIZE, DEFAULT_PARALLELISM, ID_COLUMN, ORDER_COL
 from scorekit.operators._cols import q
@@ -97,7 +98,14 @@ def retry(analysis: Analysis, base: DataFrame, scorer, role: str, id_col: str =
 
 
 def select_and_report(final: DataFrame, lo=None, hi=None) -> tuple[DataFrame, DataFrame]:
-    """Ranked rows within an inclusive score range, display order, and their summary."""
+    """Ranked rows within an inclusive score range, display order, and their summary.
+    A final table without ranks (nothing was scored) selects nothing."""
+    if "rank" not in final.columns or "score" not in final.columns:
+        chosen = final.where(F.lit(False))
+        summary = chosen.agg(F.count(F.lit(1)).alias("n"),
+                             F.lit(None).cast("double").alias("min_score"),
+                             F.lit(None).cast("double").alias("max_score"))
+        return display_columns(chosen), summary
     chosen = filter_score_range(ranked_only(final), lo, hi)
     return display_columns(chosen), selection_summary(chosen)
 

@@ -68,3 +68,17 @@ def test_consolidate_without_dedupe_keeps_duplicates(spark):
     assert rows(c.base.select("a", "o", "unique_id")) == [("x", 1, 1), ("x", 2, 2)]
     r = c.report.first()
     assert (r.rows_in, r.merged, r.removed, r.rows_out) == (2, 0, 0, 2)
+
+
+def test_nothing_scored_keeps_base_and_selects_nothing(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, o long")
+    c = consolidate([df], dedupe=None, order_by="o")
+    a = analyze(c.base, c.scoring_view, field_scorer("o", fail_every=1), "r")
+    assert a.final.columns == c.base.columns            # base unchanged
+    assert a.failed.count() == 1                        # one batch holds both rows
+    chosen, summary = select_and_report(a.final, lo=0)
+    assert chosen.count() == 0 and summary.first().n == 0
+    b = retry(a, c.base, field_scorer("o"), "r")         # retry scores both
+    assert rows(b.final.select("a", "score")) == [("x", 37.0), ("y", 74.0)]
+    again = retry(b, c.base, field_scorer("o"), "r")     # nothing left to retry
+    assert again.failed.count() == 0 and again.final.count() == 2
