@@ -69,7 +69,8 @@ def consolidate(sources: list[DataFrame], dedupe: str | None = "key", key: str |
     kept = exclude_by_status(step, status, status_key, status_column)
     base = assign_ids(kept, order, out=id_col, partitions=partitions).drop(ORDER_COL)
     view = scoring_projection(base, columns, id_col) if columns else base
-    report = consolidation_report(union, merged, kept if status is not None else None,
+    # The numbered base is a written table with the rows of ``kept``: counting it is a scan.
+    report = consolidation_report(union, merged, base if status is not None else None,
                                   key if dedupe == "key" else None)
     return Consolidation(base, view, report)
 
