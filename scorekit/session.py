@@ -44,11 +44,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     Read from the session. Only a local-mode session without one gets a fresh temporary
     folder; on a cluster a shared folder must be configured, never a machine-local one.
     """
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        sc = None
+    root = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not sc.master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="scorekit-ckpt-")

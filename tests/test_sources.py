@@ -82,3 +82,12 @@ def test_write_results_timestamped(spark):
     assert back.collect()[0]["unique_id"] == "1"
     with pytest.raises(Exception):
         write_results(df, d, "csv", now=datetime(2024, 1, 2, 3, 4, 5))
+
+
+def test_checkpoint_root_reads_session_setting(spark):
+    from scorekit.session import checkpoint_root, materialize
+
+    root = checkpoint_root(spark)
+    assert root
+    df = materialize(spark.range(3), "probe")
+    assert df.count() == 3 and root.replace("file:", "") in df.inputFiles()[0].replace("file:", "")
