@@ -341,6 +341,23 @@ def q_export_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def q_lineitem_consolidated(spark, d):
+    """Merge at scale: lines merged per order (first non-missing value in line order),
+    orders with status F removed, ids in order-key order."""
+    li = _t(spark, d, "lineitem").select(
+        "l_orderkey", *_LINE_ORDER,
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("returnflag"),
+        F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"),
+        "l_quantity")
+    finished = _t(spark, d, "orders").where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("l_orderkey"))
+    return consolidate([li], dedupe="key", key="l_orderkey", status=finished,
+                       status_key="l_orderkey", order_by=_LINE_ORDER).base
+
+
 def q_retried_ranking(spark, d):
     base = _candidates(spark, d)
     view = base.select("unique_id", "c_custkey", "c_mktsegment")
@@ -386,6 +403,7 @@ _QUERIES = {
     "status_preview": q_status_preview,
     "top_ranked": q_top_ranked,
     "export_roundtrip": q_export_roundtrip,
+    "lineitem_consolidated": q_lineitem_consolidated,
 }
 
 # Customers left after the status table, numbered in source (= key) order.
@@ -583,6 +601,22 @@ _ORACLES["status_preview"] = """
 select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey limit 3"""
 _ORACLES["top_ranked"] = f"{_LABEL_FINAL_SQL} select * from f order by rank, unique_id limit 10"
 _ORACLES["export_roundtrip"] = f"{_LABEL_FINAL_SQL} select * from f"
+_ORACLES["lineitem_consolidated"] = """
+with x as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+                  case when l_returnflag <> 'N' then l_returnflag end as returnflag,
+                  case when l_discount > 0.05 then l_discount end as discount, l_quantity,
+                  (l_linenumber, l_partkey, l_suppkey, l_extendedprice) as o
+           from lineitem),
+m as (select l_orderkey,
+             arg_min(l_linenumber, o) as l_linenumber, arg_min(l_partkey, o) as l_partkey,
+             arg_min(l_suppkey, o) as l_suppkey, arg_min(l_extendedprice, o) as l_extendedprice,
+             arg_min(returnflag, o) filter (where returnflag is not null) as returnflag,
+             arg_min(discount, o) filter (where discount is not null) as discount,
+             arg_min(l_quantity, o) as l_quantity
+      from x group by l_orderkey),
+k as (select * from m where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F'))
+select cast(l_orderkey as varchar) as l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+       returnflag, discount, l_quantity, row_number() over (order by l_orderkey) as unique_id from k"""
 
 
 def entry(spark: SparkSession) -> DataFrame:
