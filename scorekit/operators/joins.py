@@ -7,9 +7,10 @@ again), a plain left join builds that key's whole fan-out in one task. Here:
 * hot keys are the ``max_hot_keys`` most frequent right keys that have more than
   ``min_hot_rows`` rows: at most ``max_hot_keys`` by construction (a top-k), so broadcast;
   any key left out holds no more rows than the smallest hot key;
-* right rows of hot keys get a salt ``pmod(hash(row columns), buckets)``; the left rows of
-  those keys are replicated once per salt and joined *inner* (every hot key has matches, so
-  no left row is lost or doubled);
+* each hot key gets ``ceil(rows / rows_per_task)`` salt buckets (2 to ``max_buckets``), so
+  the spread grows with the key's size; its right rows get ``pmod(hash(row columns),
+  buckets)``, its left rows are replicated once per bucket and joined *inner* (every hot key
+  has matches, so no left row is lost or doubled);
 * all other rows take an ordinary left join.
 
 With no hot key the broadcast set is empty and AQE drops the salted branch at run time.
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 
 _HOT = "_hot_key"
 _SALT = "_salt"
+_BUCKETS = "_buckets"
 
 
 def left_join_spreading_hot_keys(left: DataFrame, right: DataFrame, left_key: str,
-                                 right_key: str, salt_columns=None, buckets: int = 32,
-                                 max_hot_keys: int = 1000, min_hot_rows: int = 10_000) -> DataFrame:
+                                 right_key: str, salt_columns=None, rows_per_task: int = 1_000_000,
+                                 max_buckets: int = 4096, max_hot_keys: int = 1000,
+                                 min_hot_rows: int = 10_000) -> DataFrame:
     """``left.join(right, left[left_key] == right[right_key], "left")``, skew-safe.
 
     ``salt_columns`` (default: every right column) spread a hot key's rows over buckets;
@@ -35,17 +38,21 @@ def left_join_spreading_hot_keys(left: DataFrame, right: DataFrame, left_key: st
     lk, rk = F.col(left_key), F.col(right_key)
     counts = right.where(rk.isNotNull()).groupBy(rk.alias(_HOT)).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.where(F.col("_n") > F.lit(min_hot_rows)).orderBy(F.desc("_n")).limit(max_hot_keys)
-    hot = F.broadcast(top.select(_HOT))
+    buckets = F.least(F.lit(max_buckets),
+                      F.greatest(F.lit(2), F.ceil(F.col("_n") / F.lit(rows_per_task)))).cast("int")
+    hot = F.broadcast(top.select(_HOT, buckets.alias(_BUCKETS)))
 
     left_cold = left.join(hot, lk == F.col(_HOT), "left_anti")
     right_cold = right.join(hot, rk == F.col(_HOT), "left_anti")
     cold = left_cold.join(right_cold, left_cold[left_key] == right_cold[right_key], "left")
 
     salt_by = [F.col(f"`{c}`") for c in (salt_columns or right.columns)]
-    left_hot = (left.join(hot, lk == F.col(_HOT), "left_semi")
-                    .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
-    right_hot = (right.join(hot, rk == F.col(_HOT), "left_semi")
-                      .withColumn(_SALT, F.pmod(F.xxhash64(*salt_by), F.lit(buckets)).cast("int")))
+    left_hot = (left.join(hot, lk == F.col(_HOT), "inner")
+                    .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.col(_BUCKETS) - 1)))
+                    .drop(_HOT, _BUCKETS))
+    right_hot = (right.join(hot, rk == F.col(_HOT), "inner")
+                      .withColumn(_SALT, F.pmod(F.xxhash64(*salt_by), F.col(_BUCKETS)).cast("int"))
+                      .drop(_HOT, _BUCKETS))
     spread = left_hot.join(right_hot, (left_hot[left_key] == right_hot[right_key])
                            & (left_hot[_SALT] == right_hot[_SALT]), "inner")
     columns = [*left.columns, *right.columns]

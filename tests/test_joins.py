@@ -18,7 +18,7 @@ def _frames(spark):
 def test_matches_plain_left_join(spark):
     left, right = _frames(spark)
     plain = left.join(right, left.k == right.rk, "left")
-    spread = left_join_spreading_hot_keys(left, right, "k", "rk", buckets=8,
+    spread = left_join_spreading_hot_keys(left, right, "k", "rk", rows_per_task=400,
                                           max_hot_keys=2, min_hot_rows=100)
     assert spread.columns == plain.columns
     assert rows(spread) == rows(plain)
@@ -26,7 +26,8 @@ def test_matches_plain_left_join(spark):
 
 def test_hot_key_is_spread(spark):
     left, right = _frames(spark)
-    spread = left_join_spreading_hot_keys(left, right, "k", "rk", buckets=8, min_hot_rows=100)
+    spread = left_join_spreading_hot_keys(left, right, "k", "rk", rows_per_task=400,
+                                          min_hot_rows=100)
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(key, "false")   # keep join partitions as planned, to observe the spread
     try:
