@@ -7,7 +7,8 @@ single task. Instead:
    ``monotonically_increasing_id`` then holds (partition << 33) + position;
 2. write that table under the checkpoint folder, so the counting pass and the numbering
    pass see the very same partition contents (two separate range shuffles may sample
-   different bounds), and so a lost executor cannot change them;
+   different bounds), and so a lost executor cannot change them; AQE may coalesce the
+   range partitions (adjacent ones, in order), which keeps partition order = key order;
 3. count rows per partition (n rows), running offsets over those n rows (one tiny task),
    broadcast them (bounded by n) and add ``offset + position + 1``.
 
@@ -18,7 +19,7 @@ costs one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorekit.operators._cols import order_columns, q
@@ -32,15 +33,6 @@ _LEVEL = "_rank_level"
 _POS_BITS = 33
 
 
-def _partitions(spark: SparkSession, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except (TypeError, ValueError):
-        return 200
-
-
 def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
                partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1..n following ``order_by`` (names or sort Columns, e.g. ``F.desc``).
@@ -48,14 +40,16 @@ def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
     An existing ``out`` column is overwritten in place. Materialises once (see module doc).
     The order key should be unique; ties get distinct ids in an unspecified order.
     """
-    spark = df.sparkSession
-    n = _partitions(spark, partitions)
     order = order_columns(order_by)
     columns = df.columns if out in df.columns else [*df.columns, out]
     base = df.drop(out)
-    ranged = (base.repartitionByRange(n, *order)
-                  .sortWithinPartitions(*order)
-                  .withColumn(_MID, F.monotonically_increasing_id()))
+    # Without an explicit count AQE may coalesce the range partitions. It merges adjacent
+    # ranges in order, so partition index order is still key order, and the positions are
+    # fixed in the written table before anything counts them.
+    by_range = (base.repartitionByRange(int(partitions), *order) if partitions
+                else base.repartitionByRange(*order))
+    ranged = (by_range.sortWithinPartitions(*order)
+                      .withColumn(_MID, F.monotonically_increasing_id()))
     ranged = materialize(ranged, "ids")
     ranged = ranged.withColumn(_PID, F.shiftright(F.col(_MID), _POS_BITS))
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))

@@ -78,8 +78,11 @@ def main(argv):
     if os.environ.get("ORACLE_PLAIN_SESSION"):
         # the session a caller may hand us: defaults only
         from pyspark.sql import SparkSession
-        spark = (SparkSession.builder.master("local[*]")
-                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+        parts = os.environ.get("ORACLE_PLAIN_SESSION")
+        builder = SparkSession.builder.master("local[*]")
+        if parts.isdigit():
+            builder = builder.config("spark.sql.shuffle.partitions", parts)
+        spark = builder.getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     else:
         spark = local_session()

@@ -79,3 +79,15 @@ def test_reconcile_and_analyzed(spark):
     final = merge_results(base, res)
     assert analyzed_count(final, res).first()[0] == 2
     assert [x.unique_id for x in sort_final(final).collect()] == [3, 1, 2]
+
+
+def test_ids_with_coalesced_range_partitions(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200")        # many tiny range partitions: AQE coalesces them
+    try:
+        df = spark.range(0, 3000).select(((F.col("id") * 7919) % 3000).alias("k"))
+        out = assign_ids(df, "k")
+        assert all(r.unique_id == r.k + 1 for r in out.collect())
+    finally:
+        spark.conf.set(key, before)
