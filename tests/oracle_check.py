@@ -79,7 +79,7 @@ def main(argv):
         # the session a caller may hand us: defaults only
         from pyspark.sql import SparkSession
         parts = os.environ.get("ORACLE_PLAIN_SESSION")
-        builder = SparkSession.builder.master("local[*]")
+        builder = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false")
         if parts.isdigit():
             builder = builder.config("spark.sql.shuffle.partitions", parts)
         spark = builder.getOrCreate()
