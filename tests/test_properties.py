@@ -27,3 +27,37 @@ def test_dense_rank_matches_definition(spark, scores):
     levels = sorted({s for s in scores if not math.isnan(s)}, reverse=True)
     want = {i: levels.index(s) + 1 for i, s in enumerate(scores) if not math.isnan(s)}
     assert got == want
+
+
+_KEYS = st.sampled_from(["a", "b", "c", None])
+_VALS = st.one_of(st.none(), st.integers(-5, 5))
+_TEXT = st.one_of(st.none(), st.sampled_from(["x", "y", "z"]))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(_KEYS, _VALS, _TEXT), min_size=1, max_size=40))
+def test_merge_by_key_matches_pandas_first(spark, records):
+    import pandas as pd
+
+    from scorekit.operators.dedupe import merge_by_key
+
+    rows = [(k, v, s, i) for i, (k, v, s) in enumerate(records)]
+    df = spark.createDataFrame(rows, "k string, v int, s string, o int")
+    got = {r.k: (r.v, r.s) for r in merge_by_key(df, "k", order_by="o").collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "v", "s", "o"])
+    first = pdf.drop(columns="o").groupby("k").first()      # skips missing values per column
+    want = {k: (None if pd.isna(r.v) else int(r.v), None if pd.isna(r.s) else r.s)
+            for k, r in first.iterrows()}
+    assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(_KEYS, min_size=1, max_size=30), st.lists(_KEYS, max_size=10))
+def test_exclusion_matches_set_semantics(spark, keys, status_keys):
+    from scorekit.operators.status import exclude_by_status
+
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    st_df = spark.createDataFrame([(k,) for k in status_keys], "k string")
+    got = sorted(r.i for r in exclude_by_status(df, st_df, "k").collect())
+    removed = set(status_keys)                               # None matches None
+    assert got == [i for i, k in enumerate(keys) if k not in removed]
