@@ -1,6 +1,7 @@
 """Property checks: ids are exactly 1..n in order; dense rank is monotone and gap-free."""
 
 import math
+import os
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +62,68 @@ def test_exclusion_matches_set_semantics(spark, keys, status_keys):
     got = sorted(r.i for r in exclude_by_status(df, st_df, "k").collect())
     removed = set(status_keys)                               # None matches None
     assert got == [i for i, k in enumerate(keys) if k not in removed]
+
+
+_SCORE = st.one_of(st.none(), st.booleans(), st.integers(-1000, 1000),
+                   st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False),
+                   st.sampled_from([" 12 ", "1e3", ".5", "5.", "+5", "-inf", "12%", "12d", "abc", ""]),
+                   st.lists(st.integers(0, 3), max_size=2))
+_ELEMENT = st.one_of(
+    st.fixed_dictionaries({}, optional={"unique_id": st.one_of(st.integers(1, 99), st.sampled_from(["7", "x"])),
+                                        "score": _SCORE,
+                                        "remarks": st.one_of(st.none(), st.sampled_from(["ok", "né"])),
+                                        "extra": st.integers(0, 3)}),
+    st.integers(0, 9), st.sampled_from(["text"]))
+
+
+def _python_view(text):
+    """The answer read with Python's own json and float (the semantics to match)."""
+    import json
+
+    t = text.strip()
+    if t.startswith("```json"):
+        t = t[len("```json"):].strip()
+    elif t.startswith("```"):
+        t = t[3:].strip()
+    if t.endswith("```"):
+        t = t[:-3].strip()
+    try:
+        value = json.loads(t)
+    except ValueError:
+        return "invalid_json", []
+    if not isinstance(value, list):
+        return "not_list", []
+    kept = []
+    for e in value:
+        if isinstance(e, dict) and all(k in e for k in ("unique_id", "score", "remarks")):
+            try:
+                kept.append((str(e["unique_id"]), float(e["score"]), e["remarks"]))
+            except (TypeError, ValueError):
+                pass
+    return "ok", kept
+
+
+@settings(max_examples=int(os.environ.get("ANSWER_EXAMPLES", "10")), deadline=None)
+@given(st.lists(st.tuples(st.lists(_ELEMENT, max_size=4), st.sampled_from(["", "```json\n", "```"]),
+                          st.sampled_from(["", " extra", "]"]), st.booleans()),
+                min_size=1, max_size=10))
+def test_answers_match_python_reading(spark, answers):
+    import json
+
+    from scorekit.operators.responses import batch_results, parse_responses
+
+    texts = []
+    for elements, fence, tail, as_object in answers:
+        body = json.dumps(elements[0] if (as_object and elements) else elements, ensure_ascii=False)
+        texts.append(fence + body + ("\n```" if fence else "") + tail)
+    df = spark.createDataFrame([(i, "unique_id", t) for i, t in enumerate(texts)],
+                               "batch_id long, unique_identifier_column string, response string")
+    parsed = parse_responses(df)
+    outcomes = {r.batch_id: r.outcome for r in parsed.select("batch_id", "outcome").collect()}
+    got = {}
+    for r in batch_results(parsed).collect():
+        got.setdefault(r.batch_id, []).append((r.unique_id, r.score, r.remarks))
+    for i, t in enumerate(texts):
+        outcome, kept = _python_view(t)
+        assert outcomes[i] == outcome, t
+        assert sorted(got.get(i, [])) == sorted(kept), t
