@@ -28,13 +28,24 @@ def test_hot_key_is_spread(spark):
     left, right = _frames(spark)
     spread = left_join_spreading_hot_keys(left, right, "k", "rk", rows_per_task=400,
                                           min_hot_rows=100)
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")   # keep join partitions as planned, to observe the spread
+    # Observe the shuffle join a large hot side gets: keep partitions as planned and stop
+    # AQE from broadcasting this tiny fixture's hot answers (the hot-id set stays broadcast
+    # by its explicit hint).
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         tasks = (spread.where("k = 7").select(F.spark_partition_id().alias("p"))
                        .distinct().count())
     finally:
-        spark.conf.set(key, "true")
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     assert tasks > 1
 
 
