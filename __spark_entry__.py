@@ -9,6 +9,7 @@ those batches are kept, reported as failed and retried, never dropped from the i
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -631,6 +632,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_ranked_candidates(spark, SMOKE_DIR)
 
 
+def _add_optional() -> None:
+    """Add the queries of the corpus operators and of the corpus pipeline, if they are there."""
+    for module in ("scorekit.llm.queries", "corpus_pipeline"):
+        try:
+            found = importlib.import_module(module)
+        except ModuleNotFoundError as e:
+            if e.name not in ("scorekit.llm", "scorekit.llm.queries", "corpus_pipeline"):
+                raise
+            continue
+        _QUERIES.update(found.QUERIES)
+        _ORACLES.update(found.ORACLES)
+
+
+_add_optional()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
