@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scorekit.llm import (
     exact_dedup,
     langid,
+    lm_scoring,
     sharding,
     simhash,
     sp_codec,
@@ -29,6 +30,10 @@ BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 GRADE = "toxic * (2 - coalesce(quality, 1))"
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
 
@@ -60,7 +65,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_simhash, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
+    op1_lm_scoring, op3_simhash, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
     op9_token_counts, op10_exact_dedup)}
 
 ORACLES = {
