@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from scorekit.llm import (
+    decontamination,
     exact_dedup,
     langid,
     lm_scoring,
@@ -38,6 +39,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scoring, op3_simhash, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
+    op1_lm_scoring, op3_simhash, op4_decontamination, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
     op9_token_counts, op10_exact_dedup)}
 
 ORACLES = {
