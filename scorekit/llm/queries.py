@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from scorekit.llm import (
+    chat_windows,
     decontamination,
     exact_dedup,
     langid,
@@ -24,6 +25,7 @@ from scorekit.session import checkpoint_root
 
 SHINGLE, MAX_BITS = 3, 2
 SHARDS = 24
+ADDED_TEXT = r"\### Assistant: </turn> ok"  # of conversation -7
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +37,15 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_windows(spark, sf_dir):
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(ADDED_TEXT).alias("text"))
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_windows.conversation_digests(chat_windows.format_windows(conversations.unionByName(added)))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
 
@@ -70,10 +81,42 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scoring, op3_simhash, op4_decontamination, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
+    op1_lm_scoring, op2_chat_windows, op3_simhash, op4_decontamination, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
     op9_token_counts, op10_exact_dedup)}
 
 ORACLES = {
+    "op2_chat_windows": rf"""
+with added(conv_id, turn, role, text) as (values
+  (-7, 0, 'user', '{ADDED_TEXT}'), (-7, 1, 'assistant', '{ADDED_TEXT}')),
+rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+         from (select conv_id, turn, role, text from conversations union all select * from added)),
+t as (select *, row_number() over w as pos,
+             (strlen(text) + 3) // 4 + {chat_windows.TURN_TOKENS} as own,
+             4 + length(role) + 2 + 8
+             + length(replace(replace(replace(text, '\', '\\'), '</', '<\/'), '#', '\#')) as chars
+      from rows window w as (partition by conv_id order by turn, role, text)),
+s as (select *, pos = 1 and role = 'system' as is_system from t),
+o as (select *, max(case when is_system then own else 0 end) over (partition by conv_id) as off_,
+             sum(case when is_system then 0 else own end) over (partition by conv_id order by pos) as until_
+      from s),
+b as (select *, case when is_system then 0 else until_ - own end as begin_,
+             greatest(1, {chat_windows.BUDGET - chat_windows.HISTORY} - off_) as span from o),
+m as (select *, 2 * (begin_ // span)
+                + case when not is_system and (until_ - 1) // span > begin_ // span then 1 else 0 end as win from b),
+w as (select conv_id, win, min(begin_) as start_, min(pos) as first_, sum(chars) as own_chars from m group by 1, 2),
+h as (select w.conv_id, w.win, sum(m.chars) as chars
+      from w join m on m.conv_id = w.conv_id and w.first_ > 1
+           and (m.is_system or (m.until_ <= w.start_ and m.begin_ >= w.start_ - {chat_windows.HISTORY}))
+      group by 1, 2),
+f as (select w.conv_id, sum(own_chars + coalesce(h.chars, 0)) as formatted_chars
+      from w left join h on h.conv_id = w.conv_id and h.win = w.win group by 1),
+d as (select conv_id, count(*) as n_turns,
+             sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+             sum(case when role = 'assistant' then length(text) else 0 end) as loss_chars,
+             sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by pos)) as loss_sha256
+      from t group by 1)
+select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars
+from d join f using (conv_id)""",
     "op10_exact_dedup": """
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept,
        sha256(coalesce(d.text, '')) as text_sha256
