@@ -1,0 +1,46 @@
+import os
+import sys
+
+import pytest
+from pyspark.sql import types as T
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+LONG = "lorem ipsum dolor " * 30_000  # a very long text
+EDGE_TEXTS = [
+    None, "", " ", "\n\t", "a", "one two", "one two three", "ONE two three four", "one  two   three",
+    "the same text stands here twice or more", "the same text stands here twice or more",
+    "été café ñandú größe", "中文 文本", "\x00 nul", "▁mark ▁▁ ###</turn> \\ back", "x" * 5000, LONG,
+]
+DOCS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType())])
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""
+    rows = [(i, t, "en" if i % 2 else None, None, None) for i, t in enumerate(EDGE_TEXTS)]
+    rows += [(9, EDGE_TEXTS[9], "en", None, None), (9, EDGE_TEXTS[9], "en", None, None),
+             (None, "a text without an id", "en", "s", 1), (None, "a text without an id", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    from pyspark.sql import functions as F
+    return df.withColumns({c: F.lit("clash") for c in (
+        "size", "shard", "row", "recipe", "fp", "sha", "chunk", "kind", "key", "n", "value", "digest", "item",
+        "g", "root", "component_id", "held_out", "score", "grade", "ids", "cand", "sig", "part")})
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="session")
+def real_docs(spark):
+    """The smallest table of documents, whole."""
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -1,0 +1,55 @@
+import public_tokenizers as P
+from llm.conftest import texts_of
+from llm.test_decontamination import brute as leaks
+from llm.test_simhash import plain_components
+
+import corpus_pipeline as C
+from scorekit.llm import toxicity
+from scorekit.llm.common import table
+from scorekit.session import materialize
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_stage_by_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    model = toxicity.learn(docs, table(spark, SF, "labels"), C.GRADE)
+    toxic = {r["doc_id"] for r in toxicity.predict_severity(docs, model).collect() if r["toxic"]}
+    stages = dict(C.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "simhash", "decontamination", "sentencepiece"]
+
+    def step(name, docs):
+        out = materialize(stages[name](spark, docs, SF), name)
+        assert out.columns == columns
+        return out, dict(texts_of(out))
+
+    before = dict(texts_of(docs))
+    docs, now = step("toxicity", docs)
+    assert now == {i: t for i, t in before.items() if i not in toxic}
+    last = {t: max(i for i, u in now.items() if u == t) for t in now.values()}
+    docs, kept = step("exact_dedup", docs)
+    assert kept == {i: t for i, t in now.items() if last[t] == i}
+    roots = {i: c for i, _, c in plain_components(list(kept.items()), C.MAX_BITS)}
+    docs, one = step("simhash", docs)
+    assert one == {i: t for i, t in kept.items() if roots[i] == i}
+    found = {i for i, _ in leaks(list(one.items()), [tuple(r) for r in table(spark, SF, "benchmark").collect()], 0.2)}
+    docs, clean = step("decontamination", docs)
+    assert clean == {i: t for i, t in one.items() if i not in found}
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = stages["sentencepiece"](spark, docs, SF).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: library.encode(t, add_eos=True) for i, t in clean.items()}
+
+
+def test_stages_take_edge_rows_and_empty_tables(spark, edge_docs, no_docs):
+    for docs in (edge_docs, no_docs):
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "sentencepiece" or out.columns == docs.columns
+            assert out.count() <= docs.count()
+
+
+def test_run_returns_the_last_stages_rows(spark):
+    assert C.run(spark, SF).columns == ["doc_id", "ids", "decoded"]
+    assert C.QUERIES["pipeline"] is C.run and C.ORACLE_SQL is None
