@@ -127,7 +127,8 @@ def _long_lists(values) -> pa.Array:
 
 
 def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> DataFrame:
-    """``item_id, size, n_words, words, pairs, sigs`` of each distinct item."""
+    """``item`` (a number of its own), ``item_id, size, n_words, words, places, sigs`` of each
+    distinct item."""
     def task(batches):
         hasher, walkers = WordHasher(), {}
         for part in slices(batches):
@@ -155,7 +156,8 @@ def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> Dat
     schema = T.StructType([T.StructField("item_id", benchmark.schema[item_col].dataType),
                            *T._parse_datatype_string("size int, n_words int, words array<bigint>, "
                                                      "places array<bigint>, sigs array<bigint>").fields])
-    return materialize(rows.mapInArrow(task, schema), "decon-items")
+    return materialize(rows.mapInArrow(task, schema).withColumn("item", F.monotonically_increasing_id()),
+                       "decon-items")
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tuple[int, int]],
@@ -267,20 +269,19 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
         edits = edits_allowed(r["hi"], max_share)
         need[r["size"]] = (max(1, r["size"] - 1 - 2 * edits), r["hi"] + edits)
     pair_bits = _bit_table(items.select(F.explode("places").alias("place")))
-    places = items.select(F.explode("sigs").alias("sig"))
 
     def sig_places(batches):
         for part in batches:
             sig = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(_place(mix(sig)))], names=["place"])
 
-    sig_bits = _bit_table(places.mapInArrow(sig_places, "place bigint"))
+    sig_bits = _bit_table(items.select(F.explode("sigs")).mapInArrow(sig_places, "place bigint"))
     cands = _candidates(docs, id_col, text_col, need, pair_bits, sig_bits, shape)
     met = (cands.select("cand", F.explode("sigs").alias("sig"))
-           .join(items.select("item_id", F.explode("sigs").alias("sig")), "sig")
-           .select("cand", "item_id").distinct())
+           .join(items.select("item", F.explode("sigs").alias("sig")), "sig")
+           .select("cand", "item").distinct())
     pairs = met.join(cands.select("cand", "doc_id", "sha", "first", "words"), "cand").join(
-        items.select("item_id", "n_words", F.col("words").alias("item_words")), "item_id")
+        items.select("item", "item_id", "n_words", F.col("words").alias("item_words")), "item")
     verified = _verified(pairs.select("doc_id", "sha", "item_id", "first", "words", "n_words", "item_words"), max_share,
                          (docs.schema[id_col].dataType, benchmark.schema[item_col].dataType))
     return verified.groupBy("doc_id", "sha", "item_id").agg(
