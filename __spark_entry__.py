@@ -12,6 +12,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 # The package lives next to this file; make it importable however this file is loaded.
@@ -22,6 +23,7 @@ if _HERE not in sys.path:
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from local_scorer import field_scorer, first_candidate_is
 from scorekit.functions.constants import ORDER_COL
 from scorekit.operators.batches import PROMPT_TEMPLATE, pack_batches, render_prompts, stringify_records
 from scorekit.operators.dedupe import drop_duplicate_rows, merge_by_key
@@ -45,7 +47,6 @@ from scorekit.operators.results import merge_results, reconcile_ids, sort_final,
 from scorekit.operators.scoring import failed_batches, final_outcomes, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
-from scorekit.plans.scorers import field_scorer, first_candidate_is
 from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
 from scorekit.session import checkpoint_root
 from scorekit.sources.readers import normalize_headers, read_sources, read_status
@@ -154,7 +155,8 @@ def q_merge_by_key(spark, d):
 def q_consolidation_report(spark, d):
     x = _merge_input(spark, d)
     merged = merge_by_key(x, "k", order_by="o_orderkey")
-    return consolidation_report(x, merged, key="k").select("rows_in", "merged", "null_key")
+    kept = exclude_by_status(merged, _status_orders(spark, d), "k", "c_custkey")
+    return consolidation_report(x, merged, kept, key="k")
 
 
 def q_exclude_by_status(spark, d):
@@ -374,7 +376,129 @@ def q_retried_ranking(spark, d):
     return final.select("unique_id", "c_custkey", "score", "rank", "remarks")
 
 
+# ------------------------------------------------- missing values, repeated ids, other inputs
+def _order_scores(spark, d):
+    """Order totals by customer with gaps: NaN for one priority, null for another."""
+    return _t(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(float("nan")))
+        .when(F.col("o_orderpriority") != "2-HIGH", F.col("o_totalprice")).alias("score"))
+
+
+def q_merge_repeated_ids(spark, d):
+    """Many identical answers for one id, and answers for ids the base does not have."""
+    base = _t(spark, d, "supplier").where("s_nationkey < 13").select("s_suppkey")
+    scores = _t(spark, d, "lineitem").select(
+        F.when(F.col("l_returnflag") == "N", 1).otherwise(F.col("l_suppkey")).alias("s_suppkey"),
+        F.when(F.col("l_returnflag") == "N", 7).otherwise(F.col("l_linenumber")).cast("double").alias("score"),
+        F.lit("scored").alias("remarks"))
+    return merge_results(base, scores, "s_suppkey", "s_suppkey")
+
+
+def q_consolidated_rows(spark, d):
+    docs = _t(spark, d, "documents").select("text", "lang", "source", "n_chars")
+    return consolidate([docs], dedupe="rows", order_by=["n_chars", "text", "lang", "source"]).base
+
+
+def q_consolidated_all(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return consolidate([orders], dedupe=None, order_by="o_orderkey", status=_status_orders(spark, d),
+                       status_key="o_custkey", status_column="c_custkey").base
+
+
+def q_consolidation_flow_report(spark, d):
+    return consolidate([_merge_input(spark, d)], dedupe="key", key="k", order_by="o_orderkey",
+                       status=_status_orders(spark, d), status_key="k", status_column="c_custkey").report
+
+
+def q_scoring_view(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_comment")
+    return consolidate([orders], dedupe=None, order_by="o_orderkey",
+                       columns=["o_orderstatus", "o_comment", "no_such_column"]).scoring_view
+
+
+def q_exclude_nan_keys(spark, d):
+    c = _t(spark, d, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.lit(float("nan")))
+        .otherwise(F.col("c_custkey").cast("double")).alias("k"))
+    st = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey").cast("decimal(12,2)")).alias("k"))
+    return exclude_by_status(c, st, "k").select("c_custkey", "k")
+
+
+def q_distinct_missing(spark, d):
+    rows = _order_scores(spark, d).select(
+        "score", F.when(F.col("o_orderkey") % 2 == 0, F.lit("even")).alias("parity"))
+    return drop_duplicate_rows(rows)
+
+
+def q_score_range_missing(spark, d):
+    return selection_summary(filter_score_range(_order_scores(spark, d), lo=1000))
+
+
+def q_widths_missing(spark, d):
+    rows = _order_scores(spark, d).select(
+        F.when(F.col("score") > 0, 1.5).otherwise(F.col("score")).alias("s"))
+    return column_widths(rows)
+
+
+def q_rank_text_scores(spark, d):
+    e = _t(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    text = (F.when(F.col("event_type") == "view", k).when(F.col("event_type") == "click", F.concat(F.lit(" "), k, F.lit(" ")))
+            .when(F.col("event_type") == "purchase", F.concat(k, F.lit("d"))))
+    return dense_rank_scores(e.select("event_id", text.alias("score"))).select("event_id", "score", "rank")
+
+
+def q_merge_over_old_results(spark, d):
+    """A base that still has the columns of an earlier run."""
+    docs = _t(spark, d, "documents").select(
+        "doc_id", F.lit(1.0).alias("score"), F.lit("old").alias("remarks"), F.lit(5).alias("rank"))
+    return merge_results(docs, _label_scores(spark, d), id_col="doc_id")
+
+
+def q_merge_no_results(spark, d):
+    return merge_results(_t(spark, d, "documents").select("doc_id", "lang"),
+                         _label_scores(spark, d).where("score < 0"), id_col="doc_id")
+
+
+def q_merge_all_scores_missing(spark, d):
+    scores = _label_scores(spark, d).withColumn("score", F.lit(float("nan")))
+    return merge_results(_t(spark, d, "documents").select("doc_id", "lang"), scores, id_col="doc_id")
+
+
+def q_csv_source(spark, d):
+    path = os.path.join(checkpoint_root(spark), f"csv-{uuid.uuid4().hex}")
+    (_t(spark, d, "supplier").select(F.col("s_suppkey").alias("Supp-Key"), F.col("s_name").alias(" Name "),
+                                     F.col("s_acctbal").alias("Balance!"))
+     .write.option("header", "true").csv(f"{path}.csv"))
+    source = {"path": f"{path}.csv", "schema": "`Supp-Key` bigint, ` Name ` string, `Balance!` double"}
+    return read_sources(spark, [source], with_order=False)[0]
+
+
+def q_source_order(spark, d):
+    """A table rewritten in many files is numbered in the files' order."""
+    path = os.path.join(checkpoint_root(spark), f"parts-{uuid.uuid4().hex}")
+    c = _t(spark, d, "customer").select("c_custkey", "c_name")
+    c.repartitionByRange(12, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"{path}.parquet")
+    return assign_ids(read_sources(spark, [f"{path}.parquet"])[0], ORDER_COL).drop(ORDER_COL)
+
+
 _QUERIES = {
+    "merge_repeated_ids": q_merge_repeated_ids,
+    "consolidated_rows": q_consolidated_rows,
+    "consolidated_all": q_consolidated_all,
+    "consolidation_flow_report": q_consolidation_flow_report,
+    "scoring_view": q_scoring_view,
+    "exclude_nan_keys": q_exclude_nan_keys,
+    "distinct_missing": q_distinct_missing,
+    "score_range_missing": q_score_range_missing,
+    "widths_missing": q_widths_missing,
+    "rank_text_scores": q_rank_text_scores,
+    "merge_over_old_results": q_merge_over_old_results,
+    "merge_no_results": q_merge_no_results,
+    "merge_all_scores_missing": q_merge_all_scores_missing,
+    "csv_source": q_csv_source,
+    "source_order": q_source_order,
     "union_by_name": q_union_by_name,
     "union_mixed_types": q_union_mixed_types,
     "drop_duplicate_rows": q_drop_duplicate_rows,
@@ -462,7 +586,10 @@ select k, arg_min(o_orderkey, o_orderkey) as o_orderkey,
        arg_min(tp, o_orderkey) filter (where tp is not null) as tp
 from x where k is not null group by k""",
     "consolidation_report": f"""with {_MERGE_INPUT_SQL}
-select count(*) as rows_in, count(*) - count(distinct k) as merged, count(*) - count(k) as null_key from x""",
+select count(*) as rows_in, count(*) - count(distinct k) as merged, count(*) - count(k) as null_key,
+       count(distinct case when k in (select o_custkey from orders where o_orderstatus = 'P'
+                                      and o_orderpriority = '1-URGENT') then k end) as removed,
+       count(distinct k) - removed as rows_out from x""",
     "exclude_by_status": """
 with c as (select c_custkey, case when c_mktsegment <> 'BUILDING' then cast(c_custkey as varchar) end as k
            from customer),
@@ -502,7 +629,8 @@ select count(*) filter (where a.id is not null and b.id is not null) as matched,
 from (select doc_id as id from documents) a full join (select doc_id + 300 as id from labels) b on a.id = b.id""",
     "filter_score_range": "select doc_id, n_chars from documents where n_chars >= 200 and n_chars <= 500",
     "selection_summary": """
-select count(*) as n, min(n_chars) as min_score, max(n_chars) as max_score
+select count(*) as n, min(n_chars) as min_score, max(n_chars) as max_score,
+       printf('%.1f - %.1f', min(n_chars)::double, max(n_chars)::double) as range_text
 from documents where n_chars between 200 and 500""",
     "column_widths": """
 select 'c_name' as column_name, least(greatest(max(length(c_name)), 6) + 2, 50) as width from customer
@@ -555,7 +683,8 @@ from documents""",
 select rank, score, unique_id, remarks, c_custkey, c_name, c_mktsegment from f
 where score >= 100 and score <= 400""",
     "interview_summary": f"""{_RANKED_FINAL_SQL}
-select count(*) as n, min(score) as min_score, max(score) as max_score from f
+select count(*) as n, min(score) as min_score, max(score) as max_score,
+       printf('%.1f - %.1f', min(score), max(score)) as range_text from f
 where score >= 100 and score <= 400""",
     "export_widths": f"""{_RANKED_FINAL_SQL}
 select column_name, least(greatest(w, length(column_name)) + 2, 50) as width from (
@@ -627,6 +756,54 @@ select cast(l_orderkey as varchar) as l_orderkey, l_linenumber, l_partkey, l_sup
        returnflag, discount, l_quantity, row_number() over (order by l_orderkey) as unique_id from k"""
 
 
+_STATUS_ORDERS_SQL = "select o_custkey from orders where o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"
+_ORDER_SCORES_SQL = """o as (select o_orderkey, case when o_orderpriority not in ('1-URGENT', '2-HIGH')
+                                                    then o_totalprice end as score from orders)"""
+_ORACLES["merge_repeated_ids"] = """
+with b as (select s_suppkey from supplier where s_nationkey < 13),
+s as (select case when l_returnflag = 'N' then 1 else l_suppkey end as k,
+             case when l_returnflag = 'N' then 7 else l_linenumber end as score from lineitem),
+r as (select *, dense_rank() over (order by score desc) as rank from s),
+m as (select s_suppkey, score, rank from b left join r on s_suppkey = k)
+select s_suppkey, coalesce(score, 0) as score, coalesce(rank, (select count(*) from m) + 1) as rank,
+       case when rank is null then 'Not analyzed by AI' else 'scored' end as remarks from m"""
+_ORACLES["consolidated_rows"] = """
+select *, row_number() over (order by n_chars, text, lang, source) as unique_id
+from (select distinct text, lang, source, n_chars from documents)"""
+_ORACLES["consolidated_all"] = f"""
+select o_orderkey, cast(o_custkey as varchar) as o_custkey, o_totalprice,
+       row_number() over (order by o_orderkey) as unique_id
+from orders where o_custkey not in ({_STATUS_ORDERS_SQL})"""
+_ORACLES["consolidation_flow_report"] = _ORACLES["consolidation_report"]
+_ORACLES["scoring_view"] = """
+select o_orderstatus, o_comment, row_number() over (order by o_orderkey) as unique_id from orders"""
+_ORACLES["exclude_nan_keys"] = """
+with c as (select c_custkey, case when c_mktsegment <> 'BUILDING' then cast(c_custkey as varchar) end as k
+           from customer),
+     st as (select case when o_orderpriority <> '5-LOW' then cast(o_custkey as varchar) end as k
+            from orders where o_orderstatus = 'P')
+select c.c_custkey, c.k from c where not exists (select 1 from st where st.k is not distinct from c.k)"""
+_ORACLES["distinct_missing"] = f"""with {_ORDER_SCORES_SQL}
+select distinct score, case when o_orderkey % 2 = 0 then 'even' end as parity from o"""
+_ORACLES["score_range_missing"] = f"""with {_ORDER_SCORES_SQL}
+select count(*) as n, min(score) as min_score, max(score) as max_score,
+       printf('%.1f - %.1f', min(score), max(score)) as range_text from o where score >= 1000"""
+_ORACLES["widths_missing"] = "select 's' as column_name, 5 as width"
+_ORACLES["rank_text_scores"] = f"""
+select event_id, {_EVENT_SCORE} as score, dense_rank() over (order by {_EVENT_SCORE} desc) as rank
+from events where event_type in ('view', 'click') and {_EVENT_SCORE} is not null"""
+_ORACLES["merge_over_old_results"] = f"""with {_LABEL_RANKS}
+select d.doc_id, coalesce(score, 0) as score, coalesce(rank, (select count(*) from documents) + 1) as rank,
+       case when r.doc_id is null then 'Not analyzed by AI' else 'scored' end as remarks
+from documents d left join r on d.doc_id = r.doc_id"""
+_ORACLES["merge_no_results"] = "select doc_id, lang from documents"
+_ORACLES["merge_all_scores_missing"] = """
+select doc_id, lang, cast(null as double) as score, 'Error in analysis or merge' as remarks,
+       cast(null as bigint) as rank from documents"""
+_ORACLES["csv_source"] = 'select s_suppkey as "SuppKey", s_name as "Name", s_acctbal as "Balance" from supplier'
+_ORACLES["source_order"] = "select c_custkey, c_name, row_number() over (order by c_custkey) as unique_id from customer"
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: consolidate customers, score them in batches, rank, merge (sf0.001)."""
     return q_ranked_candidates(spark, SMOKE_DIR)

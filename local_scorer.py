@@ -11,9 +11,14 @@ scorer parses only its own payload: one batch of at most ``batch_size`` records.
 from __future__ import annotations
 
 import json
+import sys
+
+from pyspark import cloudpickle
 
 from scorekit.errors import ScorerUnavailableError
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this file
+
 
 def field_scorer(field: str, factor: int = 37, modulus: int = 501, fail_every: int | None = None,
                  fail_when=None, remarks: str = "scored", fence: bool = True):

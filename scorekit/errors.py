@@ -11,7 +11,7 @@ class SensitiveColumnError(ValueError):
     def __init__(self, columns):
         self.columns = list(columns)
         super().__init__(
-            f"Sensitive columns {', '.join(self.columns)} are selected; deselect them."
+            f"these column names look like personal data and may not be scored: {self.columns}"
         )
 
 

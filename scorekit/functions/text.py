@@ -29,25 +29,37 @@ def _is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
+def present(c: Column, dtype: T.DataType) -> Column:
+    """The one rule for missing cells: null is missing, and so is NaN in a float column."""
+    return c.isNotNull() & ~F.isnan(c) if _is_fractional(dtype) else c.isNotNull()
+
+
+def or_null(c: Column, dtype: T.DataType) -> Column:
+    """The cell, with every missing value as null."""
+    return F.when(~F.isnan(c), c) if _is_fractional(dtype) else c
+
+
 def stringify(c: Column, dtype: T.DataType) -> Column:
     """Cell as text, missing (null, or NaN for floats) as ``'Not specified'``."""
-    if _is_fractional(dtype):
-        c = F.when(~F.isnan(c), c)
-    return F.coalesce(c.cast("string"), F.lit(MISSING_TEXT))
+    return F.coalesce(or_null(c, dtype).cast("string"), F.lit(MISSING_TEXT))
 
 
 def key_text(c: Column, dtype: T.DataType) -> Column:
     """Text form of a key used for matching across tables.
 
-    Integral floating values print without a fraction (``101.0`` -> ``'101'``), so a key that
-    arrived as float because of gaps still matches its integer spelling. Missing stays null.
+    Integral floating and decimal values print without a fraction (``101.0`` and ``101.00`` ->
+    ``'101'``), so a key that arrived as float because of gaps still matches its integer
+    spelling. Missing (NaN included) is null.
     """
     if isinstance(dtype, T.StringType):
         return c
     if _is_fractional(dtype):
         as_long = c.try_cast("bigint")
-        integral = (~F.isnan(c)) & (F.abs(c) < F.lit(9.0e18)) & (c == F.floor(c))
-        return F.when(integral, as_long.cast("string")).otherwise(c.cast("string"))
+        integral = (F.abs(c) < F.lit(9.0e18)) & (c == F.floor(c))
+        return F.when(integral, as_long.cast("string")).when(~F.isnan(c), c.cast("string"))
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        whole = F.floor(c)
+        return F.when(c == whole, whole.cast("string")).otherwise(c.cast("string"))
     return c.cast("string")
 
 
@@ -70,3 +82,10 @@ def python_float_text(c: Column) -> Column:
     """Double from text with Python ``float()`` acceptance: ``' 85 '``, ``'inf'``, ``'1e3'``
     pass; ``'85d'``, ``'85%'``, ``'1_000'`` give null."""
     return F.when(c.rlike(PYTHON_FLOAT_PATTERN), c.try_cast("double"))
+
+
+def score_number(c: Column, dtype: T.DataType) -> Column:
+    """A score as a number: text by :func:`python_float_text` (else missing), NaN as missing."""
+    if isinstance(dtype, T.StringType):
+        c, dtype = python_float_text(c), T.DoubleType()
+    return or_null(c, dtype)

@@ -10,27 +10,19 @@ from pyspark.sql import functions as F
 from scorekit.functions.constants import BATCH_SIZE, ID_COLUMN, ORDER_COL
 from scorekit.functions.text import stringify
 from scorekit.operators._cols import q
+from scorekit.operators.projection import refuse_sensitive
 
 BATCH_COLUMNS = ("batch_id", "batch_size", "unique_identifier_column")
 
-# Prompt sent with every batch. Slots: {role} {batch_id} {total} {payload} {id_col}.
-PROMPT_TEMPLATE = """You are scoring candidates for the role "{role}".
-This is batch {batch_id} of {total}. Score every candidate in this batch.
-
-For each candidate:
-1. Judge qualifications, experience and fit for "{role}": skills first, then experience,
-   then availability and other factors.
-2. Give a score from 0 to 500 (500 = perfect fit, 0 = unsuitable); use precise values
-   rather than round multiples of 5 or 10.
-3. Explain the score in one or two sentences of remarks.
-
-Data:
+# Prompt sent with every batch. Slots: {role} {batch_id} {total} {payload} {id_col}. It states
+# the task's frame and the answer's form; how to judge is the caller's business (``template``).
+PROMPT_TEMPLATE = """role: {role}
+batch: {batch_id} of {total}
+records (JSON):
 {payload}
 
-Answer with a JSON array only, with no code fences and no other text. Each element is an
-object with exactly the keys "{id_col}", "score" and "remarks"; "{id_col}" repeats the
-candidate's value from the data exactly, and "score" is a number from 0 to 500.
-Include every candidate of the batch.
+Reply with one JSON array. Give each record one object with the keys "{id_col}" (copied from
+the record), "score" (a number) and "remarks" (text).
 """
 
 _SLOT = re.compile(r"\{(role|batch_id|total|payload|id_col)\}")
@@ -50,9 +42,11 @@ def pack_batches(df: DataFrame, id_col: str = ID_COLUMN, batch_size: int = BATCH
     Output: ``batch_id, batch_size, unique_identifier_column, candidates`` where candidates
     is an array of text-only records in column order. ``id_col`` must hold the contiguous ids
     ``1..n`` that ``assign_ids`` produces; then every group holds at most ``batch_size`` rows
-    and no task ever gathers an unbounded group.
+    and no task ever gathers an unbounded group. A column name that looks like personal data
+    raises ``SensitiveColumnError``, however the frame was made.
     """
     cols = list(columns) if columns else [c for c in df.columns if c != ORDER_COL]
+    refuse_sensitive(cols)
     types = {f.name: f.dataType for f in df.schema.fields}
     record = F.struct(*[stringify(q(c), types[c]).alias(c) for c in cols])
     bid = F.floor((q(id_col).cast("bigint") - F.lit(1)) / F.lit(batch_size)) + F.lit(1)
@@ -75,9 +69,9 @@ def batch_payload(batches: DataFrame) -> DataFrame:
 def render_prompts(batches: DataFrame, role: str, template: str | None = None,
                    total=None) -> DataFrame:
     """Add ``payload`` and ``prompt``. ``total`` (batches in this run) defaults to a
-    one-value count subquery over ``batches``."""
+    one-value count subquery over the batch ids."""
+    total_col = F.lit(total) if total is not None else batches.agg(F.count("batch_id")).scalar()
     batches = batch_payload(batches)
-    total_col = F.lit(total) if total is not None else batches.agg(F.count(F.lit(1))).scalar()
     slots = {
         "role": F.lit(role),
         "batch_id": F.col("batch_id").cast("string"),

@@ -6,17 +6,10 @@ import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorekit.functions.constants import ORDER_COL
-from scorekit.operators._cols import names_of, order_struct, q, without
-
-
-def _present(c, dtype):
-    """Non-missing test: null, and NaN for floating columns, count as missing."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return c.isNotNull() & ~F.isnan(c)
-    return c.isNotNull()
+from scorekit.functions.text import or_null, present
+from scorekit.operators._cols import order_struct, q, without
 
 
 def _default_order(df: DataFrame, order_by):
@@ -34,35 +27,35 @@ def merge_by_key(df: DataFrame, key: str, order_by=None) -> DataFrame:
     not carried over: after a merge the key itself is the row order. A key that is not a
     column leaves the table unchanged with a warning.
 
-    Plan: filter, then one hash aggregate whose partial step runs before the shuffle, so a
-    key holding a third of all rows leaves every map task as one row.
+    Plan: filter, then one aggregate whose partial step runs before the shuffle, so a key
+    holding a third of all rows leaves every map task as one row. Text columns and the order
+    struct cannot live in a hash aggregate's buffer, so Spark sorts on both sides of the
+    shuffle (SortAggregate).
     """
     if key not in df.columns:
-        warnings.warn(f"Merge identifier '{key}' not found in DataFrame.", stacklevel=2)
+        warnings.warn(f"merge_by_key: no column {key!r}; rows are left as they are", stacklevel=2)
         return df
     order_by = _default_order(df, order_by)
     o = order_struct(order_by)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     data = without(df.columns, [key, ORDER_COL])
     k = q(key)
-    aggs = [F.min_by(q(c), F.when(_present(q(c), dtypes[c]), o)).alias(c) for c in data]
-    return df.where(_present(k, dtypes[key])).groupBy(k.alias(key)).agg(*aggs)
+    aggs = [F.min_by(q(c), F.when(present(q(c), dtypes[c]), o)).alias(c) for c in data]
+    return df.where(present(k, dtypes[key])).groupBy(k.alias(key)).agg(*aggs)
 
 
-def drop_duplicate_rows(df: DataFrame, order_by=None) -> DataFrame:
-    """Full-row distinct (missing equals missing), keeping the earliest order key.
+def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+    """Full-row distinct: all columns but the hidden ``_row_order`` are compared, and missing
+    equals missing (NaN and null alike; the surviving row shows null).
 
-    ``order_by`` columns (default ``_row_order`` when present) are not part of the row;
-    the survivor keeps the smallest order value so later numbering follows source order.
+    With ``_row_order`` the survivor carries the least one, so later numbering follows source
+    order. Rows are reduced inside each map task before the shuffle; ``_row_order`` is a
+    struct, whose minimum Spark computes by sorting each task's rows (SortAggregate).
     """
-    if order_by is None and ORDER_COL in df.columns:
-        order_by = ORDER_COL
-    if order_by is None:
-        return df.dropDuplicates()
-    keep = names_of(order_by)
-    data = without(df.columns, keep)
-    if len(keep) == 1:
-        return df.groupBy(*[q(c) for c in data]).agg(F.min(q(keep[0])).alias(keep[0]))
-    first = F.min(F.struct(*[q(c) for c in keep])).alias("_first")
-    return (df.groupBy(*[q(c) for c in data]).agg(first)
-              .select(*[q(c) for c in data], *[F.col(f"_first.`{c}`").alias(c) for c in keep]))
+    data = without(df.columns, [ORDER_COL])
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.select(*[or_null(q(c), dtypes[c]).alias(c) for c in data],
+                     *[q(c) for c in df.columns if c == ORDER_COL])
+    if ORDER_COL not in df.columns:
+        return rows.distinct()
+    return rows.groupBy(*[q(c) for c in data]).agg(F.min(q(ORDER_COL)).alias(ORDER_COL))

@@ -63,8 +63,9 @@ def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
 
 def dense_rank_scores(df: DataFrame, score: str = "score", out: str = "rank",
                       partitions: int | None = None) -> DataFrame:
-    """Dense rank, highest score first (1 = best). Rows with a missing or NaN score are
-    dropped first; infinity ranks first. All rows take part, whatever their id."""
+    """Dense rank, highest score first (1 = best). Scores become numbers first: rows with a
+    missing or NaN score, or text that is no number, are dropped. Infinity ranks first. All
+    rows take part, whatever their id."""
     valid = valid_scores(df.drop(out), score)
     levels = valid.select(q(score).alias(_LEVEL)).distinct()
     numbered = assign_ids(levels, [F.desc(_LEVEL)], out=out, partitions=partitions)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorekit.errors import SensitiveColumnError
 from scorekit.functions.constants import (
@@ -14,6 +13,7 @@ from scorekit.functions.constants import (
     RESULT_COLUMNS,
 )
 from scorekit.functions.rules import sensitive_columns
+from scorekit.functions.text import present, score_number
 from scorekit.operators._cols import as_list, q
 
 
@@ -33,10 +33,15 @@ def scoring_projection(df: DataFrame, columns, id_col: str = ID_COLUMN) -> DataF
     wanted = list(as_list(columns))
     if id_col not in wanted:
         wanted.append(id_col)
-    bad = sensitive_columns(wanted)
+    refuse_sensitive(wanted)
+    return select_valid(df, wanted)
+
+
+def refuse_sensitive(names) -> None:
+    """Raise ``SensitiveColumnError`` when a name looks like personal data."""
+    bad = sensitive_columns(names)
     if bad:
         raise SensitiveColumnError(bad)
-    return select_valid(df, wanted)
 
 
 def drop_result_columns(df: DataFrame) -> DataFrame:
@@ -45,7 +50,10 @@ def drop_result_columns(df: DataFrame) -> DataFrame:
 
 
 def filter_score_range(df: DataFrame, lo=None, hi=None, score: str = "score") -> DataFrame:
-    """Inclusive score range; either bound may be omitted."""
+    """Inclusive score range; either bound may be omitted. A missing score (NaN too) is in no
+    range."""
+    if lo is not None or hi is not None:
+        df = df.where(present(q(score), df.schema[score].dataType))
     if lo is not None:
         df = df.where(q(score) >= F.lit(lo))
     if hi is not None:
@@ -59,11 +67,10 @@ def ranked_only(df: DataFrame, rank: str = "rank") -> DataFrame:
 
 
 def valid_scores(df: DataFrame, score: str = "score") -> DataFrame:
-    """Drop rows whose score is missing or NaN (they take no part in ranking)."""
-    cond = q(score).isNotNull()
-    if isinstance(df.schema[score].dataType, (T.FloatType, T.DoubleType)):
-        cond = cond & ~F.isnan(q(score))
-    return df.where(cond)
+    """Rows with a score that is a number, as a number: text that is none (``'85d'``), null and
+    NaN rows are dropped (they take no part in ranking)."""
+    as_number = score_number(q(score), df.schema[score].dataType)
+    return df.withColumn(score, as_number).where(q(score).isNotNull())
 
 
 def display_columns(df: DataFrame) -> DataFrame:

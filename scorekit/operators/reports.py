@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorekit.functions.constants import ORDER_COL, WIDTH_CAP, WIDTH_PADDING
+from scorekit.functions.text import or_null
 from scorekit.operators._cols import order_columns, q
 
 
@@ -24,9 +24,7 @@ def consolidation_report(source: DataFrame, merged: DataFrame | None = None,
     after_merge = _count(merged) if merged is not None else None
     after_status = _count(kept) if kept is not None else None
     if key is not None and key in source.columns:
-        k = q(key)
-        if isinstance(source.schema[key].dataType, (T.FloatType, T.DoubleType)):
-            k = F.when(~F.isnan(k), k)
+        k = or_null(q(key), source.schema[key].dataType)
         null_key = F.count(F.lit(1)) - F.count(k)
     else:
         null_key = F.lit(0).cast("bigint")
@@ -50,9 +48,14 @@ def analyzed_count(final: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def selection_summary(df: DataFrame, score: str = "score") -> DataFrame:
-    """One row: ``n, min_score, max_score``."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.min(q(score)).alias("min_score"),
-                  F.max(q(score)).alias("max_score"))
+    """One row: ``n, min_score, max_score, range_text``; missing scores (NaN too) count in ``n``
+    only. ``range_text`` is the range with one decimal, as ``'85.0 - 400.0'``."""
+    s = or_null(q(score), df.schema[score].dataType)
+    text = F.concat(F.format_string("%.1f", F.min(s).cast("double")), F.lit(" - "),
+                    F.format_string("%.1f", F.max(s).cast("double")))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.min(s).alias("min_score"),
+                  F.max(s).alias("max_score"),
+                  F.when(F.count(s) > 0, text).alias("range_text"))
 
 
 def column_widths(df: DataFrame) -> DataFrame:
@@ -62,7 +65,8 @@ def column_widths(df: DataFrame) -> DataFrame:
     cells count as length 0; an empty table gives 2 for every column.
     """
     cols = [c for c in df.columns if c != ORDER_COL]
-    lens = [F.max(F.length(q(c).cast("string"))).alias(f"_w{i}") for i, c in enumerate(cols)]
+    lens = [F.max(F.length(or_null(q(c), df.schema[c].dataType).cast("string"))).alias(f"_w{i}")
+            for i, c in enumerate(cols)]
     one = df.agg(F.count(F.lit(1)).alias("_rows"), *lens)
     widths = []
     for i, c in enumerate(cols):

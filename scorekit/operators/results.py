@@ -12,15 +12,12 @@ from scorekit.functions.constants import (
     UNSCORED_REMARKS,
     UNSCORED_SCORE,
 )
-from scorekit.functions.text import key_text
+from scorekit.functions.text import key_text, score_number
 from scorekit.operators._cols import q
-from scorekit.operators.joins import left_join_spreading_hot_keys
 from scorekit.operators.numbering import dense_rank_scores
 from scorekit.operators.projection import drop_result_columns
-from scorekit.session import materialize
 
 _BK = "_base_key"
-_SPREAD = ("_row_tag",)
 _SK = "_score_key"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -45,16 +42,10 @@ def _keys(base: DataFrame, id_col: str, scores: DataFrame, score_id: str) -> tup
 
 
 def _score_rows(scores: DataFrame, score_id: str) -> DataFrame:
-    """id, score (double), remarks (text), and a per-row tag that tells repeated answers for
-    one id apart (batch and position when present, else a hash of the row)."""
-    s = q("score")
-    if isinstance(scores.schema["score"].dataType, T.StringType):
-        s = s.try_cast("double")
-    tag = [q(c) for c in ("batch_id", "item_pos") if c in scores.columns]
-    tag = tag or [q(c) for c in scores.columns]
-    return scores.select(q(score_id), s.cast("double").alias("score"),
-                         q("remarks").cast("string").alias("remarks"),
-                         F.xxhash64(*tag).alias(_SPREAD[0]))
+    """id, score (double), remarks (text) of the rows whose score is a number."""
+    number = score_number(q("score"), scores.schema["score"].dataType)
+    return scores.select(q(score_id), number.cast("double").alias("score"),
+                         q("remarks").cast("string").alias("remarks")).where(F.col("score").isNotNull())
 
 
 def unscored(base: DataFrame) -> DataFrame:
@@ -66,34 +57,47 @@ def unscored(base: DataFrame) -> DataFrame:
 
 def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_COLUMN,
                   score_id: str = ID_COLUMN) -> DataFrame:
-    """Base rows left-joined with dense-ranked scores, with defaults for the unscored.
+    """Base rows left-joined with dense-ranked scores, with defaults for the unscored, in rank
+    order (ties by id).
 
     Scores are ranked over *all* score rows (ids unknown to the base included), then joined
     on the id compared as text. A repeated score id repeats its base row. Unscored rows get
     score 0, remarks ``'Not analyzed by AI'`` (also when a scored row's remarks are null)
-    and rank = rows of the merged table + 1, a one-value count subquery. The id keeps its
-    type. No scores -> the base unchanged; scores lacking a needed column -> ``unscored``.
-    Materialises the merged rows (one write under the checkpoint folder).
+    and rank = rows of the merged table + 1. The id keeps its type. No scores -> the base
+    unchanged; scores lacking a needed column, or none of which is a number -> ``unscored``.
+
+    Plan: the left join is an inner join, of which AQE may split either side when an id is hot,
+    plus the base rows that an anti-join with the distinct scored ids leaves. The row count is
+    a one-value subquery over the keys, counted per key before they are joined.
     """
     if scores is None:
         return base
     if not {score_id, "score", "remarks"} <= set(scores.columns) or id_col not in base.columns:
         return unscored(base)
-    ranked = dense_rank_scores(_score_rows(scores, score_id), "score", "rank")
+    valid = _score_rows(scores, score_id)
+    if valid.isEmpty():
+        return unscored(base) if not scores.isEmpty() else base
+    ranked = dense_rank_scores(valid, "score", "rank")
     b = drop_result_columns(base)
     bkey, skey = _keys(b, id_col, ranked, score_id)
     left = b.withColumn(_BK, bkey)
-    right = ranked.select(skey.alias(_SK), "score", "remarks", "rank", *_SPREAD)
-    merged = left_join_spreading_hot_keys(left, right, _BK, _SK).drop(*_SPREAD, _BK, _SK)
-    # Written once: the default rank needs the merged row count, and the final table is read
-    # again by selection, export and reports; all of them now scan this table.
-    merged = materialize(merged, "merged")
-    n = merged.agg(F.count(F.lit(1))).scalar()
-    return merged.select(
+    right = ranked.select(skey.alias(_SK), "score", "remarks", "rank")
+    columns = [*[q(c) for c in b.columns], F.col("score"), F.col("remarks"), F.col("rank")]
+    scored = left.join(right, F.col(_BK) == F.col(_SK)).select(*columns)
+    keys = valid.select(skey.alias(_SK)).where(F.col(_SK).isNotNull())
+    rest = left.join(keys.distinct(), F.col(_BK) == F.col(_SK), "left_anti").select(
+        *[q(c) for c in b.columns], F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("string").alias("remarks"), F.lit(None).cast("bigint").alias("rank"))
+    per_base = left.groupBy(_BK).agg(F.count(F.lit(1)).alias("_nb"))
+    per_score = keys.groupBy(_SK).agg(F.count(F.lit(1)).alias("_ns"))
+    n = (per_base.join(per_score, F.col(_BK) == F.col(_SK), "left")
+         .agg(F.sum(F.col("_nb") * F.coalesce(F.col("_ns"), F.lit(1))).alias("_n")).scalar())
+    merged = scored.unionByName(rest).select(
         *[q(c) for c in b.columns],
         F.coalesce(F.col("score"), F.lit(UNSCORED_SCORE)).alias("score"),
         F.coalesce(F.col("remarks"), F.lit(UNSCORED_REMARKS)).alias("remarks"),
         F.coalesce(F.col("rank"), n + F.lit(1)).alias("rank"))
+    return sort_final(merged, id_col)
 
 
 def reconcile_ids(base: DataFrame, scores: DataFrame, id_col: str = ID_COLUMN,

@@ -1,10 +1,9 @@
 """Score batches with a caller-supplied function, keep failures for retry.
 
 The scorer is any picklable callable ``scorer(batch_id, payload, prompt) -> str`` (the
-response text). It runs inside Python workers via ``mapInPandas``; ``parallelism`` sets
-the number of scoring tasks, hence the most calls in flight. A failing call marks only its
-own batch. Task retries or speculation may call the scorer again for a batch: delivery is
-at least once, and results are keyed by batch id.
+response text). It runs inside Python workers via ``mapInPandas``; ``parallelism`` is the most
+calls in flight. A failing call marks only its own batch. Task retries or speculation may call
+the scorer again for a batch: delivery is at least once, and results are keyed by batch id.
 
 The scored table is written under the checkpoint folder before anything reads it, so the
 ok branch and the failed branch share one set of responses and the scorer is not re-run.
@@ -12,8 +11,10 @@ ok branch and the failed branch share one set of responses and the scorer is not
 
 from __future__ import annotations
 
+import math
+import os
 import sys
-from contextlib import contextmanager
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -28,10 +29,13 @@ from scorekit.functions.constants import (
     OUTCOME_ERROR,
     OUTCOME_OK,
 )
-from scorekit.operators.batches import BATCH_COLUMNS, render_prompts
+from scorekit.operators.batches import BATCH_COLUMNS, batch_payload, render_prompts
 from scorekit.operators.responses import parse_responses
-from scorekit.session import materialize
+from scorekit.session import checkpoint_root
 
+BATCHES_PER_TASK = 64
+BATCH_SCHEMA = "batch_id bigint, batch_size bigint, unique_identifier_column string, payload string"
+_WAVE = "_wave"
 SCORED_SCHEMA = ("batch_id bigint, batch_size bigint, unique_identifier_column string, "
                  "payload string, response string, outcome string, error string")
 DEAD_LETTER_COLUMNS = (*BATCH_COLUMNS, "payload", "outcome", "error")
@@ -70,38 +74,41 @@ def _caller(scorer):
     return call
 
 
-@contextmanager
-def _session_conf(spark, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def score_batches(batches: DataFrame, scorer, role: str = "",
                   parallelism: int = DEFAULT_PARALLELISM, template: str | None = None,
-                  total=None, prompts_per_arrow_batch: int = 64) -> DataFrame:
+                  total=None, batches_per_task: int = BATCHES_PER_TASK) -> DataFrame:
     """Call ``scorer`` once per batch and classify each answer.
 
     Output columns: ``batch_id, batch_size, unique_identifier_column, payload, response,
     outcome, error, _parsed``; outcome is ``ok``, ``not_list``, ``invalid_json``,
-    ``api_error`` or ``error``. Materialises the responses (see module doc). Python workers
-    receive ``prompts_per_arrow_batch`` prompts at a time, so their memory stays bounded
-    however large the prompts are.
+    ``api_error`` or ``error``; ``payload`` is null for ``ok`` batches, which nobody sends again.
+
+    The number of tasks follows the number of batches: about ``batches_per_task`` each, so a
+    lost task repeats that many calls at most and a Python worker holds that many prompts.
+    ``parallelism`` bounds the calls in flight: tasks run in waves of ``parallelism`` tasks, one
+    job after another, each committing its own files. With more than one wave the batches are
+    first written in a folder per wave, so a wave reads its own batches only.
     """
-    prompts = render_prompts(batches, role, template, total)
-    work = (prompts.select(*BATCH_COLUMNS, "payload", "prompt")
-                   .repartition(int(parallelism), "batch_id"))
     spark = batches.sparkSession
-    with _session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch",
-                       str(int(prompts_per_arrow_batch))):
-        raw = materialize(work.mapInPandas(_caller(scorer), SCORED_SCHEMA), "scored")
-    return parse_responses(raw)
+    work = batch_payload(batches).select(*BATCH_COLUMNS, "payload")
+    n = work.select("batch_id").count()
+    total = F.lit(n) if total is None else total
+    waves = max(1, math.ceil(n / (int(parallelism) * int(batches_per_task))))
+    root = os.path.join(checkpoint_root(spark), f"scored-{uuid.uuid4().hex}")
+    if waves > 1:
+        parts = os.path.join(root, "batches")
+        (work.withColumn(_WAVE, F.pmod(F.xxhash64("batch_id"), F.lit(waves)))
+         .repartition(_WAVE).write.partitionBy(_WAVE).parquet(parts))
+        work = spark.read.schema(f"{BATCH_SCHEMA}, {_WAVE} bigint").parquet(parts)
+    answers = os.path.join(root, "answers")
+    for wave in range(waves):
+        mine = work.where(F.col(_WAVE) == wave).drop(_WAVE) if waves > 1 else work
+        prompts = render_prompts(mine.repartition(int(parallelism), "batch_id"), role, template, total)
+        raw = prompts.select(*BATCH_COLUMNS, "payload", "prompt").mapInPandas(_caller(scorer), SCORED_SCHEMA)
+        judged = parse_responses(raw)
+        (judged.withColumn("payload", F.when(F.col("outcome") != F.lit(OUTCOME_OK), F.col("payload")))
+         .select(*raw.columns).write.mode("append").parquet(answers))
+    return parse_responses(spark.read.schema(SCORED_SCHEMA).parquet(answers))
 
 
 def failed_batches(scored: DataFrame) -> DataFrame:

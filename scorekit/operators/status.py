@@ -26,15 +26,16 @@ def exclude_by_status(df: DataFrame, status: DataFrame | None, key: str | None,
     Plan: the status keys are de-duplicated first (partial aggregate before the shuffle),
     so the build side holds one row per key however often a key repeats. The anti-join is
     an equi-join on text; AQE broadcasts the status keys when their measured size allows,
-    otherwise sort-merges and splits a skewed probe partition (missing keys included: they
-    cross the join unmatched). Whether a missing key is excluded is decided once, by a
-    one-value EXISTS subquery.
+    otherwise sort-merges and splits a skewed probe partition. Rows with a missing key match
+    no status key, so they bypass the join (``UNION ALL``); whether they are excluded is decided
+    once, by a one-value EXISTS subquery.
     """
     if status is None or key is None:
         return df
     status_key = status_key or key
     if key not in df.columns or status_key not in status.columns:
-        warnings.warn(f"Status identifier '{key}' not found in DataFrames.", stacklevel=2)
+        warnings.warn(f"exclude_by_status: {key!r} or {status_key!r} is no column; nothing is excluded",
+                      stacklevel=2)
         return df
     btype, stype = df.schema[key].dataType, status.schema[status_key].dataType
     if isinstance(btype, _INTEGRAL) and isinstance(stype, _INTEGRAL):
@@ -45,5 +46,6 @@ def exclude_by_status(df: DataFrame, status: DataFrame | None, key: str | None,
     st = status.select(st_key.alias(_SK))
     keys = st.where(F.col(_SK).isNotNull()).distinct()
     null_in_status = st.where(F.col(_SK).isNull()).exists()
-    kept = base.join(keys, base[key] == keys[_SK], "left_anti")
-    return kept.where(q(key).isNotNull() | ~null_in_status).withColumn(key, q(key).cast("string"))
+    known = base.where(q(key).isNotNull()).join(keys, q(key) == keys[_SK], "left_anti")
+    missing = base.where(q(key).isNull() & ~null_in_status)
+    return known.unionByName(missing).withColumn(key, q(key).cast("string"))

@@ -20,7 +20,7 @@ from scorekit.operators.projection import (
 )
 from scorekit.operators.reports import consolidation_report, selection_summary
 from scorekit.operators.responses import batch_results
-from scorekit.operators.results import merge_results
+from scorekit.operators.results import merge_results, sort_final
 from scorekit.operators.scoring import failed_batches, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
@@ -49,26 +49,31 @@ def consolidate(sources: list[DataFrame], dedupe: str | None = "key", key: str |
     """Union -> merge by key (``dedupe="key"``) or full-row distinct (``"rows"``) -> status
     exclusion -> ids 1..n in source order (key order after a merge) -> scoring view.
 
+    ``columns`` of the scoring view default to all; a name that looks like personal data raises.
     ``order_by`` defaults to the ``_row_order`` that ``read_sources`` attaches.
     """
+    if dedupe not in ("key", "rows", None):
+        raise ValueError(f"dedupe must be 'key', 'rows' or None, not {dedupe!r}")
     union = union_sources(sources)
     order = order_by if order_by is not None else ORDER_COL
     if order_by is None and ORDER_COL not in union.columns:
         raise ValueError("sources carry no _row_order (read them with read_sources) "
                          "and no order_by was given")
     merged = None
-    if dedupe == "key" and key and key in union.columns:
-        merged = merge_by_key(union, key, order).withColumn(ORDER_COL, q(key))
-        order = ORDER_COL
+    if dedupe == "key" and key is not None:
+        merged = merge_by_key(union, key, order)  # warns if the key is no column
+        if key in union.columns:
+            merged = merged.withColumn(ORDER_COL, q(key))
+            order = ORDER_COL
         step = merged
     elif dedupe == "rows":
-        merged = drop_duplicate_rows(union, order)
+        merged = drop_duplicate_rows(union)
         step = merged
     else:
         step = union
     kept = exclude_by_status(step, status, status_key, status_column)
     base = assign_ids(kept, order, out=id_col, partitions=partitions).drop(ORDER_COL)
-    view = scoring_projection(base, columns, id_col) if columns else base
+    view = scoring_projection(base, columns if columns else base.columns, id_col)
     # The numbered base is a written table with the rows of ``kept``: counting it is a scan.
     report = consolidation_report(union, merged, base if status is not None else None,
                                   key if dedupe == "key" else None)
@@ -99,14 +104,17 @@ def retry(analysis: Analysis, base: DataFrame, scorer, role: str, id_col: str =
 
 
 def select_and_report(final: DataFrame, lo=None, hi=None) -> tuple[DataFrame, DataFrame]:
-    """Ranked rows within an inclusive score range, display order, and their summary.
+    """Ranked rows within an inclusive score range, in rank order with display columns, and
+    their summary.
     A final table without ranks (nothing was scored) selects nothing."""
     if "rank" not in final.columns or "score" not in final.columns:
         chosen = final.where(F.lit(False))
         summary = chosen.agg(F.count(F.lit(1)).alias("n"),
                              F.lit(None).cast("double").alias("min_score"),
-                             F.lit(None).cast("double").alias("max_score"))
+                             F.lit(None).cast("double").alias("max_score"),
+                             F.lit(None).cast("string").alias("range_text"))
         return display_columns(chosen), summary
     chosen = filter_score_range(ranked_only(final), lo, hi)
-    return display_columns(chosen), selection_summary(chosen)
+    in_order = sort_final(chosen) if ID_COLUMN in chosen.columns else chosen.orderBy("rank")
+    return display_columns(in_order), selection_summary(chosen)
 

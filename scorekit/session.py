@@ -54,11 +54,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     if sc is None or not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a folder shared by all executors")
+    if sc.master.startswith("local-cluster"):
+        raise RuntimeError("executors of a local cluster are processes of their own: set spark.checkpoint.dir")
     root = tempfile.mkdtemp(prefix="scorekit-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
 
 
+def delete_tables(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them any more.
+
+    Only folders directly under the checkpoint folder are touched; frames read from elsewhere
+    are left alone.
+    """
+    root = checkpoint_root(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    inside = jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+    for frame in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().toUri().getPath() == inside:
+                path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and return a reader of it.
 

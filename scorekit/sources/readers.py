@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import warnings
 from collections.abc import Iterable, Mapping
 
@@ -15,13 +17,15 @@ from scorekit.functions.text import normalize_header
 _FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "orc": "orc"}
 # Formats whose scan exposes ``_metadata.row_index`` (ORC, CSV and JSON do not).
 _ROW_INDEX_FORMATS = {"parquet"}
+_NO_HOST = "^([A-Za-z0-9+.-]+):///"  # Spark writes the same place as file:/x and as file:///x
+_PATH, _FILE, _ROW = "_order_path", "_order_file", "_order_row"
 
 
 def _format_of(path: str) -> str:
     ext = path.rstrip("/").split(".")[-1].lower()
     fmt = _FORMATS.get(ext)
     if fmt is None:
-        raise ValueError(f"Unsupported file format: {ext}")
+        raise ValueError(f"no reader for files ending in {ext!r}")
     return fmt
 
 
@@ -44,19 +48,38 @@ def _renamed(columns: list[str]) -> list:
     return [F.col(f"`{o}`").alias(n) for o, n in zip(columns, names)]
 
 
-def _order_struct(source_no: int, fmt: str):
-    """(source number, file, row): three fixed-width numbers, cheap to carry through the
-    aggregation buffers of a merge. Files of one source follow a fixed order (a 64-bit hash
-    of the path); rows inside a file keep file order."""
+def _natural(path: str) -> list:
+    """Sort key in which ``part-2`` comes before ``part-10``."""
+    return [(int(t), "") if t.isdigit() else (-1, t) for t in re.split(r"(\d+)", path)]
+
+
+def _file_numbers(df: DataFrame) -> dict[str, int]:
+    """Number of each of a source's files, in natural order of their names below the folder
+    that they share: the same wherever the source lies."""
+    files = df.inputFiles()
+    shared = os.path.commonpath([os.path.dirname(f) for f in files]) if files else ""
+    return {f: n for n, f in enumerate(sorted(files, key=lambda f: _natural(f[len(shared):])))}
+
+
+def _with_order(df: DataFrame, source_no: int, fmt: str, columns: list) -> DataFrame:
+    """Add ``_row_order`` = (source number, file number, row): three fixed-width numbers. Rows
+    inside a file keep file order."""
     if fmt in _ROW_INDEX_FORMATS:
         row = F.col("_metadata.row_index")
     else:
         # No row index in these scans; a plain file scan numbers rows the same way on every
         # read (partition = file split, position inside it).
         row = F.monotonically_increasing_id()
-    return F.struct(F.lit(source_no).alias("source"),
-                    F.xxhash64(F.col("_metadata.file_path")).alias("file"),
-                    row.alias("row")).alias(ORDER_COL)
+    files = _file_numbers(df)
+    rows = df.select(*columns, F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/").alias(_PATH), row.alias(_ROW))
+    if len(files) > 1:
+        # A row per file of the source: as long as the listing that the driver holds already.
+        numbers = df.sparkSession.createDataFrame([(re.sub(_NO_HOST, r"\1:/", f), n) for f, n in files.items()], f"{_PATH} string, {_FILE} bigint")
+        rows = rows.join(F.broadcast(numbers), _PATH)
+    else:
+        rows = rows.withColumn(_FILE, F.lit(0).cast("bigint"))
+    order = F.struct(F.lit(source_no).alias("source"), F.col(_FILE).alias("file"), F.col(_ROW).alias("row"))
+    return rows.withColumn(ORDER_COL, order).drop(_PATH, _FILE, _ROW)
 
 
 def _read_one(spark: SparkSession, spec, source_no: int, with_order: bool) -> DataFrame:
@@ -69,40 +92,41 @@ def _read_one(spark: SparkSession, spec, source_no: int, with_order: bool) -> Da
         path, fmt, options, schema = spec, _format_of(spec), {}, None
     if fmt == "csv":
         options.setdefault("header", "true")
-        if schema is None:
-            options.setdefault("inferSchema", "true")
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     raw = reader.load(path)
     cols = _renamed(raw.columns)
-    if with_order:
-        cols.append(_order_struct(source_no, fmt))
-    return raw.select(*cols)
+    return _with_order(raw, source_no, fmt, cols) if with_order else raw.select(*cols)
 
 
 def read_sources(spark: SparkSession, specs: Iterable, with_order: bool = True) -> list[DataFrame]:
     """Read each source (a path, or ``{"path", "format", "options", "schema"}``).
 
+    Without a schema, CSV columns are text (``inferSchema`` would scan the source once more);
+    JSON has no names without reading it, so give a schema to spare that scan.
     Empty sources are skipped; a source that cannot be read is reported with a warning and
     the others are kept. Headers follow the header rule. With ``with_order`` every frame
     carries ``_row_order`` = (source number, file, row) so later steps can honour source order.
     """
-    out = []
+    return list(_readable(spark, specs, with_order))
+
+
+def _readable(spark: SparkSession, specs: Iterable, with_order: bool):
+    """The non-empty sources one by one, as far as the caller asks for them."""
     for i, spec in enumerate(specs):
         try:
             df = _read_one(spark, spec, i, with_order)
-            if df.isEmpty():
-                continue
-            out.append(df)
+            empty = df.isEmpty()
         except DuplicateColumnError:
             raise
         except Exception as e:  # noqa: BLE001 - a broken source must not stop the others
-            warnings.warn(f"source {spec!r} read error: {e}", stacklevel=2)
-    return out
+            warnings.warn(f"skipped source {spec!r}: {e}", stacklevel=3)
+            continue
+        if not empty:
+            yield df
 
 
 def read_status(spark: SparkSession, specs: Iterable) -> DataFrame | None:
     """Status table: the first readable, non-empty source; ``None`` if there is none."""
-    frames = read_sources(spark, specs, with_order=False)
-    return frames[0] if frames else None
+    return next(_readable(spark, specs, with_order=False), None)

@@ -66,69 +66,54 @@ def test_exclusion_matches_set_semantics(spark, keys, status_keys):
     assert got == [i for i, k in enumerate(keys) if k not in removed]
 
 
-_SCORE = st.one_of(st.none(), st.booleans(), st.integers(-1000, 1000),
-                   st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False),
-                   st.sampled_from([" 12 ", "1e3", ".5", "5.", "+5", "-inf", "12%", "12d", "abc", ""]),
-                   st.lists(st.integers(0, 3), max_size=2))
-_ELEMENT = st.one_of(
-    st.fixed_dictionaries({}, optional={"unique_id": st.one_of(st.integers(1, 99), st.sampled_from(["7", "x"])),
-                                        "score": _SCORE,
-                                        "remarks": st.one_of(st.none(), st.sampled_from(["ok", "né"])),
-                                        "extra": st.integers(0, 3)}),
-    st.integers(0, 9), st.sampled_from(["text"]))
-
-
-def _python_view(text):
-    """The answer read with Python's own json and float (the semantics to match)."""
-    import json
+# Each generated value carries what must become of it, so the test needs no reader of its own.
+_NUMBERS = st.one_of(st.integers(-1000, 1000), st.floats(-1e6, 1e6, allow_nan=False)).map(lambda x: (x, float(x)))
+_FIXED = st.sampled_from([(True, 1.0), (False, 0.0), (" 12 ", 12.0), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0),
+                          ("+5", 5.0), ("-inf", float("-inf")), ("12%", None), ("12d", None), ("abc", None),
+                          ("", None), (None, None), ([1], None), ({"a": 1}, None)])
+_ID = st.sampled_from([(7, "7"), ("7", "7"), ("x", "x"), (99, "99")])
+_REMARK = st.sampled_from([None, "ok", "né"])
+
+
+def _record(id_pair, score_pair, remarks, extra):
+    given = {"unique_id": id_pair[0], "score": score_pair[0], "remarks": remarks, **extra}
+    return given, None if score_pair[1] is None else (id_pair[1], score_pair[1], remarks)
 
-    t = text.strip()
-    if t.startswith("```json"):
-        t = t[len("```json"):].strip()
-    elif t.startswith("```"):
-        t = t[3:].strip()
-    if t.endswith("```"):
-        t = t[:-3].strip()
-    try:
-        value = json.loads(t)
-    except ValueError:
-        return "invalid_json", []
-    if not isinstance(value, list):
-        return "not_list", []
-    kept = []
-    for e in value:
-        if isinstance(e, dict) and all(k in e for k in ("unique_id", "score", "remarks")):
-            try:
-                kept.append((str(e["unique_id"]), float(e["score"]), e["remarks"]))
-            except (TypeError, ValueError):
-                pass
-    return "ok", kept
+
+_WHOLE = st.builds(_record, _ID, st.one_of(_NUMBERS, _FIXED), _REMARK,
+                   st.sampled_from([{}, {"extra": 3}]))
+_NO_ROW = st.sampled_from([(3, None), ("text", None), ({}, None), ({"unique_id": 1, "score": 2}, None),
+                           ({"score": 2, "remarks": "r"}, None)])
+_LIST = st.lists(st.one_of(_WHOLE, _NO_ROW), max_size=4).map(
+    lambda pairs: ([g for g, _ in pairs], "ok", [row for _, row in pairs if row]))
+_NOT_LIST = st.sampled_from([({"unique_id": 1, "score": 2, "remarks": "r"}, "not_list", []), (5, "not_list", []),
+                             ("text", "not_list", [])])
+_WRAP = st.sampled_from([("", "", True), ("```json\n", "\n```", True), ("```", "```", True), ("  \n", " ", True),
+                         ("", " extra", False), ("", "]", False), ("```json", "\n``` trailing", False)])
 
 
 @settings(max_examples=int(os.environ.get("ANSWER_EXAMPLES", "10")), deadline=None)
-@given(st.lists(st.tuples(st.lists(_ELEMENT, max_size=4), st.sampled_from(["", "```json\n", "```"]),
-                          st.sampled_from(["", " extra", "]"]), st.booleans()),
-                min_size=1, max_size=10))
-def test_answers_match_python_reading(spark, answers):
+@given(st.lists(st.tuples(st.one_of(_LIST, _NOT_LIST), _WRAP), min_size=1, max_size=10))
+def test_answers_become_what_they_were_made_for(spark, answers):
     import json
 
     from scorekit.operators.responses import batch_results, parse_responses
 
-    texts = []
-    for elements, fence, tail, as_object in answers:
-        body = json.dumps(elements[0] if (as_object and elements) else elements, ensure_ascii=False)
-        texts.append(fence + body + ("\n```" if fence else "") + tail)
-    df = spark.createDataFrame([(i, "unique_id", t) for i, t in enumerate(texts)],
+    made = []
+    for (value, outcome, rows), (before, after, whole) in answers:
+        text = before + json.dumps(value, ensure_ascii=False) + after
+        made.append((text, outcome if whole else "invalid_json", rows if whole else []))
+    df = spark.createDataFrame([(i, "unique_id", m[0]) for i, m in enumerate(made)],
                                "batch_id long, unique_identifier_column string, response string")
     parsed = parse_responses(df)
     outcomes = {r.batch_id: r.outcome for r in parsed.select("batch_id", "outcome").collect()}
     got = {}
     for r in batch_results(parsed).collect():
         got.setdefault(r.batch_id, []).append((r.unique_id, r.score, r.remarks))
-    for i, t in enumerate(texts):
-        outcome, kept = _python_view(t)
-        assert outcomes[i] == outcome, t
-        assert sorted(got.get(i, [])) == sorted(kept), t
+    key = lambda t: (t[0], t[1], t[2] or "")
+    for i, (text, outcome, rows) in enumerate(made):
+        assert outcomes[i] == outcome, text
+        assert sorted(got.get(i, []), key=key) == sorted(rows, key=key), text
 
 
 @settings(max_examples=8, deadline=None)
@@ -138,9 +123,11 @@ def test_distinct_matches_pandas(spark, records):
 
     from scorekit.operators.dedupe import drop_duplicate_rows
 
+    from scorekit.functions.constants import ORDER_COL
+
     rows = [(k, v, i) for i, (k, v) in enumerate(records)]
-    df = spark.createDataFrame(rows, "k string, v int, o int")
-    got = sorted((r.o, r.k, r.v) for r in drop_duplicate_rows(df, "o").collect())
+    df = spark.createDataFrame(rows, f"k string, v int, {ORDER_COL} int")
+    got = sorted((r[ORDER_COL], r.k, r.v) for r in drop_duplicate_rows(df).collect())
     pdf = pd.DataFrame(rows, columns=["k", "v", "o"]).astype({"v": "object"})
     kept = pdf.loc[~pdf[["k", "v"]].duplicated(keep="first")]
     want = sorted((int(r.o), r.k, None if pd.isna(r.v) else int(r.v)) for r in kept.itertuples())

@@ -17,7 +17,7 @@ from scorekit.operators.batches import pack_batches
 from scorekit.operators.numbering import assign_ids
 from scorekit.operators.responses import batch_results
 from scorekit.operators.scoring import score_batches
-from scorekit.plans.scorers import field_scorer
+from local_scorer import field_scorer
 
 inner = field_scorer("k")
 

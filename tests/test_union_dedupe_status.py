@@ -3,6 +3,7 @@ import warnings
 import pytest
 
 from scorekit.errors import DuplicateColumnError
+from scorekit.functions.constants import ORDER_COL
 from scorekit.operators.dedupe import drop_duplicate_rows, merge_by_key
 from scorekit.operators.reports import consolidation_report
 from scorekit.operators.status import exclude_by_status
@@ -80,7 +81,8 @@ def test_distinct_missing_equals_missing(spark):
 
 def test_distinct_keeps_first_order(spark):
     df = spark.createDataFrame([("x", 5), ("x", 2), ("y", 1)], "a string, o int")
-    assert rows(drop_duplicate_rows(df, "o")) == [("x", 2), ("y", 1)]
+    df = df.withColumnRenamed("o", ORDER_COL)
+    assert rows(drop_duplicate_rows(df)) == [("x", 2), ("y", 1)]
 
 
 def test_status_null_safe_text_match(spark):

@@ -2,7 +2,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from scorekit.plans.scorers import field_scorer
+from local_scorer import field_scorer
 from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
 from scorekit.sources.readers import read_sources
 
@@ -46,12 +46,56 @@ def test_end_to_end_from_files(spark):
 
 
 def test_rows_dedupe_and_no_status(spark):
-    df = spark.createDataFrame([("x", 2), ("y", 1), ("x", 3)], "a string, o long")
+    df = spark.createDataFrame([("x", 2), ("y", 1), ("x", 3), ("y", 1)], "a string, o long")
     c = consolidate([df], dedupe="rows", order_by="o")
-    # "x" survives with its first order value 2, so ids follow o: y(1) then x(2)
-    assert rows(c.base.select("a", "unique_id")) == [("x", 2), ("y", 1)]
+    # the order column is part of the row: (x, 2) and (x, 3) differ
+    assert rows(c.base.select("a", "o", "unique_id")) == [("x", 2, 2), ("x", 3, 3), ("y", 1, 1)]
     assert c.report.select("merged").first()[0] == 1
-    assert F is not None
+
+
+def test_wrong_dedupe_and_unknown_key(spark):
+    import warnings
+
+    import pytest
+    df = spark.createDataFrame([("x", 1), ("x", 1)], "a string, o long")
+    with pytest.raises(ValueError):
+        consolidate([df], dedupe="row", order_by="o")
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        c = consolidate([df], dedupe="key", key="zzz", order_by="o")
+    assert any("zzz" in str(w.message) for w in caught)
+    assert c.base.count() == 2
+
+
+def test_every_scoring_view_is_guarded(spark):
+    import pytest
+
+    from scorekit.errors import SensitiveColumnError
+    df = spark.createDataFrame([("x", "1", 1)], "a string, `Phone Number` string, o long")
+    with pytest.raises(SensitiveColumnError):
+        consolidate([df], dedupe=None, order_by="o")
+    c = consolidate([df], dedupe=None, order_by="o", columns=["a"])
+    with pytest.raises(SensitiveColumnError):
+        analyze(c.base, c.base, field_scorer("o"), "r")
+
+
+def test_final_table_is_in_rank_order_and_written_so(spark, tmp_path):
+    from scorekit.operators.results import merge_results
+    from scorekit.sources.writers import write_results
+    base = spark.range(1, 400).withColumnRenamed("id", "unique_id")
+    scores = spark.range(1, 300).select(F.col("id").alias("unique_id"), (F.col("id") * 37 % 50).cast("double").alias("score"),
+                                        F.lit("r").alias("remarks"))
+    final = merge_results(base, scores)
+    got = [(r["rank"], r["unique_id"]) for r in final.collect()]
+    assert got == sorted(got)
+    chosen, _ = select_and_report(final, lo=10)
+    ranks = [r["rank"] for r in chosen.collect()]
+    assert ranks == sorted(ranks)
+    path = write_results(final.repartition(5), str(tmp_path), fmt="csv", prefix="run_")
+    import glob
+    lines = [x.split(",") for f in sorted(glob.glob(path + "/part-*")) for x in open(f).read().splitlines()[1:]]
+    ranks = [int(x[-1]) for x in lines]
+    assert ranks == sorted(ranks) and len(ranks) == 399
 
 
 def test_consolidate_needs_an_order(spark):
