@@ -411,9 +411,9 @@ def q_consolidation_flow_report(spark, d):
 
 
 def q_scoring_view(spark, d):
-    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_comment")
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     return consolidate([orders], dedupe=None, order_by="o_orderkey",
-                       columns=["o_orderstatus", "o_comment", "no_such_column"]).scoring_view
+                       columns=["o_orderstatus", "o_totalprice", "no_such_column"]).scoring_view
 
 
 def q_exclude_nan_keys(spark, d):
@@ -776,7 +776,7 @@ select o_orderkey, cast(o_custkey as varchar) as o_custkey, o_totalprice,
 from orders where o_custkey not in ({_STATUS_ORDERS_SQL})"""
 _ORACLES["consolidation_flow_report"] = _ORACLES["consolidation_report"]
 _ORACLES["scoring_view"] = """
-select o_orderstatus, o_comment, row_number() over (order by o_orderkey) as unique_id from orders"""
+select o_orderstatus, o_totalprice, row_number() over (order by o_orderkey) as unique_id from orders"""
 _ORACLES["exclude_nan_keys"] = """
 with c as (select c_custkey, case when c_mktsegment <> 'BUILDING' then cast(c_custkey as varchar) end as k
            from customer),
