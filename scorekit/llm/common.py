@@ -60,14 +60,3 @@ def out_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
          for c, f in zip(columns, schema)], schema=schema)
-
-
-def delete_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete intermediate tables that ``materialize`` wrote and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        parents = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
-        for p in parents:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
