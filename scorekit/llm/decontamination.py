@@ -9,7 +9,8 @@ white space do not count).
    at every word; those that cannot match are passed over by the q-gram lemma: each edit
    destroys at most two word pairs, so a window that begins a match holds at least
    ``size - 1 - 2 * edits`` word pairs of items. The pairs are looked up in a bit table of fixed
-   size, whose false positives only let more windows through.
+   size, whose false positives only let more windows through. A pair counts at most as often as
+   the items repeat any pair, so runs of one repeated word do not pass.
 2. Embedding. The rest are embedded by the random walk of Chakraborty, Goldenberg and Koucky:
    at step ``j`` the symbol under the pointer is written, and the pointer moves on if a random
    bit of (j, symbol) says so. Few edits between two word sequences become few differing
@@ -107,6 +108,25 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * np.uint64(3) + words[1:])
 
 
+def _earlier(pairs: np.ndarray, at: np.ndarray, times: int) -> np.ndarray:
+    """For each of the places ``at`` of ``pairs``: the place where the same pair stood ``times``
+    occurrences (among ``at``) before, or -1."""
+    order = np.argsort(pairs[at], kind="stable")
+    sorted_pairs, place = pairs[at][order], at[order]
+    found = np.full(len(at), -1, dtype=np.int64)
+    same = sorted_pairs[times:] == sorted_pairs[:-times]
+    found[order[times:][same]] = place[:-times][same]
+    return found
+
+
+def _held(at: np.ndarray, earlier: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Item pairs (at places ``at``) in the window of ``size`` words at each of ``n`` starts; a pair
+    counts in a window only if its ``earlier`` occurrence lies before the window."""
+    first = np.maximum(np.maximum(earlier + 1, at - size + 2), 0)
+    change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    return np.cumsum(change)[:n]
+
+
 def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
@@ -128,11 +148,11 @@ def _long_lists(values) -> pa.Array:
 
 def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> DataFrame:
     """``item`` (a number of its own), ``item_id, size, n_words, words, places, sigs`` of each
-    distinct item."""
+    distinct item; ``most``: how often it has its most frequent word pair."""
     def task(batches):
         hasher, walkers = WordHasher(), {}
         for part in slices(batches):
-            kept, sizes, n, words, places, sigs = [], [], [], [], [], []
+            kept, sizes, n, most, words, places, sigs = [], [], [], [], [], [], []
             for i, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                 w = _words(hasher, text)
                 if len(w) == 0:
@@ -144,24 +164,26 @@ def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> Dat
                 sizes.append(size)
                 n.append(len(w))
                 words.append(w)
-                places.append(_place(_pairs(w) if len(w) > 1 else mix(w)))
+                pairs = _pairs(w) if len(w) > 1 else mix(w)
+                most.append(int(np.unique(pairs, return_counts=True)[1].max()))
+                places.append(_place(pairs))
                 sigs.append(np.unique(walkers[size].signatures(w, np.zeros(1, np.int64))[0]))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(kept, pa.int64())), pa.array(sizes, pa.int32()),
-                 pa.array(n, pa.int32()), _long_lists(words), pa.array(places, pa.list_(pa.int64())),
-                 _long_lists(sigs)], names=["item_id", "size", "n_words", "words", "places", "sigs"])
+                 pa.array(n, pa.int32()), pa.array(most, pa.int32()), _long_lists(words), pa.array(places, pa.list_(pa.int64())),
+                 _long_lists(sigs)], names=["item_id", "size", "n_words", "most", "words", "places", "sigs"])
 
     rows = benchmark.select(F.col(item_col).alias("item_id"),
                             F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).distinct()
     schema = T.StructType([T.StructField("item_id", benchmark.schema[item_col].dataType),
-                           *T._parse_datatype_string("size int, n_words int, words array<bigint>, "
+                           *T._parse_datatype_string("size int, n_words int, most int, words array<bigint>, "
                                                      "places array<bigint>, sigs array<bigint>").fields])
     return materialize(rows.mapInArrow(task, schema).withColumn("item", F.monotonically_increasing_id()),
                        "decon-items")
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tuple[int, int]],
-                pair_bits: bytes, sig_bits: bytes, shape) -> DataFrame:
+                most: int, pair_bits: bytes, sig_bits: bytes, shape) -> DataFrame:
     """``cand, doc_id, sha, first, words, sigs``: stretches of documents with the signatures
     that their windows share with the bit table of the items' signatures.
 
@@ -169,43 +191,61 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
     A stretch covers the windows that start in one run of ``size`` words, and as far as a match
     can reach from there.
     """
+    def windows(texts, hasher, pairs):
+        """All words of the texts, each text followed by padding; where each text starts; and
+        for each size the starts of the windows that pass, with their texts' numbers."""
+        least = min((n for n, _ in need.values()), default=0)
+        gap = np.full(max(need, default=0), PAD)
+        words, begins, passed, at = [], [], {size: ([], []) for size in need}, 0
+        for i, text in enumerate(texts):
+            w = _words(hasher, text)
+            own = _pairs(w)
+            hits = np.flatnonzero(pairs[_place(own)])
+            begins.append(at)
+            if len(w) == 0 or (1 not in need and len(hits) < least):
+                continue
+            earlier, found = _earlier(own, hits, most), False
+            for size, (at_least, _) in need.items():
+                # Windows may hang over the end: a match can be shorter than its item.
+                starts = (np.flatnonzero(pairs[_place(mix(w))]) if size == 1 else
+                          np.flatnonzero(_held(hits, earlier, size, len(w)) >= at_least))
+                if len(starts):
+                    passed[size][0].append(starts + at)
+                    passed[size][1].append(np.full(len(starts), i))
+                    found = True
+            if found:
+                words += [w, gap]
+                at += len(w) + len(gap)
+        begins.append(at)
+        return np.concatenate(words) if words else gap, np.array(begins), passed
+
     def task(batches):
         hasher, pairs, known = WordHasher(), _opened(pair_bits), _opened(sig_bits)
         walkers = {size: Walks(size, *shape) for size in need}
-        least = min((n for n, _ in need.values()), default=0)
-        for part in slices(batches, 128):
+        for part in slices(batches):
             rows, first, words, sigs = [], [], [], []
-            for i, text in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
-                w = _words(hasher, text)
-                if len(w) == 0:
-                    continue
-                hit = pairs[_place(_pairs(w))] if len(w) > 1 else np.zeros(0, bool)
-                if 1 not in need and int(hit.sum()) < least:
-                    continue
-                total = np.concatenate([np.zeros(1, np.int64), np.cumsum(hit)])
-                for size, (at_least, reach) in need.items():
-                    # Windows may hang over the end: a match can be shorter than its item.
-                    if size == 1:
-                        starts = np.flatnonzero(pairs[_place(mix(w))])
-                    else:
-                        s = np.arange(len(w))
-                        inside = total[np.minimum(s + size - 1, len(hit))] - total[np.minimum(s, len(hit))]
-                        starts = np.flatnonzero(inside >= at_least)
-                    if len(starts) == 0:
-                        continue
-                    padded = np.concatenate([w, np.full(size, PAD)])
-                    run = starts // size
-                    for at in range(0, len(starts), WINDOWS_AT_ONCE):
-                        here = starts[at:at + WINDOWS_AT_ONCE]
-                        found = walkers[size].signatures(padded, here)
-                        match = known[_place(mix(found))]
-                        for r in np.unique(run[at:at + WINDOWS_AT_ONCE][match.any(axis=1)]):
-                            mine = run[at:at + WINDOWS_AT_ONCE] == r
-                            lo = max(0, int(r) * size - reach)
-                            rows.append(i)
-                            first.append(lo)
-                            words.append(w[lo:int(r + 1) * size + reach])
-                            sigs.append(np.unique(found[mine][match[mine]]))
+            every, begins, passed = windows(part.column(2).cast(pa.binary()).to_pylist(), hasher, pairs)
+            ends = begins[1:] - max(need, default=0)
+            for size, (starts, texts) in passed.items():
+                starts, texts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, texts))
+                reach = need[size][1]
+                for at in range(0, len(starts), WINDOWS_AT_ONCE):
+                    here, text = starts[at:at + WINDOWS_AT_ONCE], texts[at:at + WINDOWS_AT_ONCE]
+                    found = walkers[size].signatures(every, here)
+                    match = known[_place(mix(found))]
+                    some = match.any(axis=1)
+                    run = (here - begins[text]) // size
+                    stretch = np.stack([text[some], run[some]], axis=1)
+                    distinct, member = np.unique(stretch, axis=0, return_inverse=True)
+                    order = np.argsort(member.ravel(), kind="stable")
+                    groups = np.split(np.flatnonzero(some)[order],
+                                      np.flatnonzero(np.diff(member.ravel()[order])) + 1) if len(distinct) else []
+                    for (i, r), mine in zip(distinct.tolist(), groups):
+                        lo = max(0, r * size - reach)
+                        rows.append(i)
+                        first.append(lo)
+                        words.append(every[begins[i] + lo:min(begins[i] + (r + 1) * size + reach, ends[i])])
+                        sigs.append(np.unique(found[mine][match[mine]]))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(rows, pa.int64())), part.column(1).take(pa.array(rows, pa.int64())),
                  pa.array(first, pa.int64()), _long_lists(words), _long_lists(sigs)],
@@ -263,7 +303,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
     (id and text digest) and item; ``last_word`` is the match's last word's place in the text."""
     shape = (walks, tables, sampled)
     items = _item_rows(benchmark, item_col, item_text_col, shape)
-    lengths = items.groupBy("size").agg(F.min("n_words").alias("lo"), F.max("n_words").alias("hi")).collect()
+    lengths = items.groupBy("size").agg(F.max("n_words").alias("hi"), F.max("most").alias("most")).collect()
+    most = max((r["most"] for r in lengths), default=1)
     need = {}  # one entry per size of the grid: about log(longest item) many
     for r in lengths:
         edits = edits_allowed(r["hi"], max_share)
@@ -276,7 +317,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
             yield pa.RecordBatch.from_arrays([pa.array(_place(mix(sig)))], names=["place"])
 
     sig_bits = _bit_table(items.select(F.explode("sigs")).mapInArrow(sig_places, "place bigint"))
-    cands = _candidates(docs, id_col, text_col, need, pair_bits, sig_bits, shape)
+    cands = _candidates(docs, id_col, text_col, need, most, pair_bits, sig_bits, shape)
     met = (cands.select("cand", F.explode("sigs").alias("sig"))
            .join(items.select("item", F.explode("sigs").alias("sig")), "sig")
            .select("cand", "item").distinct())

@@ -121,3 +121,26 @@ def test_window_sizes_are_few_and_never_longer_than_the_item():
     sizes = {D.window_size(n) for n in range(1, 5000)}
     assert len(sizes) < 90
     assert all(n / 1.2 < D.window_size(n) <= n for n in range(1, 5000))
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_held_pairs_are_counted_window_by_window(times):
+    dice = np.random.default_rng(times)
+    words = dice.integers(1, 7, 80).astype(np.uint64)
+    own = D._pairs(words)
+    marked = np.isin(own, np.unique(own)[::2])
+    at = np.flatnonzero(marked)
+    earlier = D._earlier(own, at, times)
+    for size in (2, 5, 17, 60):
+        got = D._held(at, earlier, size, len(words))
+        for start in range(len(words)):
+            inside = own[start:start + size - 1][marked[start:start + size - 1]]
+            want = np.minimum(np.unique(inside, return_counts=True)[1], times).sum() if len(inside) else 0
+            assert got[start] == want
+
+
+def test_runs_of_one_word_do_not_pass(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)) + " la la")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "la " * 4000), (2, "x " * 9 + " ".join(f"w{i}" for i in range(12)) + " la la la la")],
+                                 "doc_id long, text string")
+    assert [(r["doc_id"], r["edits"]) for r in D.contaminated(docs, items).collect()] == [(2, 0)]
