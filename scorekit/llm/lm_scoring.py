@@ -41,8 +41,8 @@ from scorekit.llm.common import held_out, id_and_text, slices
 from scorekit.llm.hashing import SPACE, WordHasher, lower_ascii
 
 ORDER = 5                 # bytes of context; a gram of order + 1 bytes must fit 64 bits
-CHUNK_BYTES = 32 << 20
-BLOCK = 1 << 21           # symbols turned to grams at a time
+CHUNK_BYTES = 16 << 20
+BLOCK = 1 << 19           # symbols turned to grams at a time
 END = 0xFF                # no byte of UTF-8: ends a text, and fills the context before its start
 SYMBOLS = 256
 GRAM, WORD = 0, 1
@@ -86,7 +86,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(where, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
 
 
-def _text_slices(table: pa.Table, rows: int = 1024):
+def _text_slices(table: pa.Table, rows: int = 256):
     for batch in slices(table.to_batches(), rows):
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield batch, texts, np.array(batch.column("held_out").to_pylist(), dtype=bool)
@@ -185,7 +185,7 @@ def _at(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _answers(low: np.ndarray, order: int):
     """A group of grams: their log probabilities. A group of words: their training counts,
-    but for words of one chunk only, which that chunk knows itself."""
+    but for words of one chunk only, whose count the chunk has itself."""
     def task(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
         count = table.column("n").to_numpy()
@@ -209,22 +209,7 @@ def _scores(order: int):
         kind, key, value = kind[sort], key[sort].view(np.uint64), value[sort]
         grams, chance = key[kind == GRAM], value[kind == GRAM]
         words, known = key[kind == WORD], value[kind == WORD]
-        hasher = WordHasher()
-        own_words, own_counts = [], []
-        for _, texts, out in _text_slices(docs):
-            raw, starts = _joined(texts, order)
-            for hashes, owner in _word_hashes(hasher, raw, starts):
-                own_words.append(hashes[~out[owner]])
-                own_counts.append(np.ones(len(own_words[-1])))
-            own_words.append(np.full(int((~out).sum()), END_WORD))
-            own_counts.append(np.ones(len(own_words[-1])))
-        own_words, own_counts = _summed(own_words, own_counts)
-
-        def trained(hashes):
-            shared = _at(words, hashes, known)
-            return np.maximum(shared, _at(own_words, hashes, own_counts.astype(float)))
-
-        result = []
+        hasher, result = WordHasher(), []
         for batch, texts, out in _text_slices(docs):
             n = len(texts)
             raw, starts = _joined(texts, order)
@@ -234,11 +219,11 @@ def _scores(order: int):
                 distinct, where = np.unique(g, return_inverse=True)
                 score += np.bincount(owner, weights=_at(grams, distinct, chance)[where], minlength=n)
             for hashes, owner in _word_hashes(hasher, raw, starts):
-                c = trained(hashes)
+                c = _at(words, hashes, known)
                 tokens += np.bincount(owner, minlength=n)
                 seen += np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64)
                 base += np.bincount(owner, weights=np.log10(c + 1), minlength=n)
-            c = trained(np.array([END_WORD]))[0]
+            c = _at(words, np.array([END_WORD]), known)[0]
             result.append(pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(out), pa.array(tokens), pa.array(seen + int(c > 0)),
                  pa.array(base + math.log10(c + 1)), pa.array(score)],
@@ -288,14 +273,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     asked = dealt.groupBy("chunk").applyInArrow(
         _asked(order), "chunk int, kind tinyint, key bigint, n bigint").repartition("kind", "key")
-    summed = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
+    summed = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("chunk").alias("chunks"))
     group = F.when(F.col("kind") == GRAM, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).otherwise(
         -1 - F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
     answers = (summed.withColumn("part", group).groupBy("part")
                .applyInArrow(_answers(low, order), "kind tinyint, key bigint, value double"))
-    replies = asked.select("chunk", "kind", "key").join(answers, ["kind", "key"]).select(
-        "chunk", "kind", "key", "value")
-    vocabulary = summed.agg(F.count_if((F.col("kind") == WORD) & (F.col("n") > 0))).scalar()
+    # A word without an answer is its chunk's alone, and so is its count. All readers of ``asked`` use
+    # all its columns, so that they share one exchange and grams are taken from the texts once.
+    replies = asked.join(answers, ["kind", "key"], "left").select(
+        "chunk", "kind", "key", F.coalesce("value", F.col("n").cast("double")).alias("value"))
+    vocabulary = summed.agg(F.count_if((F.col("kind") == WORD) & (F.col("n") > 0) & (F.col("chunks") > 0))).scalar()
 
     schema = T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(
         "held_out boolean, n_tokens bigint, n_known bigint, base double, score double").fields])
