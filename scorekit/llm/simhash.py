@@ -138,7 +138,8 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 2, crowded: int = CROWDE
     n = [F.count(F.when(F.col("side") == side, 1)).alias(f"n{side}") for side in (0, 1, 2)]
     shared = index.groupBy("sig").agg(*n).where("n2 > 1 or (n0 > 0 and n1 > 0)").select(
         "sig", F.greatest("n2", F.least("n0", "n1")).alias("width"))
-    met = materialize(index.join(shared, "sig"), "simhash-index")
+    # The shared signatures grow with the documents: joined by shuffle at every size, not broadcast.
+    met = materialize(index.join(shared.hint("merge"), "sig"), "simhash-index")
     pairs = _pairs(met.where(F.col("width") <= crowded), max_bits)
     crowd = met.where(F.col("width") > crowded).select("fp").distinct()
     return materialize(pairs.unionByName(_star_links(crowd, max_bits)), "simhash-links")
