@@ -108,10 +108,13 @@ def fit(columns: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: in
     levels, y = np.unique(np.asarray(grades, dtype=np.int64), return_inverse=True)
     if len(levels) == 1:
         return OrdinalModel(np.zeros(1 << HASH_BITS), np.zeros(0), int(levels[0]))
-    doc = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    used, col, times = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-    common = (times >= MIN_DOCS)[col]
-    doc, (used, col) = doc[common], np.unique(used[col[common]], return_inverse=True)
+    flat = np.concatenate(columns)
+    times = np.bincount(flat, minlength=1 << HASH_BITS)
+    used = np.flatnonzero(times >= MIN_DOCS)
+    common = times[flat] >= MIN_DOCS
+    doc = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])[common]
+    col = np.searchsorted(used, flat[common]).astype(np.int32)
+    del flat, common
     norm = np.sqrt(np.maximum(1, np.bincount(col, minlength=len(used))))  # rare features step no faster
     n, k = len(y), len(levels) - 1
     share = np.clip(np.cumsum(np.bincount(y, minlength=k + 1))[:-1] / n, 1e-6, 1 - 1e-6)
@@ -199,6 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE,
     flat = lists.values.to_numpy(zero_copy_only=False)
     columns = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
     grades = np.array(rows.column("grade").to_pylist(), dtype=np.int64)
+    del rows
     return fit(columns, grades)
 
 
