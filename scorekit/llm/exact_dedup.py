@@ -134,8 +134,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one). ``keep_id`` is its id, ``group_size`` the number of rows with that text.
     """
     recipes = materialize(chunk_recipes(docs, id_col, text_col), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"),
-                                           F.count(F.lit(1)).alias("group_size"))
+    # Written first, so that the join has plain inputs and a recipe that a third of the rows
+    # share can be split over tasks.
+    groups = materialize(recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"),
+                                                       F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return recipes.join(groups, "recipe").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
