@@ -29,8 +29,9 @@ ADDED_TEXT = r"\### Assistant: </turn> ok"  # of conversation -7
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
-#: Severity grades of ``labels``: 0 not toxic, 1 toxic, 2 toxic and of low quality.
-GRADE = "toxic * (2 - coalesce(quality, 1))"
+#: Severity grades of ``labels``: 0 not toxic, 1 toxic. The labels hold no severity beyond that
+#: (``quality`` does not follow toxicity), so this is a cumulative-link fit of two grades.
+GRADE = "toxic"
 
 
 def op1_lm_scoring(spark, sf_dir):

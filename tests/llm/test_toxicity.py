@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from scorekit.llm import queries
 from scorekit.llm import toxicity as X
 
 GRADE = "toxic * (2 - coalesce(quality, 1))"
@@ -67,6 +68,19 @@ def test_held_out_labels_of_the_table(spark):
     assert right / sum(truth[r["doc_id"]] for r in out) > 0.6
 
 
+def test_grades_of_the_query_follow_toxicity_only(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = X.learn(docs, labels.where(~fold), queries.GRADE)
+    assert len(model.thresholds) == 1
+    out = X.predict_severity(docs, model, reject_above=0.5).join(
+        labels.where(fold).select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    right = sum(r["truth"] for r in out if r["toxic"])
+    assert right / sum(r["toxic"] for r in out) > 0.95
+    assert right / sum(r["truth"] for r in out) > 0.83
+
+
 def test_features_do_not_depend_on_blocks(monkeypatch):
     text = "Idiot idiots, ÄRGER; über-all " * 40
     whole = X.Hasher().columns(text)
