@@ -7,18 +7,26 @@ weight vector for all ordered thresholds; fitted by accelerated proximal gradien
 an L1 penalty, which leaves weight on few features. Output: the expected severity, which is
 the sum over k of ``P(grade > k)``.
 
+A document is toxic if its ``P(grade >= 1)`` is above a cut that :func:`learn` chooses on labelled
+documents held out of a fit (see :func:`choose_cut`): the highest that finds ``RECALL`` of the toxic
+ones, as far as ``PRECISION`` of those above it are toxic, and never above ``REJECT_ABOVE``. The
+weights themselves are then fitted on the whole sample.
+
 Fitting uses a bounded sample: the ``sample`` labelled documents with the least hash of their
 id (a documented parameter; all labelled documents if there are fewer). Prediction reads every
 row and whole text; the weights have a fixed size.
 
 Cases: a null or wordless text has no features and gets the thresholds' prior; documents
 without a label or with a null grade are not learned from; with no labels at all, or one
-grade only, everything is predicted as that grade (0 without labels); repeated rows are
+grade only, everything is predicted as that grade (0 without labels); with fewer than
+``LEAST_TOXIC`` toxic documents held out the cut is ``REJECT_ABOVE``; repeated rows are
 predicted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +40,11 @@ MIN_DOCS = 3         # a feature of fewer documents of the sample is not learned
 L1 = 3e-5
 STEPS = 200
 GAIN = 1e-6          # fitting ends when ten steps lower the loss by less
-REJECT_ABOVE = 0.5   # P(grade >= 1) above this: the document is toxic
+REJECT_ABOVE = 0.5   # P(grade >= 1) above this is toxic at any rate; learn() may choose a lower cut
+RECALL, PRECISION = 0.95, 0.9  # wanted of the cut on held-out documents; precision goes first
+FOLDS = 4            # of the sample, by content: equal texts are held out together
+HELD_TOXIC = 100     # folds are held out one by one until they have so many toxic documents
+LEAST_TOXIC = 20     # with fewer of them no cut is chosen
 BEGINNINGS = (4, 5)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20      # bytes turned to features at a time: bounds memory for very long texts
@@ -91,6 +103,7 @@ class OrdinalModel:
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray, lowest: int = 0):
         self.weights, self.thresholds, self.lowest = weights, thresholds, lowest
+        self.reject_above = REJECT_ABOVE
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """``P(grade > k)`` for each score (rows) and threshold (columns)."""
@@ -172,6 +185,41 @@ def fit(columns: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: in
     return OrdinalModel(weights, thresholds(t), int(levels[0]))
 
 
+def choose_cut(p: np.ndarray, toxic: np.ndarray, recall: float = RECALL, precision: float = PRECISION) -> float:
+    """The highest cut of ``REJECT_ABOVE`` or less that has ``recall`` of the ``toxic`` documents
+    above it. Lower cuts than ``REJECT_ABOVE`` count only where ``precision`` of the documents
+    above them are toxic; if none of those reaches ``recall``, the one with the greatest is taken."""
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.concatenate([[0], np.cumsum(toxic[order])])
+    cuts = (p + np.append(p[1:], 0.0)) / 2  # between each document and the next less likely one
+    cuts = np.concatenate([[REJECT_ABOVE], cuts[(cuts < REJECT_ABOVE) & (cuts < p)]])
+    above = np.searchsorted(-p, -cuts, side="left")
+    allowed = hits[above] >= precision * above
+    allowed[0] = True
+    wanted = min(recall * hits[-1], hits[above[allowed]].max())
+    return float(cuts[np.flatnonzero(allowed & (hits[above] >= wanted))[0]])
+
+
+def _held_out_cut(columns: list[np.ndarray], grades: np.ndarray) -> float:
+    """The cut chosen on documents that the fits they are judged by have not seen."""
+    fold = np.array([zlib.crc32(c.tobytes()) % FOLDS for c in columns], dtype=np.int64)
+    toxic = grades > (grades.min() if len(grades) else 0)
+    if toxic.sum() < LEAST_TOXIC:
+        return REJECT_ABOVE
+    p, truth = [], []
+    for k in range(FOLDS):
+        held, seen = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        model = fit([columns[i] for i in seen], grades[seen])
+        if len(held) and len(model.thresholds):
+            p.append(model.above(np.array([model.weights[columns[i]].sum() for i in held]))[:, 0])
+            truth.append(toxic[held])
+        if sum(t.sum() for t in truth) >= HELD_TOXIC:
+            break
+    if sum(t.sum() for t in truth) < LEAST_TOXIC:
+        return REJECT_ABOVE
+    return choose_cut(np.concatenate(p), np.concatenate(truth))
+
+
 def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE, id_col: str = "doc_id",
           text_col: str = "text") -> OrdinalModel:
     """Fit on the ``sample`` labelled documents with the least hash of their id.
@@ -203,7 +251,10 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE,
     columns = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
     grades = np.array(rows.column("grade").to_pylist(), dtype=np.int64)
     del rows
-    return fit(columns, grades)
+    cut = _held_out_cut(columns, grades)
+    model = fit(columns, grades)
+    model.reject_above = cut
+    return model
 
 
 def _scorer(model: OrdinalModel):
@@ -215,9 +266,11 @@ def _scorer(model: OrdinalModel):
 
 
 def predict_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
-                     text_col: str = "text", reject_above: float = REJECT_ABOVE) -> DataFrame:
+                     text_col: str = "text", reject_above: float | None = None) -> DataFrame:
     """``doc_id, severity, p_toxic, toxic`` for every row: expected severity, the probability
-    of any grade above the lowest, and whether that exceeds ``reject_above``."""
+    of any grade above the lowest, and whether that exceeds ``reject_above`` (the model's cut)."""
+    cut = model.reject_above if reject_above is None else reject_above
+
     def task(batches):
         scores = _scorer(model)
         for part in slices(batches):
@@ -225,7 +278,7 @@ def predict_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id
             severity = above.sum(axis=1) + model.lowest
             p = above[:, 0] if above.shape[1] else np.full(len(above), float(model.lowest > 0))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(severity), pa.array(p), pa.array(p > reject_above)],
+                [part.column(0), pa.array(severity), pa.array(p), pa.array(p > cut)],
                 names=["doc_id", "severity", "p_toxic", "toxic"])
 
     schema = schema_like(docs, id_col, "severity double, p_toxic double, toxic boolean")
@@ -233,16 +286,17 @@ def predict_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
-               reject_above: float = REJECT_ABOVE) -> DataFrame:
+               reject_above: float | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`predict_severity` does not call toxic, all columns
     as they were; judged row by row where they are read, without a shuffle."""
     place = docs.columns.index(text_col)
+    cut = model.reject_above if reject_above is None else reject_above
 
     def task(batches):
         scores = _scorer(model)
         for part in slices(batches):
             above = model.above(scores(["" if t is None else str(t) for t in part.column(place).to_pylist()]))
             p = above[:, 0] if above.shape[1] else np.full(len(above), float(model.lowest > 0))
-            yield part.filter(pa.array(p <= reject_above))
+            yield part.filter(pa.array(p <= cut))
 
     return docs.mapInArrow(task, docs.schema)

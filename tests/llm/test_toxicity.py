@@ -81,6 +81,34 @@ def test_grades_of_the_query_follow_toxicity_only(spark):
     assert right / sum(r["truth"] for r in out) > 0.83
 
 
+def test_cut_is_chosen_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = X.learn(docs, labels.where(~fold), queries.GRADE)
+    assert 0 < model.reject_above < X.REJECT_ABOVE
+    out = X.predict_severity(docs, model).join(
+        labels.where(fold).select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    right = sum(r["truth"] for r in out if r["toxic"])
+    assert right / sum(r["toxic"] for r in out) >= X.PRECISION
+    assert right / sum(r["truth"] for r in out) > 0.88
+
+
+def test_cut_is_the_highest_that_keeps_to_recall_and_precision():
+    dice = np.random.default_rng(5)
+    for _ in range(60):
+        toxic = dice.random(dice.integers(1, 60)) < 0.4
+        p = np.round(np.clip(dice.normal(0.15 + 0.4 * toxic, 0.2), 0, 1), 2)
+        cut, allowed = X.choose_cut(p, toxic), {}
+        for c in {X.REJECT_ABOVE, *(v - 1e-6 for v in p if 0 < v <= X.REJECT_ABOVE)}:
+            above, hits = (p > c).sum(), toxic[p > c].sum()
+            if c == X.REJECT_ABOVE or hits >= X.PRECISION * above:
+                allowed[c] = hits
+        wanted = min(X.RECALL * toxic.sum(), max(allowed.values()))
+        best = max(c for c, hits in allowed.items() if hits >= wanted)
+        assert np.array_equal(p > cut, p > best) and cut <= X.REJECT_ABOVE
+
+
 def test_features_do_not_depend_on_blocks(monkeypatch):
     text = "Idiot idiots, ÄRGER; über-all " * 40
     whole = X.Hasher().columns(text)
