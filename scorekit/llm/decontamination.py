@@ -11,14 +11,17 @@ white space do not count).
    ``size - 1 - 2 * edits`` word pairs of items. The pairs are looked up in a bit table of fixed
    size, whose false positives only let more windows through. A pair counts at most as often as
    the items repeat any pair, so runs of one repeated word do not pass.
+   Two walks fall out of step in long windows. So items of ``2 * PIECE`` words and more are cut into
+   equal pieces, and the windows have a piece's size: of the pieces of a match, one at least has no
+   greater share of edits than the whole, and every piece is one more chance to meet.
 2. Embedding. The rest are embedded by the random walk of Chakraborty, Goldenberg and Koucky:
    at step ``j`` the symbol under the pointer is written, and the pointer moves on if a random
    bit of (j, symbol) says so. Few edits between two word sequences become few differing
    places of their embeddings, as the walks fall into step again.
 3. Search. ``tables`` signatures are drawn from ``walks`` embeddings, each of ``sampled``
-   places, and joined by equality with the items' signatures. With these numbers windows at
-   the greatest distance are found with a probability above 0.95 (see tests), and most matches
-   are met by several windows.
+   places, and joined by equality with the items' signatures. With these numbers matches at
+   the greatest distance are found with a probability of about 0.95 or more, which does not fall with
+   length (tests: 15 to 59, 66 to 1000 words); most are met by several windows.
 4. Verification. Every candidate is checked by the exact edit distance between the whole item
    and any run of words around the window.
 
@@ -45,6 +48,7 @@ MAX_SHARE = 0.2
 WALKS, TABLES, SAMPLED = 8, 32, 3
 TABLE_BITS = 22          # the bit tables have 2**22 places: 512 KB each, whatever the input
 EXACT_SIZES, GRID = 20, 1.1
+PIECE = 30               # words, at least, of the pieces of long items
 WINDOWS_AT_ONCE = 1 << 16
 PAD = np.uint64(0)
 
@@ -61,17 +65,23 @@ def window_size(words: int) -> int:
     return size
 
 
+def pieces(size: int) -> int:
+    """How many pieces the items of a grid size are cut into; windows have ``size // pieces`` words."""
+    return max(1, size // PIECE)
+
+
 def edits_allowed(words: int, max_share: float) -> int:
     return int(words * max_share + 1e-9)
 
 
 class Walks:
-    """Signatures of windows of one size; the same for items and documents by fixed seeds."""
+    """Signatures of the windows of one grid size; the same for items and documents by fixed seeds."""
 
     def __init__(self, size: int, walks: int, tables: int, sampled: int):
         dice = np.random.Generator(np.random.PCG64([size, walks, tables, sampled]))
-        self.size, self.sampled = size, sampled
-        steps = max(1, 2 * size)  # the pointer moves at every other step: one pass over the window
+        self.pieces = pieces(size)
+        self.size, self.sampled = size // self.pieces, sampled
+        steps = max(1, 2 * self.size)  # the pointer moves at every other step: one pass over the window
         self.keys = dice.integers(0, 1 << 63, (walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         per_walk = -(-tables // walks)
         self.places = [[dice.choice(steps, size=min(sampled, steps), replace=False) for _ in range(per_walk)]
@@ -167,7 +177,8 @@ def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> Dat
                 pairs = _pairs(w) if len(w) > 1 else mix(w)
                 most.append(int(np.unique(pairs, return_counts=True)[1].max()))
                 places.append(_place(pairs))
-                sigs.append(np.unique(walkers[size].signatures(w, np.zeros(1, np.int64))[0]))
+                starts = np.arange(walkers[size].pieces) * len(w) // walkers[size].pieces
+                sigs.append(np.unique(walkers[size].signatures(w, starts)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(kept, pa.int64())), pa.array(sizes, pa.int32()),
                  pa.array(n, pa.int32()), pa.array(most, pa.int32()), _long_lists(words), pa.array(places, pa.list_(pa.int64())),
@@ -189,7 +200,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
 
     ``need``: window size -> (least number of item pairs, greatest item length and edits).
     A stretch covers the windows that start in one run of ``size`` words, and as far as a match
-    can reach from there.
+    can reach from there to either side.
     """
     def windows(texts, hasher, pairs):
         """All words of the texts, each text followed by padding; where each text starts; and
@@ -208,7 +219,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
             for size, (at_least, _) in need.items():
                 # Windows may hang over the end: a match can be shorter than its item.
                 starts = (np.flatnonzero(pairs[_place(mix(w))]) if size == 1 else
-                          np.flatnonzero(_held(hits, earlier, size, len(w)) >= at_least))
+                          np.flatnonzero(_held(hits, earlier, size // pieces(size), len(w)) >= at_least))
                 if len(starts):
                     passed[size][0].append(starts + at)
                     passed[size][1].append(np.full(len(starts), i))
@@ -308,7 +319,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
     need = {}  # one entry per size of the grid: about log(longest item) many
     for r in lengths:
         edits = edits_allowed(r["hi"], max_share)
-        need[r["size"]] = (max(1, r["size"] - 1 - 2 * edits), r["hi"] + edits)
+        n = pieces(r["size"])
+        need[r["size"]] = (max(1, r["size"] // n - 1 - 2 * edits_allowed(-(-r["hi"] // n), max_share)), r["hi"] + edits)
     pair_bits = _bit_table(items.select(F.explode("places").alias("place")))
 
     def sig_places(batches):

@@ -95,6 +95,20 @@ def test_recall_of_one_window_at_the_greatest_distance():
     assert hits / tries >= 0.9
 
 
+def test_recall_of_long_items_at_the_greatest_distance(spark):
+    dice = random.Random(6)
+    text = lambda k: [f"v{dice.randrange(10**6)}" for _ in range(k)]
+    items = [(k, text((66, 100, 200, 400, 1000)[k % 5])) for k in range(60)]
+    docs = [(k, text(dice.randrange(300)) + edited(dice, w, D.edits_allowed(len(w), D.MAX_SHARE)) + text(dice.randrange(300)))
+            for k, w in items]
+    glue = lambda rows: [(k, " ".join(w)) for k, w in rows]
+    found = D.contaminated(spark.createDataFrame(glue(docs), "doc_id long, text string"),
+                           spark.createDataFrame(glue(items), "item_id long, text string")).collect()
+    assert all(r["doc_id"] == r["item_id"] and r["edits"] <= 0.2 * r["item_words"] for r in found)
+    for n in (66, 100, 200, 400, 1000):
+        assert sum(r["item_words"] == n for r in found) >= 11
+
+
 def test_real_benchmark_against_all_pairs(spark, real_docs):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     docs = [(r["doc_id"], r["text"][:3000]) for r in real_docs.collect()]
