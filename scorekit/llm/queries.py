@@ -14,11 +14,14 @@ from scorekit.llm import (
     exact_dedup,
     langid,
     lm_scoring,
+    pivot_clustering,
+    pu_quality,
     sharding,
     simhash,
     sp_codec,
     token_counts,
     toxicity,
+    whitening,
 )
 from scorekit.llm.common import table
 from scorekit.session import checkpoint_root
@@ -81,9 +84,22 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return pivot_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.predict_quality(docs, pu_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_chat_windows, op3_simhash, op4_decontamination, op5_language_id, op6_toxicity, op7_sentencepiece, op8_sharding,
-    op9_token_counts, op10_exact_dedup)}
+    op9_token_counts, op10_exact_dedup, op11_centroid_clustering, op12_quality_classifier, op13_embedding_whitening)}
 
 ORACLES = {
     "op2_chat_windows": rf"""
@@ -123,4 +139,5 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept,
        sha256(coalesce(d.text, '')) as text_sha256
 from documents d join (select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size
                        from documents group by 1) g on coalesce(d.text, '') = g.t""",
+    "op11_centroid_clustering": pivot_clustering.cluster_sql(),
 }

@@ -1,0 +1,94 @@
+import hashlib
+import os
+import sys
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scorekit.llm import pivot_clustering as X
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, k, rounds, dims, scale=256, salt="2:"):
+    """Lloyd's rounds by the definition, every distance measured."""
+    kept = [(i, [int(np.floor(scale * float(e))) for e in v]) for i, v in rows
+            if v is not None and len(v) == dims and all(e is not None and np.isfinite(e) for e in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"{salt}{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [list(x) for _, x in order[:k]]
+
+    def assign():
+        out = []
+        for _, x in kept:
+            d = [sum((a - b) ** 2 for a, b in zip(x, c)) for c in centroids]
+            out.append((d.index(min(d)), min(d)))
+        return out
+
+    for _ in range(rounds):
+        near = assign()
+        for c in range(len(centroids)):
+            own = [x for (_, x), (n, _) in zip(kept, near) if n == c]
+            if own:
+                centroids[c] = [sum(col) // len(own) for col in zip(*own)]
+    near = assign()
+    total = sum(d for _, d in near)
+    return sorted(((i, c, d, sum(e for n, e in near if n == c), total,
+                    hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest())
+                   for (i, _), (c, d) in zip(kept, near)), key=str)
+
+
+def got(df, **how):
+    return sorted(map(tuple, X.cluster_vectors(df, **how).collect()), key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_the_definition(spark, seed):
+    dice = np.random.default_rng(seed)
+    spots = dice.normal(0, 1, (6, 5))
+    rows = [(int(i), [float(np.float32(e)) for e in spots[dice.integers(6)] + dice.normal(0, 0.02 * seed, 5)])
+            for i in dice.permutation(180)]  # seed 0: few distinct vectors, many ties and empty clusters
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).repartition(5)
+    assert got(df, k=9, rounds=4, dimensions=5) == plain(rows, 9, 4, 5)
+
+
+def test_pivots_spare_distances_and_lose_none():
+    dice = np.random.default_rng(3)
+    x = np.concatenate([dice.integers(-40, 40, (300, 4)) + 900 * dice.integers(-3, 4, 4) for _ in range(8)])
+    centroids = x[dice.permutation(len(x))[:30]]
+    pivots = X.choose_pivots(centroids, 6)
+    cluster, distance, measured = X.nearest(x, X.to_pivots(x, pivots), centroids, pivots)
+    every = ((x[:, None] - centroids[None]) ** 2).sum(axis=2)
+    assert (cluster == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+    assert measured < every.size / 3
+
+
+def test_edge_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.5, 0.25]), (1, [0.5, 0.25]), (1, [-0.5, 1.0]), (None, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]),
+            (5, [nan, 1.0]), (6, [inf, 0.0]), (7, []), (8, [100.0, -100.0]), (9, [0.001, -0.001]), (9, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)
+    clash = df.withColumns({c: F.lit("clash") for c in ("x", "v", "cluster", "distance", "place", "total", "to_pivots", "inertia")})
+    for k in (1, 3, 40):
+        assert got(clash, k=k, rounds=5, dimensions=2) == plain(rows, k, 5, 2)
+    nothing = X.cluster_vectors(df.where("false"))
+    assert nothing.collect() == [] and nothing.columns == X.cluster_vectors(clash, dimensions=2).columns
+    with pytest.raises(Exception, match="not under"):
+        X.cluster_vectors(spark.createDataFrame([(1, [1e30, 0.0], 0)], SCHEMA), dimensions=2).collect()
+    assert [tuple(r)[:4] for r in X.cluster_vectors(spark.createDataFrame([(1, [524287.9, -524287.9], 0)], SCHEMA),
+                                                  dimensions=2).collect()] == [(1, 0, 0, 0)]
+
+
+def test_large_numbers_stay_exact(spark):
+    dice = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(e)) for e in dice.uniform(-5e5, 5e5, 3)]) for i in range(60)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    assert got(df, k=7, rounds=3, dimensions=3) == plain(rows, 7, 3, 3)
+
+
+def test_whole_table_by_sql(spark):
+    from oracle_check import duck
+    d = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{d}/embeddings.parquet")
+    assert got(df) == sorted(duck(d).execute(X.cluster_sql()).fetchall(), key=str)
