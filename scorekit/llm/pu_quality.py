@@ -23,7 +23,7 @@ the language: capitals, symbols, digits, white space, distinct words, repeated n
 frequent word, word length.
 
 Fitting uses bounded samples: the ``sample`` positives and ``sample`` unlabelled documents of least
-id hash (a documented parameter; all of them if there are fewer). They reach the driver as ``WIDTH``
+id hash (a documented parameter; all of them if there are fewer; rows that share a chosen id are all taken). They reach the driver as ``WIDTH``
 float32 numbers each (40 MB a sample at most). The prior's counts and the prediction read every row
 and whole text; the weights have a fixed size.
 
@@ -194,18 +194,14 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([part.column("kind"), pa.array(rows, pa.binary())], names=["kind", "row"])
 
 
-def _score_counts(model: LinearScorer):
+def _score_bins(model: LinearScorer):
     def task(batches):
-        features, counts = Features(), np.zeros((2, BINS), dtype=np.int64)
+        features = Features()
         for part in slices(batches):
             rows = np.array([features.row(t) for t in part.column("text").to_pylist()]).reshape(-1, WIDTH)
-            place = np.minimum((model.scores(rows) * BINS).astype(np.int64), BINS - 1)
-            counts[0] += np.bincount(place, minlength=BINS)
-            own = np.array(part.column("kept_out").to_pylist(), dtype=bool)
-            counts[1] += np.bincount(place[own], minlength=BINS)
-        kind, place = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(place.astype(np.int32)),
-                                          pa.array(counts[kind, place])], names=["kind", "bin", "n"])
+            place = np.minimum((model.scores(rows) * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(place, pa.int32())],
+                                             names=["doc_id", "bin"])
     return task
 
 
@@ -226,8 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, quality: str = "quality", modulus:
     chosen = texts.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
 
     def rows_of(ids, key, kind):
-        ids = ids.select(F.col(key).alias("chosen_id")).distinct()
-        found = texts.join(ids, F.col("doc_id") == F.col("chosen_id")).select(F.lit(kind).alias("kind"), "text")
+        ids = ids.select(F.col(key).alias("chosen_id")).distinct()  # at most ``sample`` ids are broadcast
+        found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).select(F.lit(kind).alias("kind"), "text")
         table = found.mapInArrow(_feature_rows, "kind int, row binary").select("row").toArrow()  # about ``sample`` rows
         data = b"".join(table.column("row").to_pylist())
         return np.frombuffer(data, dtype=np.float32).reshape(-1, WIDTH)
@@ -236,12 +232,12 @@ def learn(docs: DataFrame, labels: DataFrame, quality: str = "quality", modulus:
     if not len(pos) or not len(unl):
         return LinearScorer(np.zeros(WIDTH), 0.0, 0.0)
     first = discriminate(pos, unl)
-    marked = texts.join(positives, F.col("doc_id") == F.col("label_id"), "left").select(
-        "text", F.coalesce("kept_out", F.lit(False)).alias("kept_out"))
+    # Texts are scored where they are read; only ids and bins meet the labels.
+    binned = texts.mapInArrow(_score_bins(first), schema_like(docs, id_col, "bin int"))
+    marked = binned.join(positives.where("kept_out"), F.col("doc_id") == F.col("label_id"), "left")
     counts = np.zeros((2, BINS), dtype=np.int64)
-    for r in marked.mapInArrow(_score_counts(first), "kind int, bin int, n bigint").groupBy("kind", "bin").agg(
-            F.sum("n").alias("n")).collect():  # at most 2 * BINS rows
-        counts[r["kind"], r["bin"]] = r["n"]
+    for r in marked.groupBy("bin").agg(F.count("*").alias("n"), F.count("label_id").alias("kept_out")).collect():
+        counts[0, r["bin"]], counts[1, r["bin"]] = r["n"], r["kept_out"]  # at most BINS rows
     prior = class_prior(counts[1], counts[0])
     return fit(pos, unl, prior) if prior > 0 else LinearScorer(np.zeros(WIDTH), 0.0, 0.0)
 
