@@ -20,3 +20,7 @@ class ScorerUnavailableError(RuntimeError):
 
     Batches failing this way get outcome ``api_error``; any other exception gives ``error``.
     """
+
+
+class SourceError(RuntimeError):
+    """A source has more unreadable files than can be set apart one by one."""

@@ -15,8 +15,9 @@ def _count(df: DataFrame):
 
 
 def consolidation_report(source: DataFrame, merged: DataFrame | None = None,
-                         kept: DataFrame | None = None, key: str | None = None) -> DataFrame:
-    """One row: ``rows_in, merged, null_key, removed, rows_out``.
+                         kept: DataFrame | None = None, key: str | None = None, intake=None) -> DataFrame:
+    """One row: ``rows_in, merged, null_key, removed, rows_out``; with the sources' ``intake`` also
+    ``bad_files, bad_rows``, which were set apart when reading and are not part of ``rows_in``.
 
     ``merged`` counts rows that vanished in the merge, rows with a missing key included;
     ``null_key`` is that missing-key part; ``removed`` are rows the status table removed.
@@ -31,9 +32,10 @@ def consolidation_report(source: DataFrame, merged: DataFrame | None = None,
     rows_in = F.count(F.lit(1))
     mid = after_merge if after_merge is not None else rows_in
     out = after_status if after_status is not None else mid
+    apart = [] if intake is None else [_count(intake.bad_files).alias("bad_files"), _count(intake.bad_rows).alias("bad_rows")]
     return source.agg(rows_in.alias("rows_in"), (rows_in - mid).alias("merged"),
                       null_key.alias("null_key"), (mid - out).alias("removed"),
-                      out.alias("rows_out"))
+                      out.alias("rows_out"), *apart)
 
 
 def outcome_report(scored: DataFrame) -> DataFrame:
