@@ -13,6 +13,7 @@ import importlib
 import os
 import sys
 import uuid
+import warnings
 from collections.abc import Callable
 
 # The package lives next to this file; make it importable however this file is loaded.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from local_scorer import field_scorer, first_candidate_is
 from scorekit.functions.constants import ORDER_COL
+from scorekit.functions.rules import sensitive_name
 from scorekit.operators.batches import PROMPT_TEMPLATE, pack_batches, render_prompts, stringify_records
 from scorekit.operators.dedupe import drop_duplicate_rows, merge_by_key
 from scorekit.operators.numbering import assign_ids, dense_rank_scores
@@ -46,10 +48,10 @@ from scorekit.operators.responses import batch_results, parse_responses
 from scorekit.operators.results import merge_results, reconcile_ids, sort_final, sort_results
 from scorekit.operators.scoring import failed_batches, final_outcomes, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
-from scorekit.operators.union import union_sources
+from scorekit.operators.union import schema_profile, union_sources
 from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
 from scorekit.session import checkpoint_root
-from scorekit.sources.readers import normalize_headers, read_sources, read_status
+from scorekit.sources.readers import normalize_headers, read_intake, read_sources, read_status
 from scorekit.sources.writers import write_results
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -386,9 +388,10 @@ def _order_scores(spark, d):
 
 def q_merge_repeated_ids(spark, d):
     """Many identical answers for one id, and answers for ids the base does not have."""
-    base = _t(spark, d, "supplier").where("s_nationkey < 13").select("s_suppkey")
+    base = _t(spark, d, "supplier").select("s_suppkey")
     scores = _t(spark, d, "lineitem").select(
-        F.when(F.col("l_returnflag") == "N", 1).otherwise(F.col("l_suppkey")).alias("s_suppkey"),
+        F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", F.col("l_suppkey"))
+        .otherwise(-F.col("l_suppkey")).alias("s_suppkey"),
         F.when(F.col("l_returnflag") == "N", 7).otherwise(F.col("l_linenumber")).cast("double").alias("score"),
         F.lit("scored").alias("remarks"))
     return merge_results(base, scores, "s_suppkey", "s_suppkey")
@@ -483,7 +486,117 @@ def q_source_order(spark, d):
     return assign_ids(read_sources(spark, [f"{path}.parquet"])[0], ORDER_COL).drop(ORDER_COL)
 
 
+def _orders_csv(spark, d):
+    """Orders as lines of a CSV file; some have a word for the total, some a field too many."""
+    path = os.path.join(checkpoint_root(spark), f"orders-{uuid.uuid4().hex}.csv")
+    total = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("unknown")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), total,
+                       F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("urgent")))
+    _t(spark, d, "orders").select(line).write.text(path)
+    return {"path": path, "schema": "o_orderkey bigint, o_orderstatus string, o_totalprice double",
+            "options": {"header": "false"}}
+
+
+def q_fitting_rows(spark, d):
+    return read_intake(spark, [_orders_csv(spark, d)], with_order=False).sources[0]
+
+
+def q_rejected_rows(spark, d):
+    return read_intake(spark, [_orders_csv(spark, d)]).bad_rows.select("source", "row")
+
+
+def _broken_folder(spark, d):
+    """The parts table beside files that are no Parquet files: one for each nation, with its name."""
+    path = os.path.join(checkpoint_root(spark), f"broken-{uuid.uuid4().hex}.parquet")
+    _t(spark, d, "nation").select("n_name", F.concat("n_name", F.lit("\n")).alias("value")).write.partitionBy("n_name").text(path)
+    _t(spark, d, "part").select("p_partkey", "p_name", F.lit("good").alias("n_name")).repartition(3).write.mode(
+        "append").partitionBy("n_name").parquet(path)
+    return path
+
+
+def q_quarantined_files(spark, d):
+    got = read_intake(spark, [_broken_folder(spark, d)])
+    name = F.regexp_extract("path", "n_name=([^/]*)/", 1)
+    return got.bad_files.select("source", name.alias("name"), "bytes")
+
+
+def q_readable_files(spark, d):
+    got = read_intake(spark, [_broken_folder(spark, d)], with_order=False)
+    return got.sources[0].select("p_partkey", "p_name")
+
+
+def q_intake_report(spark, d):
+    got = read_intake(spark, [_orders_csv(spark, d), _broken_folder(spark, d)])
+    orders = [s for s, n in zip(got.sources, got.numbers) if n == 0]
+    got.sources, got.numbers = orders, [0]
+    return consolidate(got, dedupe="key", key="o_orderkey").report
+
+
+def _mixed_sources(spark, d):
+    """Orders and lines with columns of the same name and other types."""
+    o = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"), (F.col("o_custkey") + F.lit(9007199254740993)).alias("v"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("w"), F.col("o_orderdate").cast("date").alias("at"),
+        F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("int").alias("n")).alias("info"))
+    x = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("int").alias("k"), (F.col("l_extendedprice") / 2).alias("v"), F.col("l_partkey").alias("w"),
+        F.col("l_shipdate").alias("at"), F.struct(F.col("l_quantity").alias("n"), F.col("l_returnflag").alias("flag")).alias("info"))
+    return [o, x]
+
+
+def q_union_lossless(spark, d):
+    return union_sources(_mixed_sources(spark, d)).select(
+        "k", "v", "w", "at", F.col("info.status").alias("status"), F.col("info.n").alias("n"), F.col("info.flag").alias("flag"))
+
+
+def q_schema_profile(spark, d):
+    o, x = _mixed_sources(spark, d)
+    phones = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("Phone Number"),
+                                             F.when(F.col("c_nationkey") > 5, F.col("c_acctbal")).alias("w"))
+    joined = lambda c: F.array_join(F.transform(c, lambda e: e.cast("string")), ",")
+    return schema_profile([o.drop("info"), x.drop("info"), phones]).select(
+        "name", "position", joined("sources").alias("sources"), joined("types").alias("types"), "present", "common_type", "sensitive")
+
+
+def q_sensitive_names(spark, d):
+    """Names as headers have them: a segment, and what the column holds."""
+    kinds = ["Phone Number", "EMPLOYEE  id", "mobile", "contact-no", "EmployeeNumber", "skills", "employee name"]
+    held = F.element_at(F.array(*map(F.lit, kinds)), (F.col("c_nationkey") % len(kinds) + 1).cast("int"))
+    names = _t(spark, d, "customer").select(F.concat_ws(" ", F.initcap("c_mktsegment"), held).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n")).select("name", "n", sensitive_name(F.col("name")).alias("sensitive"))
+
+
+def q_resumed_scoring(spark, d):
+    """A run whose driver stops after an outage, and the same run taken up: the ledger keeps what
+    was answered, only failed batches are asked again."""
+    run = uuid.uuid4().hex
+    batches = pack_batches(_customers_numbered(spark, d).select("unique_id", "c_custkey", "c_mktsegment"))
+    score_batches(batches, _scorer(), ROLE, run=run)
+    again = score_batches(batches, _scorer(retry=True), ROLE, run=run)
+    return again.select("batch_id", F.when(F.col("outcome") == "ok", "ok").otherwise("failed").alias("outcome"))
+
+
+def _spark_double(x: str, key: bool = False) -> str:
+    """DuckDB text of a double as Spark prints it (below 10 million: plain; above: with an exponent);
+    as a key, whole numbers have no fraction."""
+    exponent = f"cast(floor(log10({x})) as bigint)"
+    plain = f"cast({x} as varchar)"
+    digits = f"rtrim(replace({plain}, '.', ''), '0')"
+    large = (f"case when {x} < 1e7 then {plain} else {digits}[1] || '.' || "
+             f"case when len({digits}) > 1 then {digits}[2:] else '0' end || 'E' || {exponent} end")
+    return f"case when {x} = floor({x}) then cast(cast({x} as bigint) as varchar) else {large} end" if key else large
+
+
 _QUERIES = {
+    "fitting_rows": q_fitting_rows,
+    "rejected_rows": q_rejected_rows,
+    "quarantined_files": q_quarantined_files,
+    "readable_files": q_readable_files,
+    "intake_report": q_intake_report,
+    "union_lossless": q_union_lossless,
+    "schema_profile": q_schema_profile,
+    "sensitive_names": q_sensitive_names,
+    "resumed_scoring": q_resumed_scoring,
     "merge_repeated_ids": q_merge_repeated_ids,
     "consolidated_rows": q_consolidated_rows,
     "consolidated_all": q_consolidated_all,
@@ -760,8 +873,8 @@ _STATUS_ORDERS_SQL = "select o_custkey from orders where o_orderstatus = 'P' and
 _ORDER_SCORES_SQL = """o as (select o_orderkey, case when o_orderpriority not in ('1-URGENT', '2-HIGH')
                                                     then o_totalprice end as score from orders)"""
 _ORACLES["merge_repeated_ids"] = """
-with b as (select s_suppkey from supplier where s_nationkey < 13),
-s as (select case when l_returnflag = 'N' then 1 else l_suppkey end as k,
+with b as (select s_suppkey from supplier),
+s as (select case when l_returnflag = 'N' then 1 when l_returnflag = 'A' then l_suppkey else -l_suppkey end as k,
              case when l_returnflag = 'N' then 7 else l_linenumber end as score from lineitem),
 r as (select *, dense_rank() over (order by score desc) as rank from s),
 m as (select s_suppkey, score, rank from b left join r on s_suppkey = k)
@@ -788,7 +901,9 @@ select distinct score, case when o_orderkey % 2 = 0 then 'even' end as parity fr
 _ORACLES["score_range_missing"] = f"""with {_ORDER_SCORES_SQL}
 select count(*) as n, min(score) as min_score, max(score) as max_score,
        printf('%.1f - %.1f', min(score), max(score)) as range_text from o where score >= 1000"""
-_ORACLES["widths_missing"] = "select 's' as column_name, 5 as width"
+_ORACLES["widths_missing"] = """
+select 's' as column_name, least(greatest(coalesce(max(length(cast(case when s > 0 then 1.5 else s end as varchar))), 0), 1) + 2, 50) as width
+from (select case when o_orderpriority in ('1-URGENT', '2-HIGH') then null else o_totalprice end as s from orders)"""
 _ORACLES["rank_text_scores"] = f"""
 select event_id, {_EVENT_SCORE} as score, dense_rank() over (order by {_EVENT_SCORE} desc) as rank
 from events where event_type in ('view', 'click') and {_EVENT_SCORE} is not null"""
@@ -803,6 +918,41 @@ select doc_id, lang, cast(null as double) as score, 'Error in analysis or merge'
 _ORACLES["csv_source"] = 'select s_suppkey as "SuppKey", s_name as "Name", s_acctbal as "Balance" from supplier'
 _ORACLES["source_order"] = "select c_custkey, c_name, row_number() over (order by c_custkey) as unique_id from customer"
 
+_FITS = "o_orderpriority not in ('5-LOW', '1-URGENT')"
+_ORACLES["fitting_rows"] = f"select o_orderkey, o_orderstatus, o_totalprice from orders where {_FITS}"
+_ORACLES["rejected_rows"] = f"""
+select 0 as source, concat_ws(',', o_orderkey, o_orderstatus,
+         case when o_orderpriority = '5-LOW' then 'unknown' else {_spark_double("o_totalprice")} end,
+         case when o_orderpriority = '1-URGENT' then 'urgent' end) as row
+from orders where not ({_FITS})"""
+_ORACLES["quarantined_files"] = "select 0 as source, n_name as name, length(n_name) + 2 as bytes from nation"
+_ORACLES["readable_files"] = "select p_partkey, p_name from part"
+_ORACLES["intake_report"] = f"""
+select count(*) as rows_in, 0 as merged, 0 as null_key, 0 as removed, count(*) as rows_out,
+       (select count(*) from nation) as bad_files, (select count(*) from orders where not ({_FITS})) as bad_rows
+from orders where {_FITS}"""
+_ORACLES["union_lossless"] = f"""
+select o_orderkey as k, cast(o_custkey + 9007199254740993 as varchar) as v, cast(o_totalprice as decimal(21,2)) as w,
+       cast(cast(o_orderdate as date) as timestamp) as at, o_orderstatus as status, cast(cast(o_custkey as integer) as double) as n, null as flag
+from orders union all
+select l_orderkey, {_spark_double("(l_extendedprice / 2)", key=True)}, cast(l_partkey as decimal(21,2)), l_shipdate, null, l_quantity, l_returnflag
+from lineitem"""
+_ORACLES["schema_profile"] = """
+select * from (values ('k', 0, '0,1,2', 'bigint,int,bigint', 'bigint', false, (select count(*) from orders) + (select count(*) from lineitem) + (select count(*) from customer)),
+  ('v', 1, '0,1', 'bigint,double', 'string', false, (select count(o_custkey) from orders) + (select count(l_extendedprice) from lineitem)),
+  ('w', 2, '0,1,2', 'decimal(12,2),bigint,double', 'string', false, (select count(o_totalprice) from orders)
+     + (select count(l_partkey) from lineitem) + (select count(c_acctbal) from customer where c_nationkey > 5)),
+  ('at', 3, '0,1', 'date,timestamp_ntz', 'timestamp_ntz', false, (select count(o_orderdate) from orders) + (select count(l_shipdate) from lineitem)),
+  ('Phone Number', 4, '2', 'string', 'string', true, (select count(c_name) from customer)))
+  as t(name, position, sources, types, common_type, sensitive, present)"""
+_ORACLES["sensitive_names"] = r"""
+select name, count(*) as n, regexp_matches(name, '(phone|mobile|contact)\s*number', 'i') or regexp_matches(name, 'phone|mobile|contact', 'i')
+       or regexp_matches(name, '(employee)\s*(id|number)', 'i') or regexp_matches(name, '(employeeid|employeenumber)', 'i') as sensitive
+from (select upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' ||
+             ['Phone Number', 'EMPLOYEE  id', 'mobile', 'contact-no', 'EmployeeNumber', 'skills', 'employee name'][c_nationkey % 7 + 1] as name
+      from customer) group by name""".replace("\\\\", "\\")
+_ORACLES["resumed_scoring"] = _ORACLES["retry_failed"]
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: consolidate customers, score them in batches, rank, merge (sf0.001)."""
@@ -810,13 +960,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _add_optional() -> None:
-    """Add the queries of the corpus operators and of the corpus pipeline, if they are there."""
+    """Add the queries of the corpus operators and of the corpus pipeline, if they are there and
+    the packages they need are installed."""
     for module in ("scorekit.llm.queries", "corpus_pipeline"):
         try:
             found = importlib.import_module(module)
         except ModuleNotFoundError as e:
             if e.name not in ("scorekit.llm", "scorekit.llm.queries", "corpus_pipeline"):
-                raise
+                if (e.name or "").split(".")[0] == "scorekit":
+                    raise
+                warnings.warn(f"no queries from {module}: {e}", stacklevel=2)
             continue
         _QUERIES.update(found.QUERIES)
         _ORACLES.update(found.ORACLES)

@@ -5,7 +5,7 @@ must be materialised to stay correct (numbering, the scoring stage); those write
 under the session's ``spark.checkpoint.dir`` and read it back.
 """
 
-from scorekit.errors import DuplicateColumnError, SensitiveColumnError
+from scorekit.errors import DuplicateColumnError, SensitiveColumnError, SourceError
 from scorekit.functions.constants import (
     BATCH_SIZE,
     DEFAULT_PARALLELISM,
@@ -40,9 +40,9 @@ from scorekit.operators.results import (
 )
 from scorekit.operators.scoring import failed_batches, retry_failed, score_batches
 from scorekit.operators.status import exclude_by_status
-from scorekit.operators.union import column_universe, union_sources
+from scorekit.operators.union import column_universe, common_type, schema_profile, union_sources
 from scorekit.plans.workflows import analyze, consolidate, retry, select_and_report
-from scorekit.sources.readers import normalize_headers, read_sources, read_status
+from scorekit.sources.readers import Intake, normalize_headers, read_intake, read_sources, read_status
 from scorekit.sources.writers import write_results
 
 __all__ = [
@@ -50,13 +50,16 @@ __all__ = [
     "DEFAULT_PARALLELISM",
     "ORDER_COL",
     "DuplicateColumnError",
+    "Intake",
     "SensitiveColumnError",
+    "SourceError",
     "analyze",
     "analyzed_count",
     "assign_ids",
     "batch_results",
     "column_universe",
     "column_widths",
+    "common_type",
     "consolidate",
     "consolidation_report",
     "dense_rank_scores",
@@ -74,12 +77,14 @@ __all__ = [
     "parse_responses",
     "preview",
     "ranked_only",
+    "read_intake",
     "read_sources",
     "read_status",
     "reconcile_ids",
     "render_prompts",
     "retry",
     "retry_failed",
+    "schema_profile",
     "score_batches",
     "scoring_projection",
     "select_and_report",

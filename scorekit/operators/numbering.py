@@ -3,34 +3,39 @@
 Spark's global ``row_number()``/``dense_rank()`` windows with no partition key run in a
 single task. Instead:
 
-1. range-partition by the order key into ``n`` partitions and sort inside each;
-   ``monotonically_increasing_id`` then holds (partition << 33) + position;
-2. write that table under the checkpoint folder, so the counting pass and the numbering
-   pass see the very same partition contents (two separate range shuffles may sample
-   different bounds), and so a lost executor cannot change them; AQE may coalesce the
-   range partitions (adjacent ones, in order), which keeps partition order = key order;
-3. count rows per partition (n rows), running offsets over those n rows (one tiny task),
-   broadcast them (bounded by n) and add ``offset + position + 1``.
+1. range-partition by the order key into ``n`` partitions, sort inside each, and write that table
+   under the checkpoint folder: its files, in the order of their numbers, hold the rows in order
+   (two separate range shuffles may sample different bounds, so nothing is numbered before it is
+   written; AQE may coalesce the range partitions, but only adjacent ones);
+2. the files' row counts stand in their Parquet footers; their running sums, one number per file,
+   are the offsets (held by the driver and broadcast: bounded by the number of partitions);
+3. a row's id is its file's offset, plus its place in the file (``_metadata.row_index``), plus 1.
 
-A dense rank numbers the *distinct* values this way and joins them back on the value; the
-distinct step pre-aggregates before its shuffle, so a value held by a third of the rows
-costs one row per map task.
+The table is read once, for its rows. A dense rank numbers the *distinct* values this way and joins
+them back on the value; the distinct step pre-aggregates before its shuffle, so a value held by a
+third of the rows costs one row per map task. ``session.delete_tables`` removes the written table
+when the numbered frame is no longer read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorekit.operators._cols import order_columns, q
 from scorekit.operators.projection import valid_scores
 from scorekit.session import materialize
 
-_MID = "_ids_mid"
-_PID = "_ids_pid"
+_FILE = "_ids_file"
 _OFF = "_ids_off"
 _LEVEL = "_rank_level"
-_POS_BITS = 33
+
+
+def _file_number():
+    """Number of a written file: its partition's, and its place among the files of a partition."""
+    name = F.col("_metadata.file_name")
+    part, piece = F.regexp_extract(name, r"^part-(\d+)", 1), F.regexp_extract(name, r"-c(\d+)", 1)
+    return F.concat(part, F.lpad(piece, 8, "0")).cast("bigint")
 
 
 def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
@@ -44,20 +49,18 @@ def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
     columns = df.columns if out in df.columns else [*df.columns, out]
     base = df.drop(out)
     # Without an explicit count AQE may coalesce the range partitions. It merges adjacent
-    # ranges in order, so partition index order is still key order, and the positions are
-    # fixed in the written table before anything counts them.
+    # ranges in order, so the order of the files is still key order.
     by_range = (base.repartitionByRange(int(partitions), *order) if partitions
                 else base.repartitionByRange(*order))
-    ranged = (by_range.sortWithinPartitions(*order)
-                      .withColumn(_MID, F.monotonically_increasing_id()))
-    ranged = materialize(ranged, "ids")
-    ranged = ranged.withColumn(_PID, F.shiftright(F.col(_MID), _POS_BITS))
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFF))
-    position = F.col(_MID).bitwiseAND((1 << _POS_BITS) - 1)
-    numbered = ranged.join(F.broadcast(offsets), _PID).withColumn(
-        out, F.col(_OFF) + position + F.lit(1))
+    ranged = materialize(by_range.sortWithinPartitions(*order), "ids")
+    rows = ranged.select(_file_number().alias(_FILE)).groupBy(_FILE).count().collect()  # from the footers
+    offsets, total = [], 0
+    for file, n in sorted(map(tuple, rows)):
+        offsets.append((file, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets, f"{_FILE} bigint, {_OFF} bigint")
+    numbered = (ranged.withColumns({_FILE: _file_number(), out: F.col("_metadata.row_index") + F.lit(1)})
+                .join(F.broadcast(table), _FILE).withColumn(out, F.col(_OFF) + q(out)))
     return numbered.select(*[q(c) for c in columns])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +18,11 @@ from scorekit.functions.text import key_text, score_number
 from scorekit.operators._cols import q
 from scorekit.operators.numbering import dense_rank_scores
 from scorekit.operators.projection import drop_result_columns
+from scorekit.session import delete_tables, materialize
 
 _BK = "_base_key"
 _SK = "_score_key"
+_MATCHED = "_matched"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -42,10 +46,10 @@ def _keys(base: DataFrame, id_col: str, scores: DataFrame, score_id: str) -> tup
 
 
 def _score_rows(scores: DataFrame, score_id: str) -> DataFrame:
-    """id, score (double), remarks (text) of the rows whose score is a number."""
+    """id, score (double; null if it is no number), remarks (text)."""
     number = score_number(q("score"), scores.schema["score"].dataType)
     return scores.select(q(score_id), number.cast("double").alias("score"),
-                         q("remarks").cast("string").alias("remarks")).where(F.col("score").isNotNull())
+                         q("remarks").cast("string").alias("remarks"))
 
 
 def unscored(base: DataFrame) -> DataFrame:
@@ -66,53 +70,67 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     and rank = rows of the merged table + 1. The id keeps its type. No scores -> the base
     unchanged; scores lacking a needed column, or none of which is a number -> ``unscored``.
 
-    Plan: the left join is an inner join, of which AQE may split either side when an id is hot,
-    plus the base rows that an anti-join with the distinct scored ids leaves. The row count is
-    a one-value subquery over the keys, counted per key before they are joined.
+    If no scored id is in the base, a warning says so (the merge would score nothing).
+
+    Plan: the numeric scores are written once (they are read for the ranks, the join and the
+    anti-join), and so is the merged table, which everything after the merge reads. Both are counted
+    while they are written: no scan counts rows, and the default rank is a number by then. The left
+    join is an inner join, of which AQE may split either side when an id is hot, plus the base rows
+    that an anti-join with the distinct scored ids leaves.
     """
     if scores is None:
         return base
     if not {score_id, "score", "remarks"} <= set(scores.columns) or id_col not in base.columns:
         return unscored(base)
-    valid = _score_rows(scores, score_id)
-    if valid.isEmpty():
-        return unscored(base) if not scores.isEmpty() else base
+    spark = base.sparkSession
+    given = Observation()
+    valid = materialize(
+        _score_rows(scores, score_id).observe(given, F.count(F.lit(1)).alias("rows"), F.count("score").alias("numbers"))
+        .where(F.col("score").isNotNull()), "scores")
+    counts = given.get
+    if not counts.get("numbers"):
+        delete_tables(spark, valid)
+        return unscored(base) if counts.get("rows") else base
     ranked = dense_rank_scores(valid, "score", "rank")
     b = drop_result_columns(base)
     bkey, skey = _keys(b, id_col, ranked, score_id)
     left = b.withColumn(_BK, bkey)
     right = ranked.select(skey.alias(_SK), "score", "remarks", "rank")
-    columns = [*[q(c) for c in b.columns], F.col("score"), F.col("remarks"), F.col("rank")]
-    scored = left.join(right, F.col(_BK) == F.col(_SK)).select(*columns)
-    keys = valid.select(skey.alias(_SK)).where(F.col(_SK).isNotNull())
-    rest = left.join(keys.distinct(), F.col(_BK) == F.col(_SK), "left_anti").select(
-        *[q(c) for c in b.columns], F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("string").alias("remarks"), F.lit(None).cast("bigint").alias("rank"))
-    per_base = left.groupBy(_BK).agg(F.count(F.lit(1)).alias("_nb"))
-    per_score = keys.groupBy(_SK).agg(F.count(F.lit(1)).alias("_ns"))
-    n = (per_base.join(per_score, F.col(_BK) == F.col(_SK), "left")
-         .agg(F.sum(F.col("_nb") * F.coalesce(F.col("_ns"), F.lit(1))).alias("_n")).scalar())
-    merged = scored.unionByName(rest).select(
-        *[q(c) for c in b.columns],
-        F.coalesce(F.col("score"), F.lit(UNSCORED_SCORE)).alias("score"),
-        F.coalesce(F.col("remarks"), F.lit(UNSCORED_REMARKS)).alias("remarks"),
-        F.coalesce(F.col("rank"), n + F.lit(1)).alias("rank"))
-    return sort_final(merged, id_col)
+    own = [q(c) for c in b.columns]
+    scored = left.join(right, F.col(_BK) == F.col(_SK)).select(
+        *own, "score", "remarks", "rank", F.lit(True).alias(_MATCHED))
+    keys = valid.select(skey.alias(_SK)).where(F.col(_SK).isNotNull()).distinct()
+    rest = left.join(keys, F.col(_BK) == F.col(_SK), "left_anti").select(
+        *own, F.lit(UNSCORED_SCORE).alias("score"), F.lit(None).cast("string").alias("remarks"),
+        F.lit(None).cast("bigint").alias("rank"), F.lit(False).alias(_MATCHED))
+    written = Observation()
+    merged = materialize(scored.unionByName(rest).observe(
+        written, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(_MATCHED)).alias("matched")).drop(_MATCHED), "merged")
+    counts = written.get
+    if counts.get("rows") and not counts.get("matched"):
+        warnings.warn(f"no {score_id!r} of the scores is among the base's {id_col!r}: nothing is scored", stacklevel=2)
+    delete_tables(spark, ranked)  # the written scores, and the table of their ranks
+    final = merged.select(
+        *own, "score", F.coalesce("remarks", F.lit(UNSCORED_REMARKS)).alias("remarks"),
+        F.coalesce("rank", F.lit((counts.get("rows") or 0) + 1).cast("bigint")).alias("rank"))
+    return sort_final(final, id_col)
 
 
 def reconcile_ids(base: DataFrame, scores: DataFrame, id_col: str = ID_COLUMN,
                   score_id: str = ID_COLUMN) -> DataFrame:
     """One row: ``matched, base_only, scores_only`` over the distinct ids (text semantics).
-    ``matched = 0`` is the reference's "no matching ids" warning condition."""
+    ``matched = 0`` is the reference's "no matching ids" warning condition.
+
+    One aggregation over both tables' ids: each id carries a bit for its side, map tasks reduce an
+    id that holds many rows to one, and the bits that meet tell where the id stands.
+    """
     bkey = key_text(q(id_col), base.schema[id_col].dataType)
     skey = key_text(q(score_id), scores.schema[score_id].dataType)
-    a = base.select(bkey.alias(_BK)).where(F.col(_BK).isNotNull()).distinct()
-    b = scores.select(skey.alias(_SK)).where(F.col(_SK).isNotNull()).distinct()
-    j = a.join(b, a[_BK] == b[_SK], "full_outer")
-    return j.agg(
-        F.count_if(F.col(_BK).isNotNull() & F.col(_SK).isNotNull()).alias("matched"),
-        F.count_if(F.col(_SK).isNull()).alias("base_only"),
-        F.count_if(F.col(_BK).isNull()).alias("scores_only"))
+    tagged = base.select(bkey.alias(_BK), F.lit(1).alias("_side")).unionByName(
+        scores.select(skey.alias(_BK), F.lit(2).alias("_side")))
+    sides = tagged.where(F.col(_BK).isNotNull()).groupBy(_BK).agg(F.bit_or("_side").alias("_sides"))
+    return sides.agg(*[F.count_if(F.col("_sides") == n).alias(name)
+                       for n, name in ((3, "matched"), (1, "base_only"), (2, "scores_only"))])
 
 
 def sort_results(ranked: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:

@@ -1,25 +1,32 @@
 """Score batches with a caller-supplied function, keep failures for retry.
 
 The scorer is any picklable callable ``scorer(batch_id, payload, prompt) -> str`` (the
-response text). It runs inside Python workers via ``mapInPandas``; ``parallelism`` is the most
-calls in flight. A failing call marks only its own batch. Task retries or speculation may call
-the scorer again for a batch: delivery is at least once, and results are keyed by batch id.
-
-The scored table is written under the checkpoint folder before anything reads it, so the
-ok branch and the failed branch share one set of responses and the scorer is not re-run.
+response text). It runs inside Python workers via ``mapInPandas``. A failing call marks only its
+own batch.
+
+Calls in flight. The batches are written once, in groups of about ``batches_per_task``. A queue of
+these groups feeds ``parallelism`` driver threads; each submits a job of one task for its group and
+takes the next when that is done. So at most ``parallelism`` calls are in flight, and a slow call
+holds up the rest of its own group only.
+
+Ledger. Every job commits its own answers under ``answers/attempt=../group=..`` of the run's folder;
+with a ``run`` name that folder outlives the driver. Calling again with the name scores only batches
+that have no committed ``ok`` answer to the same payload, keyed by batch id and the payload's
+SHA-256; the answers of all attempts together are the result. A lost task or driver repeats the calls
+of the groups it had not committed: delivery is at least once.
 """
 
 from __future__ import annotations
 
-import math
 import os
+import queue
 import sys
 import uuid
 from functools import reduce
 
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread, cloudpickle
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scorekit.errors import ScorerUnavailableError
@@ -31,13 +38,15 @@ from scorekit.functions.constants import (
 )
 from scorekit.operators.batches import BATCH_COLUMNS, batch_payload, render_prompts
 from scorekit.operators.responses import parse_responses
-from scorekit.session import checkpoint_root
+from scorekit.session import checkpoint_root, folder_exists
 
 BATCHES_PER_TASK = 64
-BATCH_SCHEMA = "batch_id bigint, batch_size bigint, unique_identifier_column string, payload string"
-_WAVE = "_wave"
+BATCH_SCHEMA = "batch_id bigint, batch_size bigint, unique_identifier_column string, payload string, payload_sha256 string"
+_GROUP = "_group"
 SCORED_SCHEMA = ("batch_id bigint, batch_size bigint, unique_identifier_column string, "
                  "payload string, response string, outcome string, error string")
+_KEY = ("batch_id", "payload_sha256")
+LEDGER_SCHEMA = f"{SCORED_SCHEMA}, payload_sha256 string, attempt int"
 DEAD_LETTER_COLUMNS = (*BATCH_COLUMNS, "payload", "outcome", "error")
 
 # The scoring closure (and scorers defined in this package) travel to Python workers by
@@ -69,46 +78,108 @@ def _caller(scorer):
                 "batch_id": pdf["batch_id"], "batch_size": pdf["batch_size"],
                 "unique_identifier_column": pdf["unique_identifier_column"],
                 "payload": pdf["payload"], "response": responses,
-                "outcome": outcomes, "error": errors,
+                "outcome": outcomes, "error": errors, "payload_sha256": pdf["payload_sha256"],
             })
     return call
 
 
+def _in_flight(jobs: list, parallelism: int, work) -> None:
+    """Run ``work(job)`` for all jobs, ``parallelism`` at a time, each thread taking the next job
+    as soon as it is free. After a failure no new job starts; the first error is raised."""
+    waiting, errors = queue.SimpleQueue(), []
+    for job in jobs:
+        waiting.put(job)
+
+    def take():
+        while not errors:
+            try:
+                job = waiting.get_nowait()
+            except queue.Empty:
+                return
+            try:
+                work(job)
+            except Exception as e:  # noqa: BLE001 - raised below, in the caller's thread
+                errors.append(e)
+
+    threads = [InheritableThread(target=take) for _ in range(min(int(parallelism), len(jobs)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+
+
+def _groups(table: DataFrame, per_task: int) -> list[list[int]]:
+    """Folders of batches put together until a job has about ``per_task`` batches (a retry's batches
+    are few in each folder). Counted from the files' footers; one number per folder is held."""
+    jobs, size = [], per_task
+    for r in table.groupBy(_GROUP).count().orderBy(_GROUP).collect():
+        if size + r["count"] > per_task:
+            jobs.append([])
+            size = 0
+        jobs[-1].append(r[_GROUP])
+        size += r["count"]
+    return jobs
+
+
 def score_batches(batches: DataFrame, scorer, role: str = "",
                   parallelism: int = DEFAULT_PARALLELISM, template: str | None = None,
-                  total=None, batches_per_task: int = BATCHES_PER_TASK) -> DataFrame:
+                  total=None, batches_per_task: int = BATCHES_PER_TASK, run: str | None = None) -> DataFrame:
     """Call ``scorer`` once per batch and classify each answer.
 
     Output columns: ``batch_id, batch_size, unique_identifier_column, payload, response,
     outcome, error, _parsed``; outcome is ``ok``, ``not_list``, ``invalid_json``,
     ``api_error`` or ``error``; ``payload`` is null for ``ok`` batches, which nobody sends again.
 
-    The number of tasks follows the number of batches: about ``batches_per_task`` each, so a
-    lost task repeats that many calls at most and a Python worker holds that many prompts.
-    ``parallelism`` bounds the calls in flight: tasks run in waves of ``parallelism`` tasks, one
-    job after another, each committing its own files. With more than one wave the batches are
-    first written in a folder per wave, so a wave reads its own batches only.
+    At most ``parallelism`` calls are in flight, in jobs of about ``batches_per_task`` batches each
+    (see the module's text). ``run`` names a ledger under the checkpoint folder: an interrupted
+    run is taken up by calling again with the same name and batches, and ``ok`` batches are not
+    scored twice. ``total`` is the number in the prompts (default: the batches of this call).
     """
     spark = batches.sparkSession
-    work = batch_payload(batches).select(*BATCH_COLUMNS, "payload")
-    n = work.select("batch_id").count()
-    total = F.lit(n) if total is None else total
-    waves = max(1, math.ceil(n / (int(parallelism) * int(batches_per_task))))
-    root = os.path.join(checkpoint_root(spark), f"scored-{uuid.uuid4().hex}")
-    if waves > 1:
-        parts = os.path.join(root, "batches")
-        (work.withColumn(_WAVE, F.pmod(F.xxhash64("batch_id"), F.lit(waves)))
-         .repartition(_WAVE).write.partitionBy(_WAVE).parquet(parts))
-        work = spark.read.schema(f"{BATCH_SCHEMA}, {_WAVE} bigint").parquet(parts)
+    root = os.path.join(checkpoint_root(spark), f"scored-{run or uuid.uuid4().hex}")
     answers = os.path.join(root, "answers")
-    for wave in range(waves):
-        mine = work.where(F.col(_WAVE) == wave).drop(_WAVE) if waves > 1 else work
-        prompts = render_prompts(mine.repartition(int(parallelism), "batch_id"), role, template, total)
-        raw = prompts.select(*BATCH_COLUMNS, "payload", "prompt").mapInPandas(_caller(scorer), SCORED_SCHEMA)
+    work = batch_payload(batches).select(*BATCH_COLUMNS, "payload").withColumn(
+        "payload_sha256", F.sha2("payload", 256))
+    attempt, before = 0, None
+    if run and folder_exists(spark, answers):
+        before = spark.read.schema(LEDGER_SCHEMA).parquet(answers)
+        attempt = 1 + (before.agg(F.max("attempt")).first()[0] or 0)
+
+    # Written once, in folders of neighbouring batch ids; counted while it is written.
+    parts, counted = os.path.join(root, f"batches-{attempt}"), Observation()
+    (work.withColumn(_GROUP, F.floor((F.col("batch_id") - 1) / int(batches_per_task)))
+     .repartition(_GROUP).observe(counted, F.count(F.lit(1)).alias("n"))
+     .write.mode("overwrite").partitionBy(_GROUP).parquet(parts))
+    total = F.lit(counted.get["n"]) if total is None else total
+    table = spark.read.schema(f"{BATCH_SCHEMA}, {_GROUP} bigint").parquet(parts)
+    done = before.where(F.col("outcome") == OUTCOME_OK).select(*_KEY) if before is not None else None
+
+    def score(job):
+        number, group = job
+        folders = [os.path.join(parts, f"{_GROUP}={g}") for g in group]
+        mine = spark.read.schema(BATCH_SCHEMA).parquet(*folders)
+        if done is not None:
+            mine = mine.join(done, list(_KEY), "left_anti")
+        prompts = render_prompts(mine.coalesce(1), role, template, total)
+        raw = prompts.select(*BATCH_COLUMNS, "payload", "payload_sha256", "prompt").mapInPandas(
+            _caller(scorer), f"{SCORED_SCHEMA}, payload_sha256 string")
         judged = parse_responses(raw)
         (judged.withColumn("payload", F.when(F.col("outcome") != F.lit(OUTCOME_OK), F.col("payload")))
-         .select(*raw.columns).write.mode("append").parquet(answers))
-    return parse_responses(spark.read.schema(SCORED_SCHEMA).parquet(answers))
+         .select(*raw.columns).write.mode("overwrite").parquet(
+             os.path.join(answers, f"attempt={attempt}", f"group={number}")))
+
+    _in_flight(list(enumerate(_groups(table, int(batches_per_task)))), parallelism, score)
+    if not folder_exists(spark, answers):  # there was no batch
+        return parse_responses(spark.createDataFrame([], SCORED_SCHEMA))
+    every = spark.read.schema(LEDGER_SCHEMA).parquet(answers)
+    if attempt:
+        # ``ok`` answers are never asked for again; of the others the last attempt's count. Answers
+        # to payloads that are no batch of this call are left in the ledger.
+        every = every.where((F.col("outcome") == OUTCOME_OK) | (F.col("attempt") == attempt)).join(
+            table.select(*_KEY), list(_KEY), "left_semi")
+    return parse_responses(every.drop("payload_sha256", "attempt"))
 
 
 def failed_batches(scored: DataFrame) -> DataFrame:
@@ -117,11 +188,13 @@ def failed_batches(scored: DataFrame) -> DataFrame:
 
 
 def retry_failed(failed: DataFrame, scorer, role: str = "",
-                 parallelism: int = DEFAULT_PARALLELISM, template: str | None = None) -> DataFrame:
+                 parallelism: int = DEFAULT_PARALLELISM, template: str | None = None,
+                 run: str | None = None) -> DataFrame:
     """Score the dead-letter batches again (only those). The prompt's total is the number
-    of batches retried. Failures of this run form the next dead-letter set."""
+    of batches retried. Failures of this run form the next dead-letter set. ``run`` names the
+    retry's own ledger, as in :func:`score_batches`."""
     return score_batches(failed.select(*BATCH_COLUMNS, "payload"), scorer, role,
-                         parallelism, template)
+                         parallelism, template, run=run)
 
 
 def final_outcomes(runs: list[DataFrame]) -> DataFrame:

@@ -25,6 +25,7 @@ from scorekit.operators.scoring import failed_batches, retry_failed, score_batch
 from scorekit.operators.status import exclude_by_status
 from scorekit.operators.union import union_sources
 from scorekit.session import materialize
+from scorekit.sources.readers import Intake
 
 
 @dataclass
@@ -42,7 +43,7 @@ class Analysis:
     runs: list = field(default_factory=list)  # scored table of every run
 
 
-def consolidate(sources: list[DataFrame], dedupe: str | None = "key", key: str | None = None,
+def consolidate(sources: list[DataFrame] | Intake, dedupe: str | None = "key", key: str | None = None,
                 status: DataFrame | None = None, status_key: str | None = None,
                 status_column: str | None = None, columns=None, order_by=None,
                 id_col: str = ID_COLUMN, partitions: int | None = None) -> Consolidation:
@@ -50,8 +51,10 @@ def consolidate(sources: list[DataFrame], dedupe: str | None = "key", key: str |
     exclusion -> ids 1..n in source order (key order after a merge) -> scoring view.
 
     ``columns`` of the scoring view default to all; a name that looks like personal data raises.
-    ``order_by`` defaults to the ``_row_order`` that ``read_sources`` attaches.
+    ``order_by`` defaults to the ``_row_order`` that ``read_sources`` attaches. Given the
+    ``Intake`` of ``read_intake``, the report also counts what was set apart when reading.
     """
+    intake, sources = (sources, sources.sources) if isinstance(sources, Intake) else (None, sources)
     if dedupe not in ("key", "rows", None):
         raise ValueError(f"dedupe must be 'key', 'rows' or None, not {dedupe!r}")
     union = union_sources(sources)
@@ -76,30 +79,33 @@ def consolidate(sources: list[DataFrame], dedupe: str | None = "key", key: str |
     view = scoring_projection(base, columns if columns else base.columns, id_col)
     # The numbered base is a written table with the rows of ``kept``: counting it is a scan.
     report = consolidation_report(union, merged, base if status is not None else None,
-                                  key if dedupe == "key" else None)
+                                  key if dedupe == "key" else None, intake)
     return Consolidation(base, view, report)
 
 
 def analyze(base: DataFrame, scoring_view: DataFrame, scorer, role: str,
             id_col: str = ID_COLUMN, batch_size: int = BATCH_SIZE,
-            parallelism: int = DEFAULT_PARALLELISM, template: str | None = None) -> Analysis:
+            parallelism: int = DEFAULT_PARALLELISM, template: str | None = None,
+            run: str | None = None) -> Analysis:
     """Pack -> score -> parse -> rank -> merge. Without any valid score the final table is
-    the base unchanged. Writes the scored batches, the parsed results and the merged rows."""
+    the base unchanged. Writes the scored batches, the parsed results and the merged rows; the
+    selection, its summary and the export all read that one merged table. ``run`` names the
+    scoring's ledger (see ``score_batches``): an interrupted analysis goes on where it stopped."""
     batches = pack_batches(scoring_view, id_col, batch_size)
-    scored = score_batches(batches, scorer, role, parallelism, template)
-    # Parsed once and written: ranking, the merge and its skew check all read this table.
-    results = materialize(batch_results(scored), "results")
-    final = base if results.isEmpty() else merge_results(base, results, id_col)
+    scored = score_batches(batches, scorer, role, parallelism, template, run=run)
+    results = materialize(batch_results(scored), "results")  # parsed once; retries append to it
+    final = merge_results(base, results, id_col)
     return Analysis(final, results, failed_batches(scored), [scored])
 
 
 def retry(analysis: Analysis, base: DataFrame, scorer, role: str, id_col: str = ID_COLUMN,
-          parallelism: int = DEFAULT_PARALLELISM, template: str | None = None) -> Analysis:
+          parallelism: int = DEFAULT_PARALLELISM, template: str | None = None,
+          run: str | None = None) -> Analysis:
     """Re-score only the failed batches, append their results, rank and merge again."""
-    rescored = retry_failed(analysis.failed, scorer, role, parallelism, template)
+    rescored = retry_failed(analysis.failed, scorer, role, parallelism, template, run)
     new = materialize(batch_results(rescored), "results")
     results = analysis.results.unionByName(new)
-    final = base if results.isEmpty() else merge_results(base, results, id_col)
+    final = merge_results(base, results, id_col)
     return Analysis(final, results, failed_batches(rescored), [*analysis.runs, rescored])
 
 

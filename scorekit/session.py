@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings the operators are designed around. AQE re-plans joins at run time: a side whose
 # measured size is under the broadcast threshold is broadcast, larger sides stay sort-merge,
@@ -61,6 +63,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of the file system that holds it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def delete_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing reads them any more.
 
@@ -82,9 +90,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and return a reader of it.
 
     Cuts lineage: everything downstream reads the same rows even if executors are lost, and
-    the read-back plan carries file sizes, so AQE can decide joins on measured bytes.
+    the read-back plan carries file sizes, so AQE can decide joins on measured bytes. Columns that
+    hold nothing but nulls by their type are not written; the reader adds them.
     """
     spark = df.sparkSession
+    void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    kept = df.drop(*void)
     path = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept.write.mode("errorifexists").parquet(path)
+    back = spark.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]) if void else back

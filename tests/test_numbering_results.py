@@ -91,3 +91,43 @@ def test_ids_with_coalesced_range_partitions(spark):
         assert all(r.unique_id == r.k + 1 for r in out.collect())
     finally:
         spark.conf.set(key, before)
+
+
+def test_ids_come_from_footers_and_the_table_is_scanned_once(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("k"))
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "70")   # several files to a partition
+    try:
+        out = assign_ids(df, "k", partitions=5)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    assert all(r.unique_id == r.k + 1 for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and "Window" not in plan
+
+
+def test_merge_is_written_once_and_warns_when_no_id_matches(spark):
+    import warnings
+    base = spark.createDataFrame([(1, None), (2, None)], "unique_id long, nothing void")
+    scores = spark.createDataFrame([("8", 1.0, "r"), ("9", 2.0, None)], "unique_id string, score double, remarks string")
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        out = merge_results(base, scores)
+    assert any("nothing is scored" in str(w.message) for w in caught)
+    assert rows(out, "unique_id", "score", "rank") == [(1, 0.0, 3), (2, 0.0, 3)] and out.columns[:2] == ["unique_id", "nothing"]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan and "Subquery" not in plan
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        merge_results(base, scores.withColumn("unique_id", scores.score.cast("int").cast("string")))
+    assert not any("nothing is scored" in str(w.message) for w in caught)
+
+
+def test_reconcile_needs_one_exchange_by_id(spark):
+    base = spark.createDataFrame([(1,), (1,), (2,), (None,)], "unique_id long")
+    scores = spark.createDataFrame([("2",), ("2",), ("3",), ("4",), (None,)], "unique_id string")
+    out = reconcile_ids(base, scores)
+    assert tuple(out.first()) == (1, 1, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("hashpartitioning") == 1 and "Join" not in plan

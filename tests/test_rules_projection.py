@@ -49,3 +49,13 @@ def test_filters_and_display(spark):
     assert dict(r.dtypes)["rank"] == "bigint" and r.count() == 2
     assert display_columns(df).columns == ["rank", "score", "unique_id", "remarks", "other"]
     assert drop_result_columns(df).columns == ["unique_id", "data_source", "other"]
+
+
+def test_names_in_a_table_follow_the_same_rule(spark):
+    from pyspark.sql import functions as F
+
+    from scorekit.functions.rules import is_sensitive, sensitive_name
+    names = ["Phone", "my MOBILE no", "Contact  Number", "EmployeeNumber", "employee id", "employee id", "Employee", "skills", "id", ""]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    got = df.withColumn("bad", sensitive_name(F.col("name"))).collect()
+    assert {r.name: r.bad for r in got} == {**{n: is_sensitive(n) for n in names}, None: False}

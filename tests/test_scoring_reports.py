@@ -124,7 +124,7 @@ def test_payload_is_utf8_json_in_record_order(spark):
     assert [c["name"] for c in json.loads(p.payload)["candidates"]] == ["Né", "Zoë"]
 
 
-def test_waves_bound_calls_in_flight_and_tasks_follow_batches(spark, tmp_path):
+def test_queue_bounds_calls_in_flight_and_tasks_follow_batches(spark, tmp_path):
     import os
     import time
 
@@ -170,3 +170,66 @@ def test_missing_scores_and_range_text(spark):
     assert (s.n, s.min_score, s.max_score, s.range_text) == (4, 1.25, 400.0, "1.3 - 400.0")
     assert filter_score_range(df, lo=100).count() == 1 and filter_score_range(df, hi=100).count() == 1
     assert selection_summary(df.where("k = 'c'")).first().range_text is None
+
+
+def test_a_slow_batch_stops_no_other(spark, tmp_path):
+    import os
+    import time
+
+    folder = str(tmp_path)
+
+    def slow_first(batch_id, payload, prompt):
+        if batch_id == 1:
+            until = time.time() + 60
+            while time.time() < until and len(os.listdir(folder)) < 10:  # all batches but its own job's
+                time.sleep(0.02)
+            return "[]" if time.time() < until else None
+        open(os.path.join(folder, str(batch_id)), "w").close()
+        return "[]"
+
+    b = pack_batches(_numbered(spark, 120), batch_size=10)   # 12 batches, 6 jobs
+    scored = score_batches(b, slow_first, "r", parallelism=2, batches_per_task=2)
+    assert scored.where("outcome = 'ok'").count() == 12      # the other thread went through all other jobs
+
+
+def test_an_interrupted_run_is_taken_up(spark, tmp_path):
+    import os
+    import uuid
+
+    import pytest
+
+    folder, run = str(tmp_path), uuid.uuid4().hex
+    inner = field_scorer("k", fail_every=7)
+
+    def noted(batch_id, payload, prompt):
+        open(os.path.join(folder, f"{batch_id}-{uuid.uuid4().hex}"), "w").close()
+        if batch_id == 9 and not os.path.exists(os.path.join(folder, "again")):
+            os._exit(7)                                      # the job dies, and the run with it
+        return inner(batch_id, payload, prompt)
+
+    b = pack_batches(_numbered(spark, 200), batch_size=10)   # 20 batches
+    with pytest.raises(Exception):
+        score_batches(b, noted, "r", parallelism=1, batches_per_task=4, run=run)
+    first = {n.split("-")[0] for n in os.listdir(folder)}
+    assert {"1", "8"} <= first and "20" not in first         # two jobs were committed, the third was not
+    open(os.path.join(folder, "again"), "w").close()
+    scored = score_batches(b, noted, "r", parallelism=3, batches_per_task=4, run=run)
+    calls = [n.split("-")[0] for n in os.listdir(folder) if n != "again"]
+    assert all(calls.count(str(i)) == 1 for i in (1, 2, 3, 4, 5, 6, 8))  # committed and ok
+    assert calls.count("7") == 2                             # committed, but failed
+    whole = score_batches(b, inner, "r", batches_per_task=4)
+    assert rows(scored.drop("_parsed")) == rows(whole.drop("_parsed"))
+    # Once more: nothing but the failed batches is asked again; another payload is another batch.
+    for n in os.listdir(folder):
+        if n != "again":
+            os.rename(os.path.join(folder, n), os.path.join(folder, "again"))
+    other = b.withColumn("candidates", F.when(F.col("batch_id") == 3, F.slice("candidates", 1, 2)).otherwise(F.col("candidates")))
+    third = score_batches(other, noted, "r", batches_per_task=4, run=run)
+    assert sorted(n.split("-")[0] for n in os.listdir(folder) if n != "again") == ["14", "3", "7"]
+    assert rows(third.select("batch_id")) == [(i,) for i in range(1, 21)]
+    assert batch_results(third).where("batch_id = 3").count() == 2
+
+
+def test_no_batch_at_all(spark):
+    b = pack_batches(_numbered(spark, 20)).where("false")
+    assert score_batches(b, field_scorer("k"), "r").collect() == []
