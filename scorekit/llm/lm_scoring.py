@@ -10,14 +10,17 @@ empty context the rest of the 256 symbols are alike. The score of a text is the
 log10 probabilities of its bytes and its end.
 
 How the trie is held: a probability depends on a *gram* only, the last ``order`` bytes and the
-symbol, which is one 64-bit number. Texts are dealt by hash to chunks of about
-``CHUNK_BYTES``. Each chunk states its distinct grams and words with their training counts;
-these are summed over the corpus per gram and word; grams are then grouped by their last two
-context bytes, under which a group holds every context of two bytes or more that its grams can
-back off to, and each group computes its grams' probabilities. The table of one-byte contexts
-has at most 65,536 rows and goes to every task. Probabilities return to the chunks that asked,
-where texts are scored. So no task holds more than a chunk or a part of the trie, the summed
-table grows with the corpus, and the texts are shuffled once (both uses share the exchange).
+symbol, which is one 64-bit number. Texts are dealt by hash to chunks of about ``CHUNK_BYTES``. A
+chunk states its distinct grams and words with their training counts, as one block of sorted,
+packed numbers for each of ``PARTS`` parts; grams are dealt to parts by their last three context
+bytes, so a part holds every context of three bytes or more that its grams can back off to. The
+table of contexts of two bytes and fewer (at most 2**24 numbers, by construction) goes to every
+task. A part sums its blocks, computes its grams' probabilities and answers every chunk's block in
+the order asked; the answers meet the texts again in the chunk, where they are scored. So texts
+are shuffled once (both uses share the exchange), blocks there and back once each, and rows are
+``PARTS`` a chunk and kind, whatever the texts hold. A part's blocks of ``TOGETHER`` chunks at most are in one
+task: with more chunks, each such set is summed by itself, the sums of a part meet in a second
+step (one entry per distinct gram), and the sets are answered from a copy of that table each.
 
 The word baseline of the contract (add-one unigrams) takes the same way: words are known by a
 64-bit hash.
@@ -30,15 +33,18 @@ symbol has probability 1/256; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorekit.llm.common import held_out, id_and_text, slices
-from scorekit.llm.hashing import SPACE, WordHasher, lower_ascii
+from scorekit.llm.hashing import SPACE, WordHasher, lower_ascii, mix
 
 ORDER = 5                 # bytes of context; a gram of order + 1 bytes must fit 64 bits
 CHUNK_BYTES = 16 << 20
@@ -46,11 +52,54 @@ BLOCK = 1 << 19           # symbols turned to grams at a time
 END = 0xFF                # no byte of UTF-8: ends a text, and fills the context before its start
 SYMBOLS = 256
 GRAM, WORD = 0, 1
-LOW_BYTES, LOW_TOKENS = -1, -2  # keys of totals beside the one-byte contexts' counts
-SPREAD = 1024             # groups of words (grams have up to 65,536 groups: two context bytes)
+PARTS = 512               # of grams, and as many of words
+TOGETHER = 1024           # chunks whose blocks one task of a part holds
+SETTLE = 1 << 20          # distinct keys found in slices before they are put together
+LOW_CONTEXT = 2           # bytes of the longest context whose counts go to every task
+LOW_BYTES, LOW_TOKENS = -1, -2  # keys of totals beside those counts
 END_WORD = np.uint64(0)   # stands for the end token among word hashes
 
 
+# ------------------------------------------------------------------ packed numbers
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers: how many, the bytes each takes, and these bytes."""
+    raw = np.ascontiguousarray(values, dtype=np.uint64)
+    width = np.zeros(len(raw), np.uint8)
+    rest = raw.copy()
+    while rest.any():
+        width += rest > 0
+        rest >>= np.uint64(8)
+    taken = np.arange(8) < width[:, None]
+    return struct.pack("<I", len(raw)) + width.tobytes() + raw.view(np.uint8).reshape(-1, 8)[taken].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, = struct.unpack_from("<I", data)
+    width = np.frombuffer(data, np.uint8, n, 4)
+    out = np.zeros((n, 8), np.uint8)
+    out[np.arange(8) < width[:, None]] = np.frombuffer(data, np.uint8, -1, 4 + n)
+    return out.reshape(-1).view(np.uint64)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def pack_doubles(values: np.ndarray) -> bytes:
+    """Few different numbers, many times: the numbers and which one each is."""
+    distinct, which = np.unique(values, return_inverse=True)
+    return struct.pack("<I", len(distinct)) + distinct.tobytes() + pack(which)
+
+
+def unpack_doubles(data: bytes) -> np.ndarray:
+    n, = struct.unpack_from("<I", data)
+    return np.frombuffer(data, np.float64, n, 4)[unpack(data[4 + 8 * n:]).astype(np.int64)]
+
+
 # ------------------------------------------------------------------ grams of a set of texts
 def _joined(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one array, each after ``order`` fill bytes and with its end; where each starts."""
@@ -86,66 +135,103 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(where, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
 
 
-def _text_slices(table: pa.Table, rows: int = 256):
-    for batch in slices(table.to_batches(), rows):
+def _text_slices(batches, rows: int = 256):
+    for batch in slices(batches, rows):
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield batch, texts, np.array(batch.column("held_out").to_pylist(), dtype=bool)
 
 
+class _Counts:
+    """Distinct keys and the sums of their counts, put together now and then so that what is held
+    follows the distinct keys."""
+
+    def __init__(self):
+        self.keys, self.counts, self.loose = [], [], 0
+
+    def add(self, keys: np.ndarray, learned: np.ndarray) -> None:
+        distinct, where = np.unique(keys, return_inverse=True)
+        self.keys.append(distinct)
+        self.counts.append(np.bincount(where, weights=learned, minlength=len(distinct)).astype(np.int64))
+        self.loose += len(distinct)
+        if self.loose > SETTLE:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = _summed(self.keys, self.counts)
+        self.keys, self.counts, self.loose = [keys], [counts], 0
+        return keys, counts
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return mix(x) % np.uint64(PARTS)
+
+
 def _word_hashes(hasher: WordHasher, raw: np.ndarray, starts: np.ndarray):
     """``hashes, text numbers`` of the words of joined texts."""
     for begin, _, hashes in hasher.words(lower_ascii(raw), SPACE):
         yield np.where(hashes == END_WORD, np.uint64(1), hashes), np.searchsorted(starts, begin, side="right") - 1
 
 
-def _asked(order: int):
-    """Distinct grams and words of a chunk, with the counts that its training texts have."""
-    def task(table: pa.Table) -> pa.Table:
-        hasher = WordHasher()
-        found = {GRAM: ([], []), WORD: ([], [])}
+def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray):
+    """``kind, part, keys, counts`` of a chunk's distinct keys. Every part of words gets a block, an
+    empty one too: its answer says how many different words the part has."""
+    part = _spread(keys if kind == WORD else (keys >> np.uint64(8)) & np.uint64(0xFFFFFF))
+    order = np.argsort(part, kind="stable")  # keys are sorted, and stay so in a part
+    keys, counts = keys[order], counts[order]
+    edges = np.searchsorted(part[order], np.arange(PARTS + 1, dtype=np.uint64))
+    for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if kind == WORD or b > a:
+            yield kind, p, pack_sorted(keys[a:b]), pack(counts[a:b])
+
 
-        def note(kind, keys, learned):
-            keys, where = np.unique(keys, return_inverse=True)
-            found[kind][0].append(keys)
-            found[kind][1].append(np.bincount(where, weights=learned, minlength=len(keys)))
+BLOCKS = "chunk int, kind int, part int, keys binary, counts binary"
 
-        for _, texts, out in _text_slices(table):
+
+def _asked(order: int):
+    """Blocks of a chunk's grams and words, with the counts that its training texts have."""
+    def task(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, grams_of, words_of = WordHasher(), _Counts(), _Counts()
+        for _, texts, out in _text_slices(batches):
             raw, starts = _joined(texts, order)
             for grams, owner in _grams(raw, starts, order):
-                note(GRAM, grams, ~out[owner])
+                grams_of.add(grams, ~out[owner])
             for hashes, owner in _word_hashes(hasher, raw, starts):
-                note(WORD, hashes, ~out[owner])
-            note(WORD, np.full(len(out), END_WORD), ~out)
-        chunk = table.column("chunk")[0].as_py()
-        kinds, keys, counts = [], [], []
-        for kind, (k, c) in found.items():
-            k, c = _summed(k, c)
-            kinds.append(np.full(len(k), kind, np.int8))
-            keys.append(k.view(np.int64))
-            counts.append(c)
-        keys = np.concatenate(keys)
-        return pa.table({"chunk": np.full(len(keys), chunk, np.int32), "kind": np.concatenate(kinds),
-                         "key": keys, "n": np.concatenate(counts)})
+                words_of.add(hashes, ~out[owner])
+            words_of.add(np.full(len(out), END_WORD), ~out)
+        for kind, found in ((GRAM, grams_of), (WORD, words_of)):
+            rows = list(_blocks(kind, *found.settle()))
+            if rows:
+                kinds, parts, keys, counts = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()),
+                     pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["chunk", "kind", "part", "keys", "counts"])
     return task
 
 
 # ------------------------------------------------------------------ probabilities of grams
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
+def low_levels(keys: np.ndarray, counts: np.ndarray) -> dict:
+    """Levels of two context bytes and fewer, from the training counts of two context bytes and
+    the symbol (sorted keys): the keys of each level and their counts."""
+    levels = {}
+    for d in range(LOW_CONTEXT, -1, -1):
+        short, where = np.unique(keys & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels[d] = short, np.bincount(where, weights=counts, minlength=len(short))
+    return levels
+
+
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, low: dict, order: int) -> np.ndarray:
     """log10 probability of each gram.
 
-    ``grams`` (sorted, distinct) hold, for each two-byte context they end on, all grams of the
+    ``grams`` (sorted, distinct) hold, for each three-byte context they end on, all grams of the
     corpus with that context; ``counts`` are their training counts (0: not in training).
-    ``low`` has the training counts of one context byte and the symbol, by their number.
+    ``low`` are the :func:`low_levels` of the corpus.
     """
-    levels = {}
+    levels = dict(low)
     trained = grams[counts > 0]
-    for d in range(order, 1, -1):
+    for d in range(order, LOW_CONTEXT, -1):
         keys, where = np.unique(trained & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
         levels[d] = keys, np.bincount(where, weights=counts[counts > 0], minlength=len(keys))
-    pairs = np.flatnonzero(low)
-    levels[1] = pairs.astype(np.uint64), low[pairs].astype(float)
-    single = low.reshape(SYMBOLS, SYMBOLS).sum(axis=0)
-    levels[0] = np.flatnonzero(single).astype(np.uint64), single[single > 0].astype(float)
 
     result = np.zeros(len(grams))
     open_ = np.arange(len(grams))  # grams that no context has predicted yet
@@ -183,34 +269,72 @@ def _at(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(keys[where] == wanted, values[where], 0.0)
 
 
-def _answers(low: np.ndarray, order: int):
-    """A group of grams: their log probabilities. A group of words: their training counts,
-    but for words of one chunk only, whose count the chunk has itself."""
-    def task(table: pa.Table) -> pa.Table:
-        key = table.column("key").to_numpy()
-        count = table.column("n").to_numpy()
-        if table.column("kind")[0].as_py() == GRAM:
-            grams = key.view(np.uint64)
-            sort = np.argsort(grams)
-            key, kind = key[sort], GRAM
-            value = log_probabilities(grams[sort], count[sort].astype(float), low, order)
-        else:
-            shared = table.column("chunks").to_numpy() > 1
-            key, value, kind = key[shared], count[shared].astype(float), WORD
-        return pa.table({"kind": np.full(len(key), kind, np.int8), "key": key, "value": value})
+class _Part:
+    """A part's summed keys and what a chunk is told about each."""
+
+    def __init__(self, kind: int, keys: np.ndarray, counts: np.ndarray, low: dict, order: int):
+        self.kind, self.keys = kind, keys
+        self.values = log_probabilities(keys, counts.astype(float), low, order) if kind == GRAM else counts
+        self.distinct = int((counts > 0).sum()) if kind == WORD else 0
+
+    def answer(self, packed_keys: bytes) -> bytes:
+        own = self.values[np.searchsorted(self.keys, unpack_sorted(packed_keys))]
+        return pack_doubles(own) if self.kind == GRAM else pack(own)
+
+
+ANSWERS = "chunk int, kind int, keys binary, answer binary, distinct bigint"
+
+
+def _answered(part: _Part, asked: pa.Table) -> pa.Table:
+    keys = asked.column("keys").to_pylist()
+    return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "keys": asked.column("keys"),
+                     "answer": pa.array([part.answer(k) for k in keys], pa.binary()),
+                     "distinct": pa.array(np.full(len(keys), part.distinct, np.int64))})
+
+
+def _sums_of(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _summed([unpack_sorted(k) for k in blocks.column("keys").to_pylist()],
+                   [unpack(c).astype(np.int64) for c in blocks.column("counts").to_pylist()])
+
+
+def _answer_part(low, order):
+    """All blocks of a part: the answers to them."""
+    def task(key, asked):
+        return _answered(_Part(key[0].as_py(), *_sums_of(asked), low, order), asked)
+    return task
+
+
+def _sum_part(key, asked):
+    """Blocks of a part put together into one."""
+    keys, counts = _sums_of(asked)
+    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
+                     "keys": pa.array([pack_sorted(keys)], pa.binary()), "counts": pa.array([pack(counts)], pa.binary())})
+
+
+def _answer_set(low, order):
+    """The blocks of some chunks, and the part's summed table: the answers to them."""
+    def task(key, asked, whole):
+        return _answered(_Part(key[0].as_py(), *_sums_of(whole), low, order), asked)
     return task
 
 
 # ------------------------------------------------------------------ scores of texts
-def _scores(order: int):
+def _scores(order: int, tokens_learned: int):
     def task(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
-        sort = np.argsort(key.view(np.uint64))
-        kind, key, value = kind[sort], key[sort].view(np.uint64), value[sort]
-        grams, chance = key[kind == GRAM], value[kind == GRAM]
-        words, known = key[kind == WORD], value[kind == WORD]
+        def told(kind, read):
+            mine = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+            keys = [unpack_sorted(k) for k in mine.column("keys").to_pylist()]
+            values = [read(v) for v in mine.column("answer").to_pylist()]
+            keys, values = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0), *values])
+            sort = np.argsort(keys)
+            return keys[sort], values[sort]
+
+        grams, chance = told(GRAM, unpack_doubles)
+        words, known = told(WORD, unpack)
+        vocabulary = pa.compute.sum(answers.column("distinct")).as_py() or 0  # every part of words answers
+        each = math.log10(tokens_learned + vocabulary + 1)
         hasher, result = WordHasher(), []
-        for batch, texts, out in _text_slices(docs):
+        for batch, texts, out in _text_slices(docs.to_batches()):
             n = len(texts)
             raw, starts = _joined(texts, order)
             score, base = np.zeros(n), np.zeros(n)
@@ -226,32 +350,32 @@ def _scores(order: int):
             c = _at(words, np.array([END_WORD]), known)[0]
             result.append(pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(out), pa.array(tokens), pa.array(seen + int(c > 0)),
-                 pa.array(base + math.log10(c + 1)), pa.array(score)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]))
+                 pa.array(base + math.log10(c + 1) - tokens * each), pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(result)
     return task
 
 
 def _low_counts(batches):
-    """Counts of one context byte with its symbol in training texts, all bytes, training tokens."""
-    low, size, tokens = np.zeros(SYMBOLS * SYMBOLS, np.int64), 0, 0
-    for batch, texts, out in ((b, *rest) for part in batches
-                              for b, *rest in _text_slices(pa.Table.from_batches([part]))):
+    """Counts of two context bytes with their symbol in training texts, all bytes, training tokens."""
+    low, size, tokens = _Counts(), 0, 0
+    for _, texts, out in _text_slices(batches):
         size += sum(map(len, texts))
         learned = [t for t, held in zip(texts, out) if not held]
-        raw = np.frombuffer(b"\xff" + b"".join(t + b"\xff" for t in learned), dtype=np.uint8)
-        low += np.bincount(raw[:-1].astype(np.int64) * SYMBOLS + raw[1:], minlength=len(low))
-        inside = ~SPACE[raw]
+        raw, starts = _joined(learned, LOW_CONTEXT)
+        for grams, _ in _grams(raw, starts, LOW_CONTEXT):
+            low.add(grams, np.ones(len(grams)))
+        inside = np.concatenate([[False], ~SPACE[raw]])
         tokens += int((inside[1:] & ~inside[:-1]).sum()) + len(learned)
-    key = np.flatnonzero(low)
+    key, count = low.settle()
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([key, [LOW_BYTES, LOW_TOKENS]])),
-         pa.array(np.concatenate([low[key], [size, tokens]]))], names=["key", "n"])
+        [pa.array(np.concatenate([key.view(np.int64), [LOW_BYTES, LOW_TOKENS]])),
+         pa.array(np.concatenate([count, [size, tokens]]))], names=["key", "n"])
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER,
                     id_col: str = "doc_id", text_col: str = "text",
-                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                    chunk_bytes: int = CHUNK_BYTES, together: int = TOGETHER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     The model learns from the rows whose CRC-32 of the id, modulo ``modulus``, is not
@@ -262,33 +386,32 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     id_type = docs.schema[id_col].dataType
     rows = id_and_text(docs, id_col, text_col).select(
         "doc_id", "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
-    # At most 65,536 contexts and symbols, and two totals, come to the driver.
-    sums = dict(rows.mapInArrow(_low_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n"))
-                .toPandas().itertuples(index=False, name=None))
-    size, tokens = int(sums.pop(LOW_BYTES, 0)), int(sums.pop(LOW_TOKENS, 0))
-    low = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    low[list(sums)] = list(sums.values())
+    # At most 2**24 contexts and symbols, and two totals, come to the driver (sixteen bytes each).
+    sums = rows.mapInArrow(_low_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, count = sums.column("key").to_numpy(), sums.column("n").to_numpy()
+    size, tokens = (int(count[key == k].sum()) for k in (LOW_BYTES, LOW_TOKENS))
+    sort = np.argsort(key)[(key < 0).sum():]
+    low = low_levels(key[sort].astype(np.uint64), count[sort].astype(float))
 
     chunks = max(1, math.ceil(size / chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    asked = dealt.groupBy("chunk").applyInArrow(
-        _asked(order), "chunk int, kind tinyint, key bigint, n bigint").repartition("kind", "key")
-    summed = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("chunk").alias("chunks"))
-    group = F.when(F.col("kind") == GRAM, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).otherwise(
-        -1 - F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
-    answers = (summed.withColumn("part", group).groupBy("part")
-               .applyInArrow(_answers(low, order), "kind tinyint, key bigint, value double"))
-    # A word without an answer is its chunk's alone, and so is its count. All readers of ``asked`` use
-    # all its columns, so that they share one exchange and grams are taken from the texts once.
-    replies = asked.join(answers, ["kind", "key"], "left").select(
-        "chunk", "kind", "key", F.coalesce("value", F.col("n").cast("double")).alias("value"))
-    vocabulary = summed.agg(F.count_if((F.col("kind") == WORD) & (F.col("n") > 0) & (F.col("chunks") > 0))).scalar()
+    asked = dealt.groupBy("chunk").applyInArrow(_asked(order), BLOCKS)
+    if chunks <= together:
+        answers = asked.groupBy("kind", "part").applyInArrow(_answer_part(low, order), ANSWERS)
+    else:
+        sets = math.ceil(chunks / together)
+        # Both readers of ``asked`` use all its columns, so they share one exchange.
+        asked = asked.withColumn("set", F.col("chunk") % sets).repartition("kind", "part", "set")
+        block = "kind int, part int, keys binary, counts binary"
+        whole = (asked.groupBy("kind", "part", "set").applyInArrow(_sum_part, block)
+                 .groupBy("kind", "part").applyInArrow(_sum_part, block)
+                 .withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))))
+        answers = (asked.groupBy("kind", "part", "set").cogroup(whole.groupBy("kind", "part", "set"))
+                   .applyInArrow(_answer_set(low, order), ANSWERS))
 
     schema = T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(
-        "held_out boolean, n_tokens bigint, n_known bigint, base double, score double").fields])
-    scored = (dealt.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-              .applyInArrow(_scores(order), schema))
-    each = F.log10(F.lit(tokens) + vocabulary + 1)
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")
+        "held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double").fields])
+    scored = (dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+              .applyInArrow(_scores(order, tokens), schema))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
+                         "base_score", "score")

@@ -60,47 +60,65 @@ def same(df, want):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-6)
 
 
-@pytest.mark.parametrize("order, chunk", [(2, 400), (5, 2000), (5, 1 << 25), (7, 1 << 25)])
-def test_equals_the_definition(spark, real_docs, order, chunk):
-    docs = real_docs.selectExpr("doc_id", "substring(text, 1, 150) as text")
-    same(M.score_documents(docs, order=order, chunk_bytes=chunk), brute(texts_of(docs), order))
+@pytest.mark.parametrize("order, chunk, together", [(5, 40_000, 1024), (5, 40_000, 3), (5, 1 << 25, 1024)])
+def test_equals_the_definition_on_whole_texts(spark, real_docs, whole_brute, order, chunk, together):
+    same(M.score_documents(real_docs, order=order, chunk_bytes=chunk, together=together), whole_brute)
+
+
+@pytest.fixture(scope="module")
+def whole_brute(real_docs):
+    return brute(texts_of(real_docs), 5)
+
+
+@pytest.mark.parametrize("order, chunk, together", [(2, 4000, 2), (3, 1 << 25, 9), (7, 30_000, 2)])
+def test_other_orders(spark, real_docs, order, chunk, together):
+    docs = real_docs.where("doc_id between 20 and 60")
+    same(M.score_documents(docs, order=order, chunk_bytes=chunk, together=together), brute(texts_of(docs), order))
+
+
+def test_packed_numbers_come_back():
+    dice = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        x = dice.integers(0, 1 << 63, n).astype(np.uint64) >> dice.integers(0, 64, n).astype(np.uint64)
+        assert np.array_equal(M.unpack(M.pack(x)), x)
+        assert np.array_equal(M.unpack_sorted(M.pack_sorted(np.sort(x))), np.sort(x))
+        y = dice.choice([0.1, -3.5, 1e300], n)
+        assert np.array_equal(M.unpack_doubles(M.pack_doubles(y)), y)
+    top = np.array([0, (1 << 64) - 1], np.uint64)
+    assert np.array_equal(M.unpack_sorted(M.pack_sorted(top)), top)
 
 
 def test_blocks_change_nothing(spark, real_docs, monkeypatch):
     import scorekit.llm.hashing as H
-    docs = real_docs.where("doc_id < 40").selectExpr("doc_id", "substring(text, 1, 200) as text")
+    docs = real_docs.where("doc_id < 12")
     monkeypatch.setattr(M, "BLOCK", 37)
+    monkeypatch.setattr(M, "SETTLE", 100)
     monkeypatch.setattr(H, "BLOCK", 50)
     same(M.score_documents(docs), brute(texts_of(docs), M.ORDER))
 
 
 def test_probabilities_of_a_context_sum_to_one():
     train = [b"abracadabra", b"cadabra", b"xyz"]
-    low = np.zeros(65536, np.int64)
-    for t in train:
-        data = b"\xff" + t + b"\xff"
-        for a, b in zip(data, data[1:]):
-            low[a * 256 + b] += 1
-    raw, starts = M._joined(train, 3)
-    grams = np.concatenate([g for g, _ in M._grams(raw, starts, 3)])
-    for context in (b"abr", b"zzz", b"\xff\xff\xff", b"dab"):
+    raw, starts = M._joined(train, 2)
+    low = M.low_levels(*np.unique(np.concatenate([g for g, _ in M._grams(raw, starts, 2)]), return_counts=True))
+    raw, starts = M._joined(train, 4)
+    grams = np.concatenate([g for g, _ in M._grams(raw, starts, 4)])
+    for context in (b"dabr", b"zzzz", b"\xff\xff\xff\xff", b"adab", b"zbra"):
         value = int.from_bytes(context, "big")
         asked = np.array([(value << 8) | s for s in range(256)], np.uint64)
-        tail = value & 0xFFFF
-        same_tail = grams[(grams >> np.uint64(8)) & np.uint64(0xFFFF) == np.uint64(tail)]
+        tail = value & 0xFFFFFF
+        same_tail = grams[(grams >> np.uint64(8)) & np.uint64(0xFFFFFF) == np.uint64(tail)]
         keys, counts = np.unique(np.concatenate([asked, same_tail]), return_counts=True)
         counts = counts - np.isin(keys, asked)
-        p = 10 ** M.log_probabilities(keys, counts.astype(float), low, 3)[np.isin(keys, asked)]
+        p = 10 ** M.log_probabilities(keys, counts.astype(float), low, 4)[np.isin(keys, asked)]
         assert abs(p.sum() - 1) < 1e-9
 
 
 def test_edge_rows(edge_docs, no_docs):
     from pyspark.sql import functions as F
-    docs = edge_docs.withColumn("text", F.when(F.length("text") > 6000, F.substring("text", 1, 900)).otherwise(F.col("text")))
-    same(M.score_documents(docs, chunk_bytes=3000), brute(texts_of(docs), M.ORDER))
-    assert M.score_documents(edge_docs).count() == edge_docs.count()
+    same(M.score_documents(edge_docs, chunk_bytes=3000), brute(texts_of(edge_docs), M.ORDER))
     assert M.score_documents(no_docs).count() == 0
-    untrained = docs.where("doc_id = 1").withColumn("doc_id", F.lit(10))
+    untrained = edge_docs.where("doc_id = 1").withColumn("doc_id", F.lit(10))
     assert zlib.crc32(b"10") % 7 != 2 or M.score_documents(untrained).first()["train_tokens"] == 0
 
 
