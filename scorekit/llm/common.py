@@ -12,10 +12,12 @@ import sys
 import types
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorekit.session import materialize
+
 SLICE_ROWS = 512  # rows of an Arrow batch turned into Python objects at a time
 
 
@@ -43,6 +45,40 @@ def held_out(id_column, modulus: int, remainder: int = 2):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % modulus == remainder
 
 
+PLACE = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` as files whose rows have a place: itself if it is a plain read of Parquet files,
+    else a written copy (a frame's rows could move between two reads)."""
+    plan = docs._jdf.queryExecution().analyzed()
+    files = plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().lower()
+    return docs if files else materialize(docs, "placed")
+
+
+def place() -> Column:
+    """Where a row of :func:`placed` documents stands: its file, and its number there."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so (in upper or lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_places(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of :func:`placed` documents that are not at a place of ``dropped`` (a written table of
+    :func:`place` values, column ``place``), with all their columns. The places are narrow: the
+    planner broadcasts them if they are few, else the rows move once."""
+    name = fresh(docs.columns, "place")
+    gone = dropped.select(F.col("place").alias(name))
+    return docs.withColumn(name, place()).join(gone, name, "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
 def schema_like(docs: DataFrame, id_col: str, fields: str) -> T.StructType:
     """``doc_id`` with the type it has in ``docs``, then ``fields`` (a DDL string)."""
     rest = T._parse_datatype_string(fields)
@@ -54,9 +90,3 @@ def slices(batches, rows: int = SLICE_ROWS):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def out_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
-         for c, f in zip(columns, schema)], schema=schema)

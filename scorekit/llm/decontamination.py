@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorekit.llm.common import slices
+from scorekit.llm.common import fresh, slices
 from scorekit.llm.hashing import WordHasher, mix
 from scorekit.session import materialize
 
@@ -359,10 +359,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float =
     Contaminated rows are known by id and text digest; their table is written first, so the
     planner knows its size when it chooses the join.
     """
+    id_name, sha_name = fresh(docs.columns, "found_id"), fresh(docs.columns, "found_sha")
     found = materialize(find_matches(docs, benchmark, max_share, id_col, text_col, **names)
-                        .select(F.col("doc_id").alias("_x_id"), F.col("sha").alias("_x_sha")).distinct(),
+                        .select(F.col("doc_id").alias(id_name), F.col("sha").alias(sha_name)).distinct(),
                         "decon-found")
-    rows = docs.withColumns({
-        "_x_id": F.col(id_col), "_x_sha": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    match = rows["_x_id"].eqNullSafe(found["_x_id"]) & (rows["_x_sha"] == found["_x_sha"])
-    return rows.join(found, match, "left_anti").drop("_x_id", "_x_sha")
+    digest = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    match = docs[id_col].eqNullSafe(found[id_name]) & (digest == found[sha_name])
+    return docs.join(found, match, "left_anti")

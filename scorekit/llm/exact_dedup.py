@@ -21,11 +21,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorekit.llm.common import id_and_text, slices
+from scorekit.llm.common import PLACE, place, placed, slices, without_places
 from scorekit.session import materialize
 
 CUT_BITS = 11             # a cut every 2 KB on average
@@ -96,18 +96,19 @@ def _describe(batches):
             [pa.array(h, pa.int64()), pa.array(size, pa.int32()), pa.array(sha, pa.binary())],
             fields=list(ARROW_CHUNK))
         chunks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), chunks],
-                                         names=["doc_id", "text_sha256", "chunks"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), chunks, part.column(3)],
+                                         names=["doc_id", "text_sha256", "chunks", "place"])
 
 
-def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
     """One row per document row: ``row`` (a number of its own), ``doc_id``, ``text_sha256``,
-    ``recipe`` (identifiers of its chunks in order)."""
-    rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    ``recipe`` (identifiers of its chunks in order) and ``place`` (the expression ``where``)."""
+    where = F.lit(None).cast(PLACE) if where is None else where
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       where.alias("place")).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text", "place")
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType),
                            T.StructField("text_sha256", T.StringType()),
-                           T.StructField("chunks", CHUNKS)])
+                           T.StructField("chunks", CHUNKS), T.StructField("place", PLACE)])
     described = materialize(
         rows.mapInArrow(_describe, schema).withColumn("row", F.monotonically_increasing_id()),
         "chunks")
@@ -123,38 +124,37 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                    .select("row", F.transform("parts", lambda p: F.struct(p["h"].alias("h"), p["n"].alias("n")))
                            .alias("recipe")))
     empty = F.array().cast("array<struct<h:bigint,n:int>>")
-    return (described.select("row", "doc_id", "text_sha256").join(recipes, "row", "left")
+    return (described.select("row", "doc_id", "text_sha256", "place").join(recipes, "row", "left")
             .withColumn("recipe", F.coalesce("recipe", empty)))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
-
-    Of rows with equal text the one with the largest id stays (of repeated rows with that id,
-    one). ``keep_id`` is its id, ``group_size`` the number of rows with that text.
-    """
-    recipes = materialize(chunk_recipes(docs, id_col, text_col), "recipes")
+def _decided(docs: DataFrame, id_col: str, text_col: str, where: Column | None = None) -> DataFrame:
+    recipes = materialize(chunk_recipes(docs, id_col, text_col, where), "recipes")
     # Written first, so that the join has plain inputs and a recipe that a third of the rows
     # share can be split over tasks.
     groups = materialize(recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"),
                                                        F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return recipes.join(groups, "recipe").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
+        (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "place")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
+
+    Of rows with equal text the one with the largest id stays (of several rows with that id, the
+    last one as the table is read). ``keep_id`` is its id, ``group_size`` the number of rows with
+    that text.
+    """
+    return _decided(docs, id_col, text_col).drop("place")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    The kept rows are found again by id and text digest. Repeated rows are first reduced to
-    one per id and digest inside each map task, so a row repeated in a third of the table
-    does not crowd one task.
+    Rows are known by their place in the table's files; the places of dropped rows are taken out,
+    so texts are not moved to find them.
     """
-    stays = (exact_duplicates(docs, id_col, text_col).where("kept")
-             .select(F.col("doc_id").alias("_x_id"), F.col("text_sha256").alias("_x_sha")))
-    rows = docs.withColumns({
-        "_x_id": F.col(id_col),
-        "_x_sha": F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)})
-    rows = rows.dropDuplicates(["_x_id", "_x_sha"])
-    match = rows["_x_id"].eqNullSafe(stays["_x_id"]) & (rows["_x_sha"] == stays["_x_sha"])
-    return rows.join(stays, match, "left_semi").drop("_x_id", "_x_sha")
+    docs = placed(docs)
+    dropped = _decided(docs, id_col, text_col, place()).where(~F.col("kept")).select("place")
+    return without_places(docs, materialize(dropped, "dropped-copies"))

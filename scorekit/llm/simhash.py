@@ -31,10 +31,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorekit.llm.common import id_and_text, schema_like, slices
+from scorekit.llm.common import PLACE, place, placed, schema_like, slices, without_places
 from scorekit.llm.components import connected_components
 from scorekit.session import materialize
 
@@ -65,18 +65,21 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """``doc_id, sha, fp``: the fingerprint of each row's whole text, as a signed bigint, and
-    a 64-bit digest of the text."""
+                 text_col: str = "text", where: Column | None = None) -> DataFrame:
+    """``doc_id, fp, place``: the fingerprint of each row's whole text, as a signed bigint, and
+    the expression ``where`` of the row."""
+    where = F.lit(None).cast(PLACE) if where is None else where
+
     def task(batches):
         for part in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()],
                            dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())],
-                                             names=["doc_id", "sha", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), part.column(1)],
+                                             names=["doc_id", "fp", "place"])
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("sha"), "text")
-    return rows.mapInArrow(task, schema_like(docs, id_col, "sha bigint, fp bigint"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), where.alias("place"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(task, schema_like(docs, id_col, f"fp bigint, place {PLACE.simpleString()}"))
 
 
 def _signed(value: int) -> int:
@@ -134,20 +137,21 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = 2, crowded: int = CROWDE
     fewer, and fingerprints that far apart are always connected by them."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be 0 to 3")
-    index = _index(materialize(fps.select("fp").distinct(), "simhash-distinct"), max_bits)
-    n = [F.count(F.when(F.col("side") == side, 1)).alias(f"n{side}") for side in (0, 1, 2)]
+    # Dealt by signature once: the counts and the join read the same exchange, so both use all of its
+    # columns. Shared signatures grow with the documents: they are joined where they lie, not broadcast.
+    index = _index(materialize(fps.select("fp").distinct(), "simhash-distinct"), max_bits).repartition("sig")
+    n = [F.count(F.when(F.col("side") == side, F.col("fp"))).alias(f"n{side}") for side in (0, 1, 2)]
     shared = index.groupBy("sig").agg(*n).where("n2 > 1 or (n0 > 0 and n1 > 0)").select(
         "sig", F.greatest("n2", F.least("n0", "n1")).alias("width"))
-    # The shared signatures grow with the documents: joined by shuffle at every size, not broadcast.
-    met = materialize(index.join(shared.hint("merge"), "sig"), "simhash-index")
+    met = materialize(index.join(shared.hint("shuffle_hash"), "sig"), "simhash-index")
     pairs = _pairs(met.where(F.col("width") <= crowded), max_bits)
     crowd = met.where(F.col("width") > crowded).select("fp").distinct()
     return materialize(pairs.unionByName(_star_links(crowd, max_bits)), "simhash-links")
 
 
-def _grouped(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, sha, fp, component_id, root``; ``root`` names the component."""
-    fps = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str, where: Column | None = None) -> DataFrame:
+    """``doc_id, fp, place, component_id, root``; ``root`` names the component."""
+    fps = materialize(fingerprints(docs, shingle, id_col, text_col, where), "fingerprints")
     roots = connected_components(linked_fingerprints(fps, max_bits)).select(
         F.col("node").alias("fp"), F.col("root"))
     least = materialize(
@@ -169,15 +173,12 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
                            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns.
 
-    Should several rows of a component have that id, the one with the least text digest stays.
+    Should several rows of a component have that id, the first of them stays, as the table's files
+    are named and read. Rows are known by their place there; texts are not moved to find them.
     """
-    stays = (_grouped(docs, shingle, max_bits, id_col, text_col)
-             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("root", F.col("doc_id").alias("_x_id")).agg(F.min("sha").alias("_x_sha"))
-             .select("_x_id", "_x_sha"))
-    rows = docs.withColumns({
-        "_x_id": F.col(id_col),
-        "_x_sha": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    rows = rows.dropDuplicates(["_x_id", "_x_sha"])
-    match = rows["_x_id"].eqNullSafe(stays["_x_id"]) & (rows["_x_sha"] == stays["_x_sha"])
-    return rows.join(stays, match, "left_semi").drop("_x_id", "_x_sha")
+    docs = placed(docs)
+    rows = materialize(_grouped(docs, shingle, max_bits, id_col, text_col, place()), "simhash-groups")
+    stays = materialize(rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+                        .groupBy("root").agg(F.min("place").alias("stays")), "simhash-stays")
+    dropped = rows.join(stays, "root").where(F.col("place") != F.col("stays")).select("place")
+    return without_places(docs, materialize(dropped, "dropped-near-copies"))

@@ -28,7 +28,7 @@ def edge_docs(spark):
     from pyspark.sql import functions as F
     return df.withColumns({c: F.lit("clash") for c in (
         "size", "shard", "row", "recipe", "fp", "sha", "chunk", "kind", "key", "n", "value", "digest", "item",
-        "g", "root", "component_id", "held_out", "score", "grade", "ids", "cand", "sig", "part")})
+        "g", "root", "component_id", "place", "_x_id", "_x_sha", "found_id", "found_sha", "stays", "label_id", "held_out", "score", "grade", "ids", "cand", "sig", "part")})
 
 
 @pytest.fixture(scope="session")

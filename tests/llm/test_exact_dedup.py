@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 from llm.conftest import texts_of
+from pyspark.sql import functions as F
 
 from scorekit.llm import exact_dedup as X
 
@@ -62,9 +63,27 @@ def test_cuts_do_not_depend_on_block_size(monkeypatch):
 def test_same_hash_of_different_chunks_is_told_apart(spark, monkeypatch):
     described = spark.createDataFrame(
         [(0, "x", [(1, 5, b"a")], 0), (1, "y", [(1, 5, b"b")], 1), (2, "x", [(1, 5, b"a")], 2)],
-        "doc_id long, text_sha256 string, chunks array<struct<h:bigint,n_bytes:int,sha:binary>>, row long")
+        "doc_id long, text_sha256 string, chunks array<struct<h:bigint,n_bytes:int,sha:binary>>, row long").withColumn(
+        "place", F.lit(None).cast(X.PLACE))
     monkeypatch.setattr(X, "materialize", lambda df, label: described if label == "chunks" else df)
     monkeypatch.setattr(X, "_describe", lambda b: b)
     docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
     r = {x["doc_id"]: x["recipe"] for x in X.chunk_recipes(docs).collect()}
     assert r[0] == r[2] != r[1]
+
+
+def test_stages_keep_columns_and_move_no_text_to_drop_rows(spark, tmp_path):
+    from scorekit.llm import simhash
+    rows = [(i % 3, f"text number {i % 2} of some words", i, "a", "b") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place long, _x_id string, _x_sha string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    kept = X.drop_exact_duplicates(read)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, "text number 0 of some words", 8, "a", "b"),   # the last such rows
+                                                  (2, "text number 1 of some words", 11, "a", "b")]
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning" not in plan
+    one = simhash.keep_one_of_each_group(read)
+    assert sorted(r["place"] for r in one.collect()) == [0, 3] and one.columns == docs.columns  # the first ones
+    assert X.drop_exact_duplicates(docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))).count() == 2
