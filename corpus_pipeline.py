@@ -12,7 +12,7 @@ from __future__ import annotations
 from scorekit.llm import decontamination, exact_dedup, simhash, sp_codec, toxicity
 from scorekit.llm.common import table
 from scorekit.llm.queries import GRADE, MAX_BITS, SHINGLE, SP_MODEL
-from scorekit.session import materialize
+from scorekit.session import delete_tables, materialize
 
 
 def reject_toxic(spark, docs, sf_dir):
@@ -53,7 +53,8 @@ STAGES = [
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        delete_tables(spark, before)  # a stage's rows are not read again once the next one's are written
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
