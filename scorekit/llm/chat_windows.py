@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorekit.session import materialize
+
 BUDGET = 1024
 HISTORY = 256
 TURN_TOKENS = 4
@@ -61,12 +63,15 @@ def _turns(conversations: DataFrame, tokens: str) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({
             "own": F.expr(tokens).cast("bigint"),
+            "conv": F.coalesce(F.xxhash64("conv_id"), F.lit(0)),
             "block": F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62)))})
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    rows = rows.withColumn("nr", F.row_number().over(inside))
+    # Rows are dealt by (conv, block) once: the windows and the join with the blocks' sums keep to that.
+    dealt = ["conv", "block"]
+    inside = Window.partitionBy(*dealt, "conv_id").orderBy("turn", "role", "text")
+    rows = rows.repartition(*dealt).withColumn("nr", F.row_number().over(inside))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("nr") == 1
-    blocks = (rows.groupBy("conv_id", "block")
+    blocks = (rows.groupBy(*dealt, "conv_id")
               .agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("n"),
                    F.max(F.when(first & (F.col("role") == "system"), F.col("own"))).alias("system_tokens"))
               .withColumns({
@@ -76,8 +81,9 @@ def _turns(conversations: DataFrame, tokens: str) -> DataFrame:
                   "system_tokens": F.first("system_tokens").over(
                       Window.partitionBy("conv_id").orderBy("block")
                       .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-              .withColumnRenamed("conv_id", "b_conv").withColumnRenamed("block", "b_block"))
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
+              .withColumnsRenamed({"conv_id": "b_conv_id", "conv": "b_conv", "block": "b_block"}))
+    rows = rows.join(blocks, (F.col("conv") == F.col("b_conv")) & (F.col("block") == F.col("b_block"))
+                     & F.col("conv_id").eqNullSafe(F.col("b_conv_id")))
     running = F.sum("own").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     off = F.coalesce("system_tokens", F.lit(0))
     return rows.withColumns({"pos": F.col("pos0") + F.col("nr"), "until": F.col("sum0") + running - off}).select(
@@ -99,22 +105,28 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     low = F.floor(F.col("begin") / span)
     across = F.floor((F.col("until") - 1) / span) > low
     turns = turns.withColumn("window", (2 * low + F.when(F.col("system"), 0).otherwise(across.cast("int"))).cast("bigint"))
+    # Written once: spans and history are chosen on narrow columns of this table, and its texts are
+    # read for the windows' own turns and for the repeated ones.
+    turns = materialize(turns, "turns")
 
     own = turns.select("conv_id", "window", F.lit(2).alias("kind"), "pos", "role", "text")
     starts = turns.groupBy("conv_id", "window").agg(F.min("begin").alias("start"), F.min("pos").alias("first"))
     later = starts.where("first > 1").select(
         F.col("conv_id").alias("w_conv"), F.col("window").alias("w"), "start", "first",
         F.floor(F.col("start") / max(1, history)).alias("cell"))
-    system = (turns.where("system").select("conv_id", "pos", "role", "text")
-              .join(later, F.col("conv_id").eqNullSafe(F.col("w_conv")))
-              .select("conv_id", F.col("w").alias("window"), F.lit(0).alias("kind"), "pos", "role", "text"))
+    same = F.col("conv_id").eqNullSafe(F.col("w_conv"))
+    system = (turns.where("system").select("conv_id", "pos").join(later, same)
+              .select("w_conv", "w", F.lit(0).alias("kind"), F.col("pos").alias("p")))
     here = F.floor(F.col("until") / max(1, history))
-    cells = turns.where(~F.col("system")).withColumn("t_cell", F.explode(F.array(here, here + 1)))
-    before = (cells.join(later, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("t_cell") == F.col("cell")))
+    cells = turns.where(~F.col("system")).select("conv_id", "pos", "begin", "until", F.explode(F.array(here, here + 1)).alias("t_cell"))
+    before = (cells.join(later, same & (F.col("t_cell") == F.col("cell")))
               .where((F.col("until") <= F.col("start")) & (F.col("begin") >= F.col("start") - history))
-              .select("conv_id", F.col("w").alias("window"), F.lit(1).alias("kind"), "pos", "role", "text"))
+              .select("w_conv", "w", F.lit(1).alias("kind"), F.col("pos").alias("p")))
+    repeated = (turns.select("conv_id", "pos", "role", "text")
+                .join(system.unionByName(before), same & (F.col("pos") == F.col("p")))
+                .select("conv_id", F.col("w").alias("window"), "kind", "pos", "role", "text"))
 
-    parts = own.unionByName(system).unionByName(before).groupBy("conv_id", "window").agg(
+    parts = own.unionByName(repeated).groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("kind", "pos", "role", "text"))).alias("parts"))
     parts = parts.withColumn("parts", F.transform("parts", lambda p: F.struct(
         (p["kind"] < 2).alias("repeated"), (p["role"] == "assistant").alias("answer"),
