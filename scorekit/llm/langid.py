@@ -19,10 +19,10 @@ first; repeated rows are predicted alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ MAX_LANGUAGES = 4096
 UNDETERMINED = "und"
 MEMO_GRAMS = 40_000  # n-gram vectors a worker keeps before it starts afresh
 BLOCK = 1 << 18      # letters counted at a time: bounds memory for very long texts
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")  # letters of any script; no digits, fractions or Roman numerals
 
 
 class Profiler:

@@ -47,6 +47,45 @@ def test_blocks_and_memory_limits_change_nothing(monkeypatch):
     assert np.allclose(L.Profiler().vector(text), whole, atol=1e-4)
 
 
+def test_whole_query_by_its_definition(spark):
+    """Sums of the learned texts' vectors, less their mean, and the nearest by cosine."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, p, sums = docs.collect(), L.Profiler(), {}
+
+    def plain(text):
+        letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        if not letters:
+            return None
+        codes, total = [ord(c) for c in f" {letters} "], np.zeros(L.DIM)
+        for i in range(len(codes) - 2):
+            total += np.roll(p.letter(codes[i]), 2) * np.roll(p.letter(codes[i + 1]), 1) * p.letter(codes[i + 2])
+        return total / np.linalg.norm(total) if total.any() else total
+
+    vectors = [plain(r["text"] or "") for r in rows]
+    for r, v in zip(rows, vectors):
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and v is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + v
+    units = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    mean = sum(units.values()) / len(units)
+    units = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in units.items()}
+    got = {r["doc_id"]: r for r in L.identify_held_out(docs).collect()}
+    for r, v in zip(rows, vectors):
+        own = got[r["doc_id"]]
+        if v is None:
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        cosine = {k: float(u @ v) for k, u in units.items()}
+        assert abs(own["score"] - (1 + max(cosine.values())) / 2) < 1e-4
+        assert cosine[own["lang_pred"]] > max(cosine.values()) - 1e-4
+
+
+def test_numbers_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (3, "el gato y el perro", "es"), (5, "½² Ⅷ ③ 12_", None), (6, "ªº ½", None)],
+                                 "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(docs, L.learn_prototypes(docs)).collect()}
+    assert got[5] == "und" and got[6] != "und" and (got[1], got[3]) == ("en", "es")
+
+
 def test_edge_rows(edge_docs, no_docs):
     rows = L.identify_held_out(edge_docs).collect()
     assert len(rows) == edge_docs.count()
