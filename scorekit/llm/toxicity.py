@@ -138,13 +138,19 @@ def fit(columns: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: in
     def thresholds(t):
         return np.cumsum(np.concatenate([[t[0]], np.exp(t[1:])]))
 
-    def loss_gradient(w, t):
+    def chances(w, t):
+        """Of each document's grade: its probability, and those of the thresholds on both sides."""
         th = thresholds(t)
         score = np.bincount(doc, weights=w[col], minlength=n)
-        hi = np.where(y < k, th[np.minimum(y, k - 1)] - score, np.inf)
-        lo = np.where(y > 0, th[np.maximum(y - 1, 0)] - score, -np.inf)
-        p_hi, p_lo = np.where(y < k, _sigmoid(hi), 1.0), np.where(y > 0, _sigmoid(lo), 0.0)
-        p = np.maximum(p_hi - p_lo, 1e-12)
+        p_hi = np.where(y < k, _sigmoid(th[np.minimum(y, k - 1)] - score), 1.0)
+        p_lo = np.where(y > 0, _sigmoid(th[np.maximum(y - 1, 0)] - score), 0.0)
+        return np.maximum(p_hi - p_lo, 1e-12), p_hi, p_lo
+
+    def loss(w, t):
+        return -np.log(chances(w, t)[0]).mean()
+
+    def loss_gradient(w, t):
+        p, p_hi, p_lo = chances(w, t)
         d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
         by_score = (d_hi - d_lo) / n
         by_th = (np.bincount(y[y > 0] - 1, weights=d_lo[y > 0], minlength=k)
@@ -162,15 +168,15 @@ def fit(columns: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: in
         f = (momentum - 1) / nxt
         momentum = nxt
         vy, ty = v + f * (v - v_old), t + f * (t - t_old)
-        loss, gw, gt = loss_gradient(vy / scale, ty)
+        here, gw, gt = loss_gradient(vy / scale, ty)
         gv = gw / scale
         while True:
             step = vy - size * gv
             v_new = np.sign(step) * np.maximum(np.abs(step) - size * l1 / scale, 0)
             t_new = ty - size * gt
             dv, dt = v_new - vy, t_new - ty
-            reached = loss_gradient(v_new / scale, t_new)[0]
-            if reached <= loss + gv @ dv + gt @ dt + (dv @ dv + dt @ dt) / (2 * size) + 1e-12 or size < 1e-8:
+            reached = loss(v_new / scale, t_new)
+            if reached <= here + gv @ dv + gt @ dt + (dv @ dv + dt @ dt) / (2 * size) + 1e-12 or size < 1e-8:
                 break
             size /= 2
         v_old, t_old, v, t = v, t, v_new, t_new
@@ -226,14 +232,16 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE,
 
     ``grade`` is an SQL expression over ``labels`` (integers; null: not learned from). Only
     the hashed features of the sample come to the driver. A document with several labels
-    counts with the greatest.
+    counts with the greatest; of several rows with one id the least text is learned from.
     """
     graded = (labels.select(F.col("doc_id").alias("_x_id"), F.expr(grade).cast("int").alias("grade"))
               .where("grade is not null and _x_id is not null")
               .groupBy("_x_id").agg(F.max("grade").alias("grade")))
     chosen = graded.orderBy(F.xxhash64("_x_id"), "_x_id").limit(sample)
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    joined = texts.join(chosen, F.col("doc_id") == F.col("_x_id")).select("grade", "text")
+    # One text for each chosen id (the least), so no repeated id makes the sample larger than its bound.
+    joined = (texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_x_id"))
+              .groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text"))
 
     def features(batches):
         hasher = Hasher()
