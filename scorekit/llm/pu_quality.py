@@ -23,8 +23,8 @@ the language: capitals, symbols, digits, white space, distinct words, repeated n
 frequent word, word length.
 
 Fitting uses bounded samples: the ``sample`` positives and ``sample`` unlabelled documents of least
-id hash (a documented parameter; all of them if there are fewer; rows that share a chosen id are all taken). They reach the driver as ``WIDTH``
-float32 numbers each (40 MB a sample at most). The prior's counts and the prediction read every row
+id hash (a documented parameter; all of them if there are fewer; of rows that share an id, the least
+text). They reach the driver as ``WIDTH`` float32 numbers each (24 MB a sample at most). The prior's counts and the prediction read every row
 and whole text; the weights have a fixed size.
 
 Cases: a null text counts as empty and has no features, so its score is the intercept's; documents
@@ -223,8 +223,9 @@ def learn(docs: DataFrame, labels: DataFrame, quality: str = "quality", modulus:
 
     def rows_of(ids, key, kind):
         ids = ids.select(F.col(key).alias("chosen_id")).distinct()  # at most ``sample`` ids are broadcast
-        found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).select(F.lit(kind).alias("kind"), "text")
-        table = found.mapInArrow(_feature_rows, "kind int, row binary").select("row").toArrow()  # about ``sample`` rows
+        found = (texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
+                 .groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(kind).alias("kind"), "text"))
+        table = found.mapInArrow(_feature_rows, "kind int, row binary").select("row").toArrow()  # ``sample`` rows at most
         data = b"".join(table.column("row").to_pylist())
         return np.frombuffer(data, dtype=np.float32).reshape(-1, WIDTH)
 

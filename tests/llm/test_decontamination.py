@@ -111,7 +111,9 @@ def test_recall_of_long_items_at_the_greatest_distance(spark):
 
 def test_real_benchmark_against_all_pairs(spark, real_docs):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    docs = [(r["doc_id"], r["text"][:3000]) for r in real_docs.collect()]
+    texts = sorted(((r["doc_id"], r["text"]) for r in real_docs.collect()), key=lambda r: (len(r[1]), r[0]))
+    docs = [*texts[::3], *texts[-4:-1]]  # whole texts, the longest ones too
+    docs = list(dict(docs).items())
     want = brute(docs, [tuple(r) for r in items.collect()], D.MAX_SHARE)
     got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == set(want)
