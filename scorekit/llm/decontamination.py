@@ -8,9 +8,11 @@ white space do not count).
    rounded down to a geometric grid from 20 words on, so there are few sizes). A window starts
    at every word; those that cannot match are passed over by the q-gram lemma: each edit
    destroys at most two word pairs, so a window that begins a match holds at least
-   ``size - 1 - 2 * edits`` word pairs of items. The pairs are looked up in a bit table of fixed
-   size, whose false positives only let more windows through. A pair counts at most as often as
-   the items repeat any pair, so runs of one repeated word do not pass.
+   ``size - 1 - 2 * edits`` word pairs of items. The pairs are looked up in a bit table, whose false
+   positives only let more windows through; it has ``PLACES_EACH`` places or more for each pair of the
+   items, up to ``2**MOST_BITS`` (8 MB sent to a task; with more pairs than 2**22 it fills up and spares
+   less work, but loses nothing). A pair counts at most as often as the items repeat any pair, so
+   runs of one repeated word do not pass.
    Two walks fall out of step in long windows. So items of ``2 * PIECE`` words and more are cut into
    equal pieces, and the windows have a piece's size: of the pieces of a match, one at least has no
    greater share of edits than the whole, and every piece is one more chance to meet.
@@ -46,7 +48,9 @@ from scorekit.session import materialize
 
 MAX_SHARE = 0.2
 WALKS, TABLES, SAMPLED = 8, 32, 3
-TABLE_BITS = 22          # the bit tables have 2**22 places: 512 KB each, whatever the input
+LEAST_BITS, MOST_BITS = 22, 26  # the bit tables have 2**22 to 2**26 places, by the number of the items' pairs
+PLACES_EACH = 16
+BITMAP_BITS = 15         # Spark's bitmaps have 2**15 places
 EXACT_SIZES, GRID = 20, 1.1
 PIECE = 30               # words, at least, of the pieces of long items
 WINDOWS_AT_ONCE = 1 << 16
@@ -137,19 +141,34 @@ def _held(at: np.ndarray, earlier: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(change)[:n]
 
 
-def _place(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def table_bits(numbers: int) -> int:
+    """The bit table for so many numbers has two to this power places."""
+    return min(max(LEAST_BITS, (numbers * PLACES_EACH - 1).bit_length()), MOST_BITS)
 
 
-def _bit_table(places: DataFrame) -> bytes:
-    """2**22 bits with the ``place`` of each row set. At most that many numbers are collected."""
-    table = np.zeros(1 << TABLE_BITS, dtype=bool)
-    table[places.distinct().toPandas()["place"].to_numpy(dtype=np.int64)] = True
-    return np.packbits(table).tobytes()
+def _bit_table(hashes: DataFrame, numbers: int) -> bytes:
+    """Bits, of which those at the leading bits of each row's ``hash`` are set. Pieces of the table are
+    put together in the tasks; the driver gets each piece once, so no more than the table."""
+    bits = table_bits(numbers)
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    pieces_of_table = hashes.groupBy(F.shiftright(place, BITMAP_BITS).alias("piece")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND((1 << BITMAP_BITS) - 1)).alias("bitmap"))
+    size = 1 << BITMAP_BITS - 3
+    table = np.zeros(1 << bits - 3, dtype=np.uint8)
+    for r in pieces_of_table.toLocalIterator():
+        table[r["piece"] * size:(r["piece"] + 1) * size] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    return table.tobytes()
 
 
-def _opened(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+class BitTable:
+    """A :func:`_bit_table`, opened: which hashes may be among its rows'."""
+
+    def __init__(self, table: bytes):
+        self.unused = np.uint64(65 - (len(table) * 8).bit_length())
+        self.bits = np.unpackbits(np.frombuffer(table, dtype=np.uint8), bitorder="little").view(bool)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[(hashes >> self.unused).astype(np.int64)]
 
 
 def _long_lists(values) -> pa.Array:
@@ -157,12 +176,12 @@ def _long_lists(values) -> pa.Array:
 
 
 def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> DataFrame:
-    """``item`` (a number of its own), ``item_id, size, n_words, words, places, sigs`` of each
+    """``item`` (a number of its own), ``item_id, size, n_words, words, pairs, sigs`` of each
     distinct item; ``most``: how often it has its most frequent word pair."""
     def task(batches):
         hasher, walkers = WordHasher(), {}
         for part in slices(batches):
-            kept, sizes, n, most, words, places, sigs = [], [], [], [], [], [], []
+            kept, sizes, n, most, words, hashes, sigs = [], [], [], [], [], [], []
             for i, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                 w = _words(hasher, text)
                 if len(w) == 0:
@@ -176,19 +195,19 @@ def _item_rows(benchmark: DataFrame, item_col: str, text_col: str, shape) -> Dat
                 words.append(w)
                 pairs = _pairs(w) if len(w) > 1 else mix(w)
                 most.append(int(np.unique(pairs, return_counts=True)[1].max()))
-                places.append(_place(pairs))
+                hashes.append(pairs)
                 starts = np.arange(walkers[size].pieces) * len(w) // walkers[size].pieces
                 sigs.append(np.unique(walkers[size].signatures(w, starts)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(kept, pa.int64())), pa.array(sizes, pa.int32()),
-                 pa.array(n, pa.int32()), pa.array(most, pa.int32()), _long_lists(words), pa.array(places, pa.list_(pa.int64())),
-                 _long_lists(sigs)], names=["item_id", "size", "n_words", "most", "words", "places", "sigs"])
+                 pa.array(n, pa.int32()), pa.array(most, pa.int32()), _long_lists(words), _long_lists(hashes),
+                 _long_lists(sigs)], names=["item_id", "size", "n_words", "most", "words", "pairs", "sigs"])
 
     rows = benchmark.select(F.col(item_col).alias("item_id"),
                             F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).distinct()
     schema = T.StructType([T.StructField("item_id", benchmark.schema[item_col].dataType),
                            *T._parse_datatype_string("size int, n_words int, most int, words array<bigint>, "
-                                                     "places array<bigint>, sigs array<bigint>").fields])
+                                                     "pairs array<bigint>, sigs array<bigint>").fields])
     return materialize(rows.mapInArrow(task, schema).withColumn("item", F.monotonically_increasing_id()),
                        "decon-items")
 
@@ -211,14 +230,14 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
         for i, text in enumerate(texts):
             w = _words(hasher, text)
             own = _pairs(w)
-            hits = np.flatnonzero(pairs[_place(own)])
+            hits = np.flatnonzero(pairs.holds(own))
             begins.append(at)
             if len(w) == 0 or (1 not in need and len(hits) < least):
                 continue
             earlier, found = _earlier(own, hits, most), False
             for size, (at_least, _) in need.items():
                 # Windows may hang over the end: a match can be shorter than its item.
-                starts = (np.flatnonzero(pairs[_place(mix(w))]) if size == 1 else
+                starts = (np.flatnonzero(pairs.holds(mix(w))) if size == 1 else
                           np.flatnonzero(_held(hits, earlier, size // pieces(size), len(w)) >= at_least))
                 if len(starts):
                     passed[size][0].append(starts + at)
@@ -231,7 +250,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
         return np.concatenate(words) if words else gap, np.array(begins), passed
 
     def task(batches):
-        hasher, pairs, known = WordHasher(), _opened(pair_bits), _opened(sig_bits)
+        hasher, pairs, known = WordHasher(), BitTable(pair_bits), BitTable(sig_bits)
         walkers = {size: Walks(size, *shape) for size in need}
         for part in slices(batches):
             rows, first, words, sigs = [], [], [], []
@@ -243,7 +262,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
                 for at in range(0, len(starts), WINDOWS_AT_ONCE):
                     here, text = starts[at:at + WINDOWS_AT_ONCE], texts[at:at + WINDOWS_AT_ONCE]
                     found = walkers[size].signatures(every, here)
-                    match = known[_place(mix(found))]
+                    match = known.holds(mix(found))
                     some = match.any(axis=1)
                     run = (here - begins[text]) // size
                     stretch = np.stack([text[some], run[some]], axis=1)
@@ -314,21 +333,24 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
     (id and text digest) and item; ``last_word`` is the match's last word's place in the text."""
     shape = (walks, tables, sampled)
     items = _item_rows(benchmark, item_col, item_text_col, shape)
-    lengths = items.groupBy("size").agg(F.max("n_words").alias("hi"), F.max("most").alias("most")).collect()
+    lengths = items.groupBy("size").agg(
+        F.max("n_words").alias("hi"), F.max("most").alias("most"),
+        F.sum(F.size("pairs")).alias("pairs"), F.sum(F.size("sigs")).alias("sigs")).collect()
     most = max((r["most"] for r in lengths), default=1)
     need = {}  # one entry per size of the grid: about log(longest item) many
     for r in lengths:
         edits = edits_allowed(r["hi"], max_share)
         n = pieces(r["size"])
         need[r["size"]] = (max(1, r["size"] // n - 1 - 2 * edits_allowed(-(-r["hi"] // n), max_share)), r["hi"] + edits)
-    pair_bits = _bit_table(items.select(F.explode("places").alias("place")))
+    pair_bits = _bit_table(items.select(F.explode("pairs").alias("hash")), sum(r["pairs"] for r in lengths))
 
-    def sig_places(batches):
+    def mixed(batches):
         for part in batches:
             sig = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_place(mix(sig)))], names=["place"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(sig).view(np.int64))], names=["hash"])
 
-    sig_bits = _bit_table(items.select(F.explode("sigs")).mapInArrow(sig_places, "place bigint"))
+    sig_bits = _bit_table(items.select(F.explode("sigs")).mapInArrow(mixed, "hash bigint"),
+                          sum(r["sigs"] for r in lengths))
     cands = _candidates(docs, id_col, text_col, need, most, pair_bits, sig_bits, shape)
     met = (cands.select("cand", F.explode("sigs").alias("sig"))
            .join(items.select("item", F.explode("sigs").alias("sig")), "sig")

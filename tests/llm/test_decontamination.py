@@ -160,3 +160,27 @@ def test_runs_of_one_word_do_not_pass(spark):
     docs = spark.createDataFrame([(1, "la " * 4000), (2, "x " * 9 + " ".join(f"w{i}" for i in range(12)) + " la la la la")],
                                  "doc_id long, text string")
     assert [(r["doc_id"], r["edits"]) for r in D.contaminated(docs, items).collect()] == [(2, 0)]
+
+
+@pytest.mark.parametrize("bits", [(15, 15), (17, 20), (22, 26)])
+def test_bit_table_holds_its_rows_at_every_size(spark, monkeypatch, bits):
+    monkeypatch.setattr(D, "LEAST_BITS", bits[0])
+    monkeypatch.setattr(D, "MOST_BITS", bits[1])
+    dice = np.random.default_rng(bits[0])
+    own, others = (dice.integers(0, 1 << 64, 3000, dtype=np.uint64) for _ in range(2))
+    rows = spark.createDataFrame([(int(h),) for h in own.view(np.int64)], "hash long")
+    table = D.BitTable(D._bit_table(rows, len(own)))
+    assert len(table.bits) == 1 << D.table_bits(3000) and table.holds(own).all()
+    assert table.bits.sum() == len(np.unique(own >> table.unused))
+    assert table.holds(others).mean() < 0.12
+
+
+def test_bit_tables_grow_with_the_benchmark():
+    assert [D.table_bits(n) for n in (0, 10**4, 2**18, 2**18 + 1, 2**22, 10**9)] == [22, 22, 22, 23, 26, 26]
+
+
+def test_crowded_bit_tables_lose_nothing(spark, corpus, monkeypatch):
+    docs, items = (spark.createDataFrame(rows, f"{name} long, text string") for rows, name in zip(corpus, ("doc_id", "item_id")))
+    want = sorted(D.contaminated(docs, items).collect())
+    monkeypatch.setattr(D, "_bit_table", lambda hashes, numbers: b"\xff" * 4096)  # everything passes
+    assert sorted(D.contaminated(docs, items).collect()) == want
