@@ -13,8 +13,9 @@ ones, as far as ``PRECISION`` of those above it are toxic, and never above ``REJ
 weights themselves are then fitted on the whole sample.
 
 Fitting uses a bounded sample: the ``sample`` labelled documents with the least hash of their
-id (a documented parameter; all labelled documents if there are fewer). Prediction reads every
-row and whole text; the weights have a fixed size.
+id, fewer if they have more than ``features`` features together (documented parameters; all
+labelled documents if there are fewer). So however long the texts are, the driver gets no more
+than that. Prediction reads every row and whole text; the weights have a fixed size.
 
 Cases: a null or wordless text has no features and gets the thresholds' prior; documents
 without a label or with a null grade are not learned from; with no labels at all, or one
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorekit.llm.common import id_and_text, schema_like, slices
+from scorekit.session import delete_tables, materialize
 
 HASH_BITS = 18
 SAMPLE = 12_000
+FEATURES = 1 << 24   # of the sample's documents together: 64 MB come to the driver at most
 MIN_DOCS = 3         # a feature of fewer documents of the sample is not learned
 L1 = 3e-5
 STEPS = 200
@@ -226,9 +229,22 @@ def _held_out_cut(columns: list[np.ndarray], grades: np.ndarray) -> float:
     return choose_cut(np.concatenate(p), np.concatenate(truth))
 
 
-def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE, id_col: str = "doc_id",
-          text_col: str = "text") -> OrdinalModel:
-    """Fit on the ``sample`` labelled documents with the least hash of their id.
+def _last_rank(written: DataFrame, features: int) -> int | None:
+    """The greatest rank up to which documents have ``features`` features together, or the least rank."""
+    last, total = None, 0
+    by_rank = written.groupBy("rank").agg(F.sum(F.size("cols")).alias("n"))
+    for r in sorted(by_rank.collect(), key=lambda r: r["rank"]):  # a row for each sampled document
+        total += r["n"]
+        if last is not None and total > features:
+            break
+        last = r["rank"]
+    return last
+
+
+def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE, features: int = FEATURES,
+          id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """Fit on the ``sample`` labelled documents with the least hash of their id, or on the first of
+    them, in the hash's order, that have ``features`` features together.
 
     ``grade`` is an SQL expression over ``labels`` (integers; null: not learned from). Only
     the hashed features of the sample come to the driver. A document with several labels
@@ -237,27 +253,31 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE,
     graded = (labels.select(F.col("doc_id").alias("_x_id"), F.expr(grade).cast("int").alias("grade"))
               .where("grade is not null and _x_id is not null")
               .groupBy("_x_id").agg(F.max("grade").alias("grade")))
-    chosen = graded.orderBy(F.xxhash64("_x_id"), "_x_id").limit(sample)
+    chosen = graded.select("_x_id", "grade", F.xxhash64("_x_id").alias("rank")).orderBy("rank", "_x_id").limit(sample)
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     # One text for each chosen id (the least), so no repeated id makes the sample larger than its bound.
     joined = (texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_x_id"))
-              .groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text"))
+              .groupBy("doc_id").agg(F.max("grade").alias("grade"), F.max("rank").alias("rank"), F.min("text").alias("text"))
+              .select("grade", "rank", "text"))
 
-    def features(batches):
+    def with_columns(batches):
         hasher = Hasher()
         for part in slices(batches):
-            cols = [hasher.columns(t) for t in part.column(1).to_pylist()]
+            cols = [hasher.columns(t) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(cols, pa.list_(pa.int32()))], names=["grade", "cols"])
+                [part.column(0), part.column(1), pa.array(cols, pa.list_(pa.int32()))], names=["grade", "rank", "cols"])
 
-    rows = joined.mapInArrow(features, "grade int, cols array<int>").toArrow()
+    written = materialize(joined.mapInArrow(with_columns, "grade int, rank bigint, cols array<int>"), "toxicity-sample")
+    rows = written.where(F.col("rank") <= F.lit(_last_rank(written, features)).cast("bigint")).toArrow()
+    delete_tables(docs.sparkSession, written)
     lists = rows.column("cols").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     offsets = lists.offsets.to_numpy()
     flat = lists.values.to_numpy(zero_copy_only=False)
-    columns = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-    grades = np.array(rows.column("grade").to_pylist(), dtype=np.int64)
+    order = np.argsort(rows.column("rank").to_numpy(), kind="stable")  # the fit does not depend on how rows are dealt
+    columns = [flat[offsets[i]:offsets[i + 1]] for i in order]
+    grades = rows.column("grade").to_numpy().astype(np.int64)[order]
     del rows
     cut = _held_out_cut(columns, grades)
     model = fit(columns, grades)

@@ -146,3 +146,18 @@ def test_edge_rows(spark, edge_docs, no_docs):
     unlearned = X.learn(edge_docs, labels.where("false"), GRADE)
     assert {r["severity"] for r in X.predict_severity(edge_docs, unlearned).collect()} == {0.0}
     assert X.drop_toxic(edge_docs, unlearned).count() == edge_docs.count()
+
+
+def test_sample_is_bounded_by_its_features_too(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(X, "_held_out_cut", lambda columns, grades: 0.5)
+    monkeypatch.setattr(X, "fit", lambda columns, grades: seen.append((columns, grades)) or X.OrdinalModel(np.zeros(1), np.zeros(0)))
+    for features in (1 << 24, 2000, 1):
+        X.learn(docs, labels, "toxic", features=features)
+    sizes = [[len(c) for c in columns] for columns, _ in seen]
+    assert len(sizes[0]) == 40 and sum(sizes[1]) <= 2000 < sum(sizes[0]) and len(sizes[2]) == 1
+    for columns, grades in seen[1:]:  # the first documents in the hash's order
+        assert all(np.array_equal(a, b) for a, b in zip(columns, seen[0][0]))
+        assert list(grades) == list(seen[0][1][:len(grades)])
