@@ -23,7 +23,7 @@ from scorekit.llm import (
     toxicity,
     whitening,
 )
-from scorekit.llm.common import table
+from scorekit.llm.common import held_out, table
 from scorekit.session import checkpoint_root
 
 SHINGLE, MAX_BITS = 3, 2
@@ -76,8 +76,15 @@ def op8_sharding(spark, sf_dir):
 
 
 def op9_token_counts(spark, sf_dir):
+    """The table comes in two deliveries (by the checksum of the id), each of which fills one cache: texts
+    of the second that the first held too are hits, the rest are appended. Counts of all rows are then
+    read from the cache."""
+    docs = table(spark, sf_dir, "documents")
     cache = os.path.join(checkpoint_root(spark), f"token-cache-{uuid.uuid4().hex}")
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BPE_FILE, cache)
+    first = held_out(F.col("doc_id"), 2, 0)
+    token_counts.fill_cache(docs.where(first), BPE_FILE, cache)
+    version = token_counts.fill_cache(docs.where(~first), BPE_FILE, cache)
+    return token_counts.stored_counts(docs, version, cache)
 
 
 def op10_exact_dedup(spark, sf_dir):

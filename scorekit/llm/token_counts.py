@@ -4,7 +4,8 @@ The cache is a Parquet table ``tokenizer, digest, n_tokens``: the SHA-256 of the
 (its version), the SHA-256 of the text, and the count. :func:`count_tokens` joins the texts'
 digests to the stored counts, encodes each distinct missing text once, appends those counts
 to the cache, and answers from the cache. Text is not normalised before its digest is taken:
-any change of the text may change its count.
+any change of the text may change its count. Each filling writes a folder of its own in the cache's,
+so several writers can fill one cache at a time; what two of them both add is read once.
 
 Only missing texts move: one row per digest and map task enters the shuffle (map-side
 reduction), so a text that fills a third of the table moves once per map task. Digests are
@@ -27,6 +28,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -109,7 +111,7 @@ def _count_task(file: bytes, version: str):
 def _stored(spark, cache_path: str, version: str) -> DataFrame:
     """The cache's rows for this tokenizer; a path that does not exist yet is an empty cache."""
     try:
-        rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+        rows = spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(cache_path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -128,16 +130,23 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
     misses = texts.dropDuplicates(["digest"]).join(_stored(spark, cache_path, version), "digest", "left_anti")
     (misses.mapInArrow(_count_task(file, version), "digest string, n_tokens bigint")
      .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
-     .write.mode("append").parquet(cache_path))
+     .write.parquet(f"{cache_path}/run={uuid.uuid4().hex}"))
     return version
 
 
+def stored_counts(docs: DataFrame, version: str, cache_path: str, limit: int = 512,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` for every row whose text the cache holds a count of,
+    by the tokenizer of this version digest."""
+    rows = id_and_text(docs, id_col, text_col).select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
+    return rows.join(_stored(docs.sparkSession, cache_path, version), "digest").select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row, counts taken from the cache
     after :func:`fill_cache` has added what it lacked."""
     version = fill_cache(docs, tokenizer_path, cache_path, text_col)
-    rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
-    return rows.join(_stored(docs.sparkSession, cache_path, version), "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return stored_counts(docs, version, cache_path, limit, id_col, text_col)

@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import public_tokenizers as P
 import pytest
@@ -53,3 +54,23 @@ def test_stored_counts_are_used_and_only_misses_encoded(spark, tmp_path, monkeyp
 def test_other_setups_get_whole_texts():
     assert not K.splits_at_spaces({"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}})
     assert not K.splits_at_spaces({"model": {"type": "WordPiece"}, "pre_tokenizer": {"type": "ByteLevel"}})
+
+
+def test_two_writers_fill_one_cache_at_once(spark, real_docs, tmp_path, library):
+    path = str(tmp_path / "cache")
+    halves = [real_docs.where("doc_id % 3 < 2"), real_docs.where("doc_id % 3 > 0")]
+    with ThreadPoolExecutor(2) as pool:
+        for version in pool.map(lambda d: K.fill_cache(d, FILE, path), halves):
+            pass
+    rows = K.stored_counts(real_docs, version, path).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in rows) == sorted((i, library(t)) for i, t in texts_of(real_docs))
+
+
+def test_second_delivery_encodes_only_what_is_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(12)], "doc_id long, text string")
+    K.fill_cache(docs.where("doc_id < 3"), FILE, path)
+    version = K.fill_cache(docs.where("doc_id >= 3"), FILE, path)
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    assert stored.count() == 5 == stored.select("digest").distinct().count()
+    assert K.stored_counts(docs, version, path).count() == 12
