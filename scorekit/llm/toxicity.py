@@ -42,6 +42,7 @@ FEATURES = 1 << 24   # of the sample's documents together: 64 MB come to the dri
 MIN_DOCS = 3         # a feature of fewer documents of the sample is not learned
 L1 = 3e-5
 STEPS = 200
+SUMMED_AT_ONCE = 1 << 17  # entries: what the fit adds up at a time stays in the processor's memory
 GAIN = 1e-6          # fitting ends when ten steps lower the loss by less
 REJECT_ABOVE = 0.5   # P(grade >= 1) above this is toxic at any rate; learn() may choose a lower cut
 RECALL, PRECISION = 0.95, 0.9  # wanted of the cut on held-out documents; precision goes first
@@ -127,11 +128,14 @@ def fit(columns: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: in
     flat = np.concatenate(columns)
     times = np.bincount(flat, minlength=1 << HASH_BITS)
     used = np.flatnonzero(times >= MIN_DOCS)
-    common = times[flat] >= MIN_DOCS
-    doc = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])[common]
-    col = np.searchsorted(used, flat[common]).astype(np.int32)
+    # The documents of each used feature, feature after feature.
+    doc = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
+    common = np.flatnonzero(times[flat] >= MIN_DOCS)
+    doc = doc[common[np.argsort(flat[common], kind="stable")]]
     del flat, common
-    norm = np.sqrt(np.maximum(1, np.bincount(col, minlength=len(used))))  # rare features step no faster
+    held = times[used]
+    starts = np.cumsum(held) - held
+    norm = np.sqrt(held)  # rare features step no faster
     n, k = len(y), len(levels) - 1
     share = np.clip(np.cumsum(np.bincount(y, minlength=k + 1))[:-1] / n, 1e-6, 1 - 1e-6)
     cut = np.log(share / (1 - share))
@@ -141,48 +145,67 @@ def fit(columns: list[np.ndarray], grades: np.ndarray, l1: float = L1, steps: in
     def thresholds(t):
         return np.cumsum(np.concatenate([[t[0]], np.exp(t[1:])]))
 
-    def chances(w, t):
+    def scores(w):
+        """Of all documents; read where weights are not zero, which L1 leaves few of."""
+        nonzero = np.flatnonzero(w)
+        lengths = held[nonzero]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts[nonzero] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(doc[at], weights=np.repeat(w[nonzero], lengths), minlength=n)
+
+    def by_feature(values):
+        """Sums of the documents' values for each feature, some features at a time."""
+        out = np.zeros(len(used))
+        first = 0
+        while first < len(used):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + SUMMED_AT_ONCE)))
+            end = starts[last] if last < len(used) else len(doc)
+            out[first:last] = np.add.reduceat(values[doc[starts[first]:end]], starts[first:last] - starts[first])
+            first = last
+        return out
+
+    def chances(score, t):
         """Of each document's grade: its probability, and those of the thresholds on both sides."""
         th = thresholds(t)
-        score = np.bincount(doc, weights=w[col], minlength=n)
         p_hi = np.where(y < k, _sigmoid(th[np.minimum(y, k - 1)] - score), 1.0)
         p_lo = np.where(y > 0, _sigmoid(th[np.maximum(y - 1, 0)] - score), 0.0)
         return np.maximum(p_hi - p_lo, 1e-12), p_hi, p_lo
 
-    def loss(w, t):
-        return -np.log(chances(w, t)[0]).mean()
+    def loss(score, t):
+        return -np.log(chances(score, t)[0]).mean()
 
-    def loss_gradient(w, t):
-        p, p_hi, p_lo = chances(w, t)
+    def loss_gradient(score, t):
+        p, p_hi, p_lo = chances(score, t)
         d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
-        by_score = (d_hi - d_lo) / n
         by_th = (np.bincount(y[y > 0] - 1, weights=d_lo[y > 0], minlength=k)
                  - np.bincount(y[y < k], weights=d_hi[y < k], minlength=k)) / n
         tail = np.cumsum(by_th[::-1])[::-1]
         by_t = np.concatenate([[tail[0]], tail[1:] * np.exp(t[1:])])
-        return -np.log(p).mean(), np.bincount(col, weights=by_score[doc], minlength=len(used)), by_t
+        return -np.log(p).mean(), by_feature((d_hi - d_lo) / n), by_t
 
     # Steps in scaled weights v = w * norm / sqrt(n); backtracking finds the step size.
     scale = norm / np.sqrt(n)
     v, v_old, t_old, size, momentum = w.copy(), w.copy(), t.copy(), 1.0, 1.0
-    before = np.inf
+    before, score, score_old = np.inf, np.zeros(n), np.zeros(n)
     for n_step in range(steps):
         nxt = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         f = (momentum - 1) / nxt
         momentum = nxt
         vy, ty = v + f * (v - v_old), t + f * (t - t_old)
-        here, gw, gt = loss_gradient(vy / scale, ty)
+        here, gw, gt = loss_gradient(score + f * (score - score_old), ty)  # scores are linear in v
         gv = gw / scale
         while True:
             step = vy - size * gv
             v_new = np.sign(step) * np.maximum(np.abs(step) - size * l1 / scale, 0)
             t_new = ty - size * gt
             dv, dt = v_new - vy, t_new - ty
-            reached = loss(v_new / scale, t_new)
+            score_new = scores(v_new / scale)
+            reached = loss(score_new, t_new)
             if reached <= here + gv @ dv + gt @ dt + (dv @ dv + dt @ dt) / (2 * size) + 1e-12 or size < 1e-8:
                 break
             size /= 2
         v_old, t_old, v, t = v, t, v_new, t_new
+        score_old, score = score, score_new
         size *= 1.1
         if n_step % 10 == 9:
             penalised = reached + l1 * np.abs(v / scale).sum()
