@@ -54,6 +54,7 @@ BITMAP_BITS = 15         # Spark's bitmaps have 2**15 places
 EXACT_SIZES, GRID = 20, 1.1
 PIECE = 30               # words, at least, of the pieces of long items
 WINDOWS_AT_ONCE = 1 << 16
+WORDS_AT_ONCE = 1 << 18
 PAD = np.uint64(0)
 
 #: Bytes that part words here: all ASCII that is no letter or digit (texts are lower-cased).
@@ -133,12 +134,37 @@ def _earlier(pairs: np.ndarray, at: np.ndarray, times: int) -> np.ndarray:
     return found
 
 
-def _held(at: np.ndarray, earlier: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Item pairs (at places ``at``) in the window of ``size`` words at each of ``n`` starts; a pair
-    counts in a window only if its ``earlier`` occurrence lies before the window."""
-    first = np.maximum(np.maximum(earlier + 1, at - size + 2), 0)
-    change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
-    return np.cumsum(change)[:n]
+def _passing(at: np.ndarray, earlier: np.ndarray, begins: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Starts of the windows of ``size`` words (two or more) that hold ``least`` or more of the item pairs at the
+    places ``at``. A pair counts in a window only if its ``earlier`` occurrence lies before the
+    window; no window starts before the text's beginning (``begins``, for each of the pairs)."""
+    if len(at) < least:
+        return np.zeros(0, dtype=np.int64)
+    # In a window that passes, any ``least`` neighbours of its pairs lie close together.
+    close = np.flatnonzero(at[least - 1:] - at[:len(at) - least + 1] <= size - 2)
+    runs = np.bincount(close, minlength=len(at) + 1) - np.bincount(close + least, minlength=len(at) + 1)
+    near = np.flatnonzero(np.cumsum(runs[:-1]))
+    first = np.maximum(np.maximum(earlier[near] + 1, at[near] - size + 2), begins[near])
+    # A pair is held by the windows from ``first`` up to its own place.
+    places = np.concatenate([first, at[near] + 1])
+    order = np.argsort(places, kind="stable")
+    held = np.cumsum(np.where(order < len(near), 1, -1))[:-1]
+    enough = np.flatnonzero(held >= least)
+    lo, lengths = places[order][enough], np.diff(places[order])[enough]
+    return np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def _word_groups(hasher: WordHasher, texts):
+    """The words of each text, in lists of neighbouring texts with some ``WORDS_AT_ONCE`` words together."""
+    group, held = [], 0
+    for text in texts:
+        group.append(_words(hasher, text))
+        held += len(group[-1])
+        if held >= WORDS_AT_ONCE:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def table_bits(numbers: int) -> int:
@@ -224,30 +250,38 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, need: dict[int, tup
     def windows(texts, hasher, pairs):
         """All words of the texts, each text followed by padding; where each text starts; and
         for each size the starts of the windows that pass, with their texts' numbers."""
-        least = min((n for n, _ in need.values()), default=0)
         gap = np.full(max(need, default=0), PAD)
-        words, begins, passed, at = [], [], {size: ([], []) for size in need}, 0
-        for i, text in enumerate(texts):
-            w = _words(hasher, text)
-            own = _pairs(w)
-            hits = np.flatnonzero(pairs.holds(own))
-            begins.append(at)
-            if len(w) == 0 or (1 not in need and len(hits) < least):
-                continue
-            earlier, found = _earlier(own, hits, most), False
-            for size, (at_least, _) in need.items():
+        kept, begins, passed, at = [], [], {size: ([], []) for size in need}, 0
+        for group in _word_groups(hasher, texts):
+            lengths = np.array([len(w) for w in group])
+            origins = np.cumsum(lengths) - lengths
+            words = np.concatenate(group)
+            own = _pairs(words)
+            hit = pairs.holds(own)
+            hit[origins[(origins > 0) & (origins < len(words))] - 1] = False  # a pair does not cross two texts
+            hits = np.flatnonzero(hit)
+            # Occurrences in an earlier text lie before the text's beginning, which bounds windows anyway.
+            earlier = _earlier(own, hits, most)
+            origin = origins[np.searchsorted(origins, hits, side="right") - 1]
+            starts, found = {}, np.zeros(len(group), dtype=bool)
+            for size, (least, _) in need.items():
                 # Windows may hang over the end: a match can be shorter than its item.
-                starts = (np.flatnonzero(pairs.holds(mix(w))) if size == 1 else
-                          np.flatnonzero(_held(hits, earlier, size // pieces(size), len(w)) >= at_least))
-                if len(starts):
-                    passed[size][0].append(starts + at)
-                    passed[size][1].append(np.full(len(starts), i))
-                    found = True
-            if found:
-                words += [w, gap]
-                at += len(w) + len(gap)
+                first = (np.flatnonzero(pairs.holds(mix(words))) if size == 1 else
+                         _passing(hits, earlier, origin, size // pieces(size), least))
+                text = np.searchsorted(origins, first, side="right") - 1
+                starts[size] = first, text
+                found[text] = True
+            space = np.where(found, lengths + len(gap), 0)
+            begin = at + np.cumsum(space) - space
+            for size, (first, text) in starts.items():
+                passed[size][0].append(first - origins[text] + begin[text])
+                passed[size][1].append(text + len(begins))
+            for i in np.flatnonzero(found):
+                kept += [group[i], gap]
+            begins += begin.tolist()
+            at += int(space.sum())
         begins.append(at)
-        return np.concatenate(words) if words else gap, np.array(begins), passed
+        return np.concatenate(kept) if kept else gap, np.array(begins), passed
 
     def task(batches):
         hasher, pairs, known = WordHasher(), BitTable(pair_bits), BitTable(sig_bits)

@@ -142,17 +142,24 @@ def test_window_sizes_are_few_and_never_longer_than_the_item():
 @pytest.mark.parametrize("times", [1, 2, 3])
 def test_held_pairs_are_counted_window_by_window(times):
     dice = np.random.default_rng(times)
-    words = dice.integers(1, 7, 80).astype(np.uint64)
+    words = dice.integers(1, 7, 160).astype(np.uint64)
+    origins = np.array([0, 70, 70, 71, 100])  # five texts, one empty and one of a single word
     own = D._pairs(words)
     marked = np.isin(own, np.unique(own)[::2])
+    marked[origins[1:] - 1] = False
     at = np.flatnonzero(marked)
     earlier = D._earlier(own, at, times)
+    begins = origins[np.searchsorted(origins, at, side="right") - 1]
     for size in (2, 5, 17, 60):
-        got = D._held(at, earlier, size, len(words))
+        held = []
         for start in range(len(words)):
-            inside = own[start:start + size - 1][marked[start:start + size - 1]]
-            want = np.minimum(np.unique(inside, return_counts=True)[1], times).sum() if len(inside) else 0
-            assert got[start] == want
+            end = min([o for o in origins if o > start] + [len(words)])
+            place = np.arange(start, min(start + size, end) - 1)
+            inside = own[place][marked[place]]
+            held.append(np.minimum(np.unique(inside, return_counts=True)[1], times).sum())
+        for least in (1, 2, 3, 8, 15):
+            got = D._passing(at, earlier, begins, size, least)
+            assert got.tolist() == [start for start, n in enumerate(held) if n >= least]
 
 
 def test_runs_of_one_word_do_not_pass(spark):
