@@ -12,8 +12,10 @@ holds up the rest of its own group only.
 Ledger. Every job commits its own answers under ``answers/attempt=../group=..`` of the run's folder;
 with a ``run`` name that folder outlives the driver. Calling again with the name scores only batches
 that have no committed ``ok`` answer to the same payload, keyed by batch id and the payload's
-SHA-256; the answers of all attempts together are the result. A lost task or driver repeats the calls
-of the groups it had not committed: delivery is at least once.
+SHA-256; the answers of all attempts together are the result. The ledger is compared with the batches
+once, while these are written: each row carries whether it is still to be asked for, and no job reads
+the ledger again. A lost task or driver repeats the calls of the groups it had not committed: delivery
+is at least once.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ from scorekit.session import checkpoint_root, folder_exists
 BATCHES_PER_TASK = 64
 BATCH_SCHEMA = "batch_id bigint, batch_size bigint, unique_identifier_column string, payload string, payload_sha256 string"
 _GROUP = "_group"
+_PENDING = "_pending"
 SCORED_SCHEMA = ("batch_id bigint, batch_size bigint, unique_identifier_column string, "
                  "payload string, response string, outcome string, error string")
 _KEY = ("batch_id", "payload_sha256")
@@ -148,20 +151,23 @@ def score_batches(batches: DataFrame, scorer, role: str = "",
         attempt = 1 + (before.agg(F.max("attempt")).first()[0] or 0)
 
     # Written once, in folders of neighbouring batch ids; counted while it is written.
+    if before is not None:
+        done = before.where(F.col("outcome") == OUTCOME_OK).select(*_KEY).distinct()
+        work = work.join(done.withColumn(_PENDING, F.lit(False)), list(_KEY), "left")
+    else:
+        work = work.withColumn(_PENDING, F.lit(True))
     parts, counted = os.path.join(root, f"batches-{attempt}"), Observation()
-    (work.withColumn(_GROUP, F.floor((F.col("batch_id") - 1) / int(batches_per_task)))
+    (work.withColumn(_PENDING, F.coalesce(_PENDING, F.lit(True)))
+     .withColumn(_GROUP, F.floor((F.col("batch_id") - 1) / int(batches_per_task)))
      .repartition(_GROUP).observe(counted, F.count(F.lit(1)).alias("n"))
      .write.mode("overwrite").partitionBy(_GROUP).parquet(parts))
     total = F.lit(counted.get["n"]) if total is None else total
-    table = spark.read.schema(f"{BATCH_SCHEMA}, {_GROUP} bigint").parquet(parts)
-    done = before.where(F.col("outcome") == OUTCOME_OK).select(*_KEY) if before is not None else None
+    table = spark.read.schema(f"{BATCH_SCHEMA}, {_PENDING} boolean, {_GROUP} bigint").parquet(parts)
 
     def score(job):
         number, group = job
         folders = [os.path.join(parts, f"{_GROUP}={g}") for g in group]
-        mine = spark.read.schema(BATCH_SCHEMA).parquet(*folders)
-        if done is not None:
-            mine = mine.join(done, list(_KEY), "left_anti")
+        mine = spark.read.schema(f"{BATCH_SCHEMA}, {_PENDING} boolean").parquet(*folders).where(_PENDING)
         prompts = render_prompts(mine.coalesce(1), role, template, total)
         raw = prompts.select(*BATCH_COLUMNS, "payload", "payload_sha256", "prompt").mapInPandas(
             _caller(scorer), f"{SCORED_SCHEMA}, payload_sha256 string")

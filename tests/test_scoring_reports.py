@@ -233,3 +233,39 @@ def test_an_interrupted_run_is_taken_up(spark, tmp_path):
 def test_no_batch_at_all(spark):
     b = pack_batches(_numbered(spark, 20)).where("false")
     assert score_batches(b, field_scorer("k"), "r").collect() == []
+
+
+def test_a_resumed_run_reads_its_ledger_once_however_many_jobs_it_has(spark, monkeypatch):
+    import uuid
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    joins, join = [], DataFrame.join
+
+    def noted(self, *args, **kwargs):
+        joins.append(self)
+        return join(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "join", noted)
+    b = pack_batches(_numbered(spark, 240), batch_size=10).localCheckpoint()   # 24 batches
+    seen = {}
+    for per_task in (12, 2):                                 # 2 jobs, then 12 jobs
+        run = uuid.uuid4().hex
+        score_batches(b, field_scorer("k", fail_every=2), "r", batches_per_task=per_task, run=run)
+        joins.clear()
+        out = score_batches(b, field_scorer("k", fail_every=8), "r", batches_per_task=per_task, run=run)
+        seen[per_task] = len(joins)
+        assert rows(out.select("batch_id", "outcome")) == [(i, "ok" if i % 8 else "api_error") for i in range(1, 25)]
+    assert seen[2] == seen[12]                               # what is joined does not grow with the jobs
+
+
+def test_a_batch_given_twice_and_answered_is_still_one_batch_more(spark):
+    import uuid
+
+    run = uuid.uuid4().hex
+    b = pack_batches(_numbered(spark, 30), batch_size=10)
+    twice = b.unionByName(b.where("batch_id = 1")).localCheckpoint()
+    for fail_every in (2, None):                             # the ledger holds two answers to batch 1
+        out = score_batches(twice, field_scorer("k", fail_every=fail_every), "r", run=run)
+    assert rows(out.select("batch_id", "outcome")) == [(1, "ok"), (1, "ok"), (2, "ok"), (3, "ok")]
+    assert rows(batch_results(out).groupBy("unique_id").count().where("count = 2").select("count")) == [(2,)] * 10
