@@ -13,22 +13,27 @@ single task. Instead:
 
 The table is read once, for its rows. A dense rank numbers the *distinct* values this way and joins
 them back on the value; the distinct step pre-aggregates before its shuffle, so a value held by a
-third of the rows costs one row per map task. ``session.delete_tables`` removes the written table
+third of the rows costs one row per map task. Up to ``BROADCAST_LEVELS`` distinct values are broadcast;
+above that, values of more than ``SPREAD_ROWS`` rows each are broadcast and only the rest is joined by a
+shuffle: no task gathers the rows of a frequent value. ``session.delete_tables`` removes the written table
 when the numbered frame is no longer read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scorekit.operators._cols import order_columns, q
+from scorekit.operators._joins import SPREAD_ROWS, join_frequent
 from scorekit.operators.projection import valid_scores
 from scorekit.session import materialize
 
 _FILE = "_ids_file"
 _OFF = "_ids_off"
 _LEVEL = "_rank_level"
+_ROWS = "_rank_rows"
+BROADCAST_LEVELS = 100_000        # two numbers each
 
 
 def _file_number():
@@ -45,6 +50,11 @@ def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
     An existing ``out`` column is overwritten in place. Materialises once (see module doc).
     The order key should be unique; ties get distinct ids in an unspecified order.
     """
+    return _numbered(df, order_by, out, partitions)[0]
+
+
+def _numbered(df: DataFrame, order_by, out: str, partitions: int | None) -> tuple[DataFrame, int]:
+    """The numbered frame and its row count, which is known from the footers."""
     order = order_columns(order_by)
     columns = df.columns if out in df.columns else [*df.columns, out]
     base = df.drop(out)
@@ -61,7 +71,7 @@ def assign_ids(df: DataFrame, order_by, out: str = "unique_id",
     table = df.sparkSession.createDataFrame(offsets, f"{_FILE} bigint, {_OFF} bigint")
     numbered = (ranged.withColumns({_FILE: _file_number(), out: F.col("_metadata.row_index") + F.lit(1)})
                 .join(F.broadcast(table), _FILE).withColumn(out, F.col(_OFF) + q(out)))
-    return numbered.select(*[q(c) for c in columns])
+    return numbered.select(*[q(c) for c in columns]), total
 
 
 def dense_rank_scores(df: DataFrame, score: str = "score", out: str = "rank",
@@ -70,6 +80,13 @@ def dense_rank_scores(df: DataFrame, score: str = "score", out: str = "rank",
     missing or NaN score, or text that is no number, are dropped. Infinity ranks first. All
     rows take part, whatever their id."""
     valid = valid_scores(df.drop(out), score)
-    levels = valid.select(q(score).alias(_LEVEL)).distinct()
-    numbered = assign_ids(levels, [F.desc(_LEVEL)], out=out, partitions=partitions)
-    return valid.join(numbered, valid[score] == numbered[_LEVEL]).drop(_LEVEL)
+    seen = Observation()  # a maximum: the sampling of the range partitions may look at the rows once more
+    levels = valid.groupBy(q(score).alias(_LEVEL)).agg(F.count(F.lit(1)).alias(_ROWS)).observe(seen, F.max(_ROWS).alias("most"))
+    numbered, n = _numbered(levels, [F.desc(_LEVEL)], out, partitions)
+    table = numbered.select(_LEVEL, q(out))
+    if n <= BROADCAST_LEVELS:
+        return valid.join(F.broadcast(table), q(score) == q(_LEVEL)).drop(_LEVEL)
+    if (seen.get.get("most") or 0) > SPREAD_ROWS:
+        frequent = numbered.where(F.col(_ROWS) > SPREAD_ROWS).select(q(_LEVEL).alias("_frequent"))
+        return join_frequent(valid, table, score, _LEVEL, frequent).drop(_LEVEL)
+    return valid.join(table.hint("merge"), q(score) == q(_LEVEL)).drop(_LEVEL)

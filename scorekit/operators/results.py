@@ -15,7 +15,8 @@ from scorekit.functions.constants import (
     UNSCORED_SCORE,
 )
 from scorekit.functions.text import key_text, score_number
-from scorekit.operators._cols import q
+from scorekit.operators._cols import as_list, q
+from scorekit.operators._joins import SPREAD_ROWS, join_frequent
 from scorekit.operators.numbering import dense_rank_scores
 from scorekit.operators.projection import drop_result_columns
 from scorekit.session import delete_tables, materialize
@@ -23,6 +24,7 @@ from scorekit.session import delete_tables, materialize
 _BK = "_base_key"
 _SK = "_score_key"
 _MATCHED = "_matched"
+_PLACE = "_merged_place"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -75,8 +77,10 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     Plan: the numeric scores are written once (they are read for the ranks, the join and the
     anti-join), and so is the merged table, which everything after the merge reads. Both are counted
     while they are written: no scan counts rows, and the default rank is a number by then. The left
-    join is an inner join, of which AQE may split either side when an id is hot, plus the base rows
-    that an anti-join with the distinct scored ids leaves.
+    join is an inner join plus the base rows that an anti-join with the distinct scored ids leaves.
+    Scores of an id with more than ``SPREAD_ROWS`` of them are not gathered by id (``join_frequent``),
+    and the final sort breaks ties by the rows' places in the written table, so that range partitioning
+    can part the rows of one id and rank.
     """
     if scores is None:
         return base
@@ -97,7 +101,14 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     left = b.withColumn(_BK, bkey)
     right = ranked.select(skey.alias(_SK), "score", "remarks", "rank")
     own = [q(c) for c in b.columns]
-    scored = left.join(right, F.col(_BK) == F.col(_SK)).select(
+    frequent = (valid.groupBy(skey.alias(_SK)).agg(F.count(F.lit(1)).alias("n"))
+                .where(F.col(_SK).isNotNull() & (F.col("n") > SPREAD_ROWS)).select(q(_SK).alias("_frequent")))
+    hot = frequent.collect()  # at most one for SPREAD_ROWS scores
+    if hot:
+        both = join_frequent(right, left, _SK, _BK, spark.createDataFrame(hot, frequent.schema))
+    else:
+        both = left.join(right, F.col(_BK) == F.col(_SK))
+    scored = both.select(
         *own, "score", "remarks", "rank", F.lit(True).alias(_MATCHED))
     keys = valid.select(skey.alias(_SK)).where(F.col(_SK).isNotNull()).distinct()
     rest = left.join(keys, F.col(_BK) == F.col(_SK), "left_anti").select(
@@ -112,8 +123,9 @@ def merge_results(base: DataFrame, scores: DataFrame | None, id_col: str = ID_CO
     delete_tables(spark, ranked)  # the written scores, and the table of their ranks
     final = merged.select(
         *own, "score", F.coalesce("remarks", F.lit(UNSCORED_REMARKS)).alias("remarks"),
-        F.coalesce("rank", F.lit((counts.get("rows") or 0) + 1).cast("bigint")).alias("rank"))
-    return sort_final(final, id_col)
+        F.coalesce("rank", F.lit((counts.get("rows") or 0) + 1).cast("bigint")).alias("rank"),
+        F.col("_metadata.row_index").alias(_PLACE))
+    return sort_final(final, id_col, ties=_PLACE).drop(_PLACE)
 
 
 def reconcile_ids(base: DataFrame, scores: DataFrame, id_col: str = ID_COLUMN,
@@ -138,6 +150,7 @@ def sort_results(ranked: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     return ranked.orderBy(F.asc("rank"), F.desc("score"), F.asc(id_col))
 
 
-def sort_final(df: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
-    """Final table by rank; ties by id (the reference leaves tie order unspecified)."""
-    return df.orderBy(F.asc("rank"), F.asc(id_col))
+def sort_final(df: DataFrame, id_col: str = ID_COLUMN, ties=None) -> DataFrame:
+    """Final table by rank; ties by id (the reference leaves tie order unspecified), then by the
+    columns ``ties``. Without any, all rows of one rank and id are sorted by one task."""
+    return df.orderBy(F.asc("rank"), F.asc(id_col), *[F.asc(c) for c in as_list(ties)])

@@ -131,3 +131,64 @@ def test_reconcile_needs_one_exchange_by_id(spark):
     assert tuple(out.first()) == (1, 1, 2)
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
+def _repeated(spark, n=4000):
+    """Half of the scores are one answer for one id; the rest spread over ids, also unknown ones."""
+    base = spark.range(1, 41).select(F.col("id").alias("unique_id"), F.concat(F.lit("n"), "id").alias("name"))
+    i = F.col("id")
+    scores = spark.range(0, n, 1, 4).select(
+        F.when(i % 2 == 0, 1).when(i % 7 == 0, F.lit(None)).otherwise(i % 60 + 2).cast("string").alias("unique_id"),
+        F.when(i % 2 == 0, 7.0).otherwise(i % 311).cast("double").alias("score"),
+        F.when(i % 3 > 0, "r").alias("remarks"))
+    return base, scores
+
+
+def _ids_of_tasks(df):
+    return df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+
+
+def test_rows_of_one_id_and_rank_are_sorted_by_several_tasks(spark):
+    base, scores = _repeated(spark, 40000)
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        out = merge_results(base, scores)
+        held = [r["count"] for r in _ids_of_tasks(out.where("unique_id = 1"))]
+        assert sum(held) == 20000 and max(held) < 10000      # one task held all of them
+        got = [(r["rank"], r.unique_id) for r in out.collect()]
+        assert got == sorted(got) and out.columns == ["unique_id", "name", "score", "remarks", "rank"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_frequent_ids_and_scores_are_not_gathered_and_the_merge_is_the_same(spark, monkeypatch):
+    from scorekit.operators import _joins, numbering, results
+
+    base, scores = _repeated(spark)
+    base = base.unionByName(base.where("unique_id in (1, 3)"))    # repeated ids in the base as well
+    whole = rows(merge_results(base, scores))
+    monkeypatch.setattr(results, "SPREAD_ROWS", 50)
+    monkeypatch.setattr(numbering, "SPREAD_ROWS", 10)
+    monkeypatch.setattr(numbering, "BROADCAST_LEVELS", 20)
+    used, join = [], _joins.join_frequent
+
+    def noted(many, one, many_key, one_key, frequent):
+        used.append(frequent.count())
+        return join(many, one, many_key, one_key, frequent)
+
+    monkeypatch.setattr(results, "join_frequent", noted)
+    monkeypatch.setattr(numbering, "join_frequent", noted)
+    assert rows(merge_results(base, scores)) == whole
+    assert len(used) == 2 and min(used) > 0
+    monkeypatch.setattr(numbering, "SPREAD_ROWS", 10**6)          # many levels, none frequent
+    assert rows(merge_results(base, scores)) == whole
+
+
+def test_scores_are_not_shuffled_or_broadcast_for_few_ranks(spark):
+    out = dense_rank_scores(_repeated(spark)[1])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
